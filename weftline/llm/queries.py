@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import neardup
+from weftline.llm import leakage, neardup
 from weftline.session import table
 
 QUESTION_TEXTS = ["QuestionText", "AnswerText"]
@@ -23,5 +23,18 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     return found.select(names.alias("field"), "id", "class_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a passage of a test item, and which."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p8_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """Leaking documents and leaked items by source."""
+    docs = table(spark, d, "documents")
+    found = leakage.leaks(docs, table(spark, d, "eval_items"))
+    hit = docs.select("doc_id", "source").join(found, "doc_id")
+    return hit.groupBy("source").agg(F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("item_id").alias("n_items"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p8_found, p8_by_source)}
 ORACLES: dict[str, str] = {}
