@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import leakage, neardup
+from weftline.llm import leakage, neardup, packing, stuffing
 from weftline.session import table
 
 QUESTION_TEXTS = ["QuestionText", "AnswerText"]
@@ -36,5 +36,28 @@ def p8_by_source(spark: SparkSession, d: str) -> DataFrame:
     return hit.groupBy("source").agg(F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("item_id").alias("n_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p8_found, p8_by_source)}
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, or of every piece of one that exceeds a container."""
+    return packing.pack(table(spark, d, "documents"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How well the containers are filled."""
+    return packing.fill(packing.pack(table(spark, d, "documents")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of which at least half the words stand in lists."""
+    return stuffing.stuffed(table(spark, d, "documents")).select("doc_id")
+
+
+def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """Words of each kind and stuffed pages by source."""
+    docs = table(spark, d, "documents").select("source", "doc_id", "text")
+    words = stuffing.page_words(docs).where("n_words > 0")
+    sums = [F.sum(c).alias(c) for c in ("n_words", "n_prose", "n_links", "n_tags", "n_menu")]
+    return docs.select("doc_id", "source").join(words, "doc_id").groupBy("source").agg(F.count_if(F.col("n_prose") <= 0.5 * F.col("n_words")).alias("n_stuffed"), *sums)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p7_containers, p7_fill, p8_found, p8_by_source, p9_found, p9_by_source)}
 ORACLES: dict[str, str] = {}
