@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import leakage, neardup, packing, stuffing
+from weftline.llm import leakage, neardup, packing, pii, stuffing
 from weftline.session import table
 
 QUESTION_TEXTS = ["QuestionText", "AnswerText"]
@@ -36,6 +36,20 @@ def p8_by_source(spark: SparkSession, d: str) -> DataFrame:
     return hit.groupBy("source").agg(F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("item_id").alias("n_items"))
 
 
+def _names(spark: SparkSession, d: str) -> pii.Names:
+    return pii.names_from(table(spark, d, "oireachtas_members"), "firstName", "fullName")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Personal data in titles and bodies."""
+    return pii.find(table(spark, d, "boards_discussions"), "Id", ["Title", "Body"], _names(spark, d))
+
+
+def p5_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Titles and bodies with personal data replaced by placeholders."""
+    return pii.mask(table(spark, d, "boards_discussions"), "Id", ["Title", "Body"], _names(spark, d))
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     """The container of every document, or of every piece of one that exceeds a container."""
     return packing.pack(table(spark, d, "documents"))
@@ -59,5 +73,5 @@ def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "source").join(words, "doc_id").groupBy("source").agg(F.count_if(F.col("n_prose") <= 0.5 * F.col("n_words")).alias("n_stuffed"), *sums)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p7_containers, p7_fill, p8_found, p8_by_source, p9_found, p9_by_source)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p5_found, p5_masked, p7_containers, p7_fill, p8_found, p8_by_source, p9_found, p9_by_source)}
 ORACLES: dict[str, str] = {}
