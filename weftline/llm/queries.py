@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import leakage, neardup, packing, pii, stuffing
+from weftline.llm import leakage, neardup, packing, pii, stuffing, subjects
 from weftline.session import table
 
 QUESTION_TEXTS = ["QuestionText", "AnswerText"]
@@ -36,6 +36,18 @@ def p8_by_source(spark: SparkSession, d: str) -> DataFrame:
     return hit.groupBy("source").agg(F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("item_id").alias("n_items"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Subjects of every question and discussion."""
+    model = subjects.train(subjects.examples_of(table(spark, d, "subject_examples")))
+    parts = [(table(spark, d, "oireachtas_questions"), "question", "Id", "QuestionText"), (table(spark, d, "boards_discussions"), "discussion", "Id", "Body")]
+    return subjects.label(parts, model)
+
+
+def p4_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The composition of the corpus by subject."""
+    return p4_found(spark, d).groupBy("src", "subject").agg(F.count(F.lit(1)).alias("n_texts"))
+
+
 def _names(spark: SparkSession, d: str) -> pii.Names:
     return pii.names_from(table(spark, d, "oireachtas_members"), "firstName", "fullName")
 
@@ -73,5 +85,5 @@ def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "source").join(words, "doc_id").groupBy("source").agg(F.count_if(F.col("n_prose") <= 0.5 * F.col("n_words")).alias("n_stuffed"), *sums)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p5_found, p5_masked, p7_containers, p7_fill, p8_found, p8_by_source, p9_found, p9_by_source)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p4_found, p4_mix, p5_found, p5_masked, p7_containers, p7_fill, p8_found, p8_by_source, p9_found, p9_by_source)}
 ORACLES: dict[str, str] = {}
