@@ -1 +1 @@
-
+"""Pure builders of column expressions."""
