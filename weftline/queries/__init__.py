@@ -1,8 +1,8 @@
 """Registered queries of the core, and the SQL they are held against."""
 
-from weftline.queries import general
+from weftline.queries import general, relational
 
-MODULES = [general]
+MODULES = [general, relational.q]
 
 
 def queries() -> dict:
