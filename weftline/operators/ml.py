@@ -79,13 +79,13 @@ def _lr(self, c: float = 1.0, max_iter: int = 100, n: int | None = None):
 @_classifier("linear_svc")
 def _svc(self, reg: float = 0.01, max_iter: int = 50):
     """Linear support vectors, one against the rest."""
-    return C.OneVsRest(classifier=C.LinearSVC(regParam=reg, maxIter=max_iter, featuresCol="_x"), parallelism=4, rawPredictionCol="_r", **self.common())
+    return C.OneVsRest(classifier=C.LinearSVC(regParam=reg, maxIter=max_iter, featuresCol="_x", rawPredictionCol="_r"), parallelism=4, rawPredictionCol="_r", **self.common())
 
 
 @_classifier("xgboost", "gbt")
 def _gbt(self, rounds: int = 20, depth: int = 5, step: float = 0.1):
     """Boosted trees, one against the rest."""
-    return C.OneVsRest(classifier=C.GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, seed=42, featuresCol="_x"), parallelism=4, rawPredictionCol="_r", **self.common())
+    return C.OneVsRest(classifier=C.GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, seed=42, featuresCol="_x", rawPredictionCol="_r"), parallelism=4, rawPredictionCol="_r", **self.common())
 
 
 @_classifier("random_forest")
