@@ -1 +1 @@
-
+"""Declarative pipelines."""

@@ -1,8 +1,8 @@
 """Registered queries of the core, and the SQL they are held against."""
 
-from weftline.queries import general, learned, relational, text
+from weftline.queries import flows, general, learned, relational, text
 
-MODULES = [general, relational.q, text.q, learned.q]
+MODULES = [general, relational.q, text.q, learned.q, flows.q]
 
 
 def queries() -> dict:
