@@ -85,7 +85,7 @@ def _svc(self, reg: float = 0.01, max_iter: int = 50):
 @_classifier("xgboost", "gbt")
 def _gbt(self, rounds: int = 20, depth: int = 5, step: float = 0.1):
     """Boosted trees, one against the rest."""
-    return C.OneVsRest(classifier=C.GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, seed=42, featuresCol="_x", rawPredictionCol="_r"), parallelism=4, rawPredictionCol="_r", **self.common())
+    return C.OneVsRest(classifier=C.GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, seed=42, featuresCol="_x").setRawPredictionCol("_r"), parallelism=4, rawPredictionCol="_r", **self.common())
 
 
 @_classifier("random_forest")
