@@ -81,13 +81,25 @@ class TestSet:
         self.distinct = len(np.unique(self.keys))
 
 
-def _dense(equal: np.ndarray, least: int, one_in: int) -> np.ndarray:
-    """Rows of ``equal`` that hold a stretch of ``least`` or more in which no more than one in ``one_in`` are False."""
+def _windows(equal: np.ndarray, least: int, one_in: int, whole: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, where) of the stretches in rows of ``equal`` in which at most one in ``one_in`` words are False.
+
+    Sizes below three times ``one_in`` are enough: a longer passage holds a shorter one. ``whole`` stretches begin and end
+    with an equal word, as a passage does.
+    """
     gone = np.cumsum(np.pad(~equal, ((0, 0), (1, 0))), 1, dtype=np.int16)
+    for size in range(least, max(3 * one_in, least + 1)):
+        ok = (gone[:, size:] - gone[:, :-size]) <= size // one_in
+        if whole:
+            ok &= equal[:, : ok.shape[1]] & equal[:, size - 1 :]
+        yield size, ok
+
+
+def _dense(equal: np.ndarray, least: int, one_in: int, whole: bool = True) -> np.ndarray:
+    """The rows that hold such a stretch."""
     found = np.zeros(len(equal), bool)
-    for size in (least, 2 * one_in):
-        if size >= least:
-            found |= ((gone[:, size:] - gone[:, :-size]) <= size // one_in).any(1)
+    for _, ok in _windows(equal, least, one_in, whole):
+        found |= ok.any(1)
     return found
 
 
@@ -171,7 +183,7 @@ def _scan(ids: list[int], texts: list[str | None], test: TestSet) -> list[tuple]
         near = straight.copy()
         for shift in (-2, -1, 1, 2):
             near |= doc[np.clip(mine + shift, 0, len(doc) - 1)] == theirs
-        maybe = _dense(near, r.least, r.one_in) & ~sure
+        maybe = _dense(near, r.least, r.one_in, whole=False) & ~sure
         for k in np.flatnonzero(sure | maybe):
             found = (int(D[k]), int(test.owner[Q[k]]))
             if found in out:
@@ -189,13 +201,9 @@ def _scan(ids: list[int], texts: list[str | None], test: TestSet) -> list[tuple]
 
 
 def _extent(equal: np.ndarray, begin: int, r: Rules) -> tuple[int, int]:
-    """Bounds of the first dense stretch of a row."""
-    gone = np.cumsum(np.concatenate(([0], ~equal)))
-    for size in (2 * r.one_in, r.least):
-        ok = np.flatnonzero(gone[size:] - gone[:-size] <= size // r.one_in)
-        if len(ok):
-            return int(begin + ok[0]), int(begin + ok[-1] + size)
-    raise AssertionError
+    """Bounds of what the stretches of a row cover."""
+    covered = [(at[0], at[-1] + size) for size, ok in _windows(equal[None], r.least, r.one_in, True) if len(at := np.flatnonzero(ok[0]))]
+    return int(begin + min(a for a, _ in covered)), int(begin + max(b for _, b in covered))
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", rules: Rules = Rules()) -> DataFrame:
