@@ -125,10 +125,10 @@ class SentenceModel:
         for t in sorted({w for t in odds for w in ([t] if isinstance(t, str) else t)}):
             model.words[t] = len(model.words)
         none = np.zeros(k)
-        model.word_odds = np.array([odds.get(t, none) for t in model.words], np.float32).reshape(-1, k)
+        model.word_odds = np.array([odds.get(t, none) for t in model.words], np.float32).reshape(len(model.words), k)
         found = sorted((model.words[t[0]] * len(model.words) + model.words[t[1]], t) for t in odds if isinstance(t, tuple))
         model.pairs = np.array([n for n, _ in found], np.int64)
-        model.pair_odds = np.array([odds[t] for _, t in found], np.float32).reshape(-1, k)
+        model.pair_odds = np.array([odds[t] for _, t in found], np.float32).reshape(len(found), k)
         return model
 
     @staticmethod
@@ -152,15 +152,13 @@ class SentenceModel:
 
     def label(self, texts: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per sentence: its text, its number of words, its subject's number (-1: none)."""
-        get, flat, ends, owner, sizes = self.words.get, [], [], [], []
+        get, flat, owner, sizes = self.words.get, [], [], []
         for i, sentences in enumerate(texts):
             for words in sentences:
                 flat.extend(get(w, -1) for w in words)
-                ends.append(len(flat))
                 owner.append(i)
                 sizes.append(len(words))
         ids, k = np.array(flat, np.int64), len(self.subjects)
-        bounds = np.concatenate(([0], ends)).astype(np.int64)
         score = np.zeros((len(owner), k), np.float32)
         if len(ids) and len(self.words):
             sentence = np.repeat(np.arange(len(owner)), sizes)
@@ -172,7 +170,6 @@ class SentenceModel:
                 at = np.searchsorted(self.pairs, code).clip(0, len(self.pairs) - 1)
                 hit = self.pairs[at] == code
                 self._add(score, sentence[left[hit]], self.pair_odds, at[hit])
-        del bounds
         best = score.argmax(1) if k else np.zeros(len(owner), np.int64)
         subject = np.where(score[np.arange(len(owner)), best] > self.margin, best, -1) if k else np.full(len(owner), -1)
         return np.array(owner, np.int64), np.array(sizes, np.int64), subject
@@ -292,9 +289,11 @@ def train(examples: list[tuple[str, bool, set[str]]], s: Settings = Settings())
     texts = [_sentences(t or "", s.chunk) for t, _, _ in examples]
     labels = [ls - {GENERAL} for _, _, ls in examples]
     question = np.array([q for _, q, _ in examples], bool)
+    if not subjects:
+        return Classifier(SentenceModel(subjects), None, s)
     names = _proper([t or "" for t, _, _ in examples])
     model = SentenceModel.fit(texts, labels, subjects, s, names)
-    if not subjects or len(examples) < 2 * s.folds:
+    if len(examples) < 2 * s.folds:
         return Classifier(model, None, s)
     truth = np.array([[float(x in ls) for x in subjects] for ls in labels])
     fold = np.arange(len(examples)) % s.folds
