@@ -2,7 +2,10 @@
 
 import math
 
+import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftline.functions import scalars as S
@@ -162,6 +165,16 @@ def test_scalers(spark):
     assert [r.x for r in got] == pytest.approx([(v - 3.0) / 3.75 for v in (1, 2, 4, 10)]) and {r.c for r in got} == {0.0}
 
 
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.one_of(st.none(), st.integers(-3, 3).map(float), st.floats(-1e9, 1e9, allow_subnormal=False)), min_size=1, max_size=40))
+def test_exact_quantiles(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    mine = L.exact_quantiles(df, ["x"], (0.25, 0.5, 0.9), bins=4)["x"]
+    known = [v for v in values if v is not None]
+    want = list(np.quantile(known, (0.25, 0.5, 0.9))) if known else [None] * 3
+    assert mine == (pytest.approx(want, rel=1e-9, abs=1e-9) if known else want)
+
+
 def test_encoders(spark):
     pets = spark.createDataFrame([(i, v) for i, v in enumerate(["cat", "dog", "cat", "mouse", None])], "k int, pet string")
     assert L.OneHotEncoder("pet", "k").fit_transform(pets).columns == ["k", "pet__cat", "pet__dog", "pet__mouse"]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
+import numpy as np
 from pyspark.ml.feature import PCA, Normalizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.linalg import Vectors as OldVectors
@@ -123,34 +124,90 @@ class _Affine(Operator):
     def __init__(self, columns: Sequence[str] | None = None) -> None:
         self.columns = columns
 
-    def _statistics(self, c: str) -> tuple[Column, Column]:
+    def _fitted(self, df: DataFrame, columns: list[str]) -> dict:
         raise NotImplementedError
 
     def fit(self, df: DataFrame) -> Fitted:
         columns = [c for c in self.columns if c in df.columns] if self.columns else numeric_columns(df)
-        row = df.agg(*(s.alias(f"{c}__{k}") for c in columns for k, s in zip("ab", self._statistics(c)))).first()
+        row = self._fitted(df, columns)
 
         def apply(d: DataFrame) -> DataFrame:
             # a constant column has no spread: it is only centred
             return d.withColumns({c: (F.col(c).cast("double") - F.lit(row[f"{c}__a"])) / F.lit(row[f"{c}__b"] or 1.0) for c in columns})
 
-        return Fitted(apply, statistics=row.asDict())
+        return Fitted(apply, statistics=row)
 
 
 @SCALERS.register("standard")
 class StandardScaler(_Affine):
     """(x - mean) / population standard deviation."""
 
-    def _statistics(self, c: str) -> tuple[Column, Column]:
-        return F.avg(c), F.stddev_pop(c)
+    def _fitted(self, df: DataFrame, columns: list[str]) -> dict:
+        pairs = [s.alias(f"{c}__{k}") for c in columns for k, s in zip("ab", (F.avg(c), F.stddev_pop(c)))]
+        return df.agg(*pairs).first().asDict()
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], bins: int = 2048) -> dict[str, list[float | None]]:
+    """Exact interpolated quantiles of whole columns, by narrowing brackets.
+
+    The aggregate ``percentile`` keeps every distinct value of a column in one task. Here each pass counts, for every wanted
+    rank, the values in equal parts of its bracket (a few thousand counts, combined on the map side), and the part that holds
+    the rank is the next bracket; its data bounds come back with the count, so a bracket of one value ends the search. An
+    approximate quantile gives the first bracket, so tails do not matter. All ranks share each pass.
+    """
+    spread = [0.0, 1.0]
+    for p in shares:
+        spread += [max(0.0, p - 0.001), min(1.0, p + 0.001)]
+    x = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in columns}
+    row = df.agg(*(F.count(x[c]).alias(f"n_{i}") for i, c in enumerate(columns)), *(F.percentile_approx(x[c], spread, 10_000).alias(f"q_{i}") for i, c in enumerate(columns)), *(F.min(x[c]).alias(f"a_{i}") for i, c in enumerate(columns)), *(F.max(x[c]).alias(f"b_{i}") for i, c in enumerate(columns))).first()
+    found: dict[tuple[int, int], float] = {}
+    open_: dict[tuple[int, int], tuple[float, float]] = {}
+    for i in range(len(columns)):
+        n = row[f"n_{i}"]
+        for j, p in enumerate(shares if n else []):
+            for rank in {int(np.floor(p * (n - 1))), int(np.ceil(p * (n - 1)))}:
+                open_[(i, rank)] = (row[f"q_{i}"][2 + 2 * j], row[f"q_{i}"][3 + 2 * j])
+    while open_:
+        wanted = list(open_)
+        marks = []
+        for t, key in enumerate(wanted):
+            lo, hi = open_[key]
+            v = x[columns[key[0]]]
+            part = F.when(v < lo, -1).when(v > hi, bins).otherwise(F.least(F.floor((v - lo) / ((hi - lo) / bins or 1.0)), F.lit(bins - 1)).cast("int"))
+            marks.append(F.struct(F.lit(t).alias("t"), part.alias("part"), v.alias("v")))
+        got = df.select(F.explode(F.array(*marks)).alias("m")).select("m.*").where("v is not null").groupBy("t", "part").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        for t, key in enumerate(wanted):
+            before = 0
+            for r in sorted((r for r in got if r.t == t), key=lambda r: r.part):
+                if before + r.n > key[1]:
+                    if r.lo == r.hi:
+                        found[key] = r.lo
+                        del open_[key]
+                    else:
+                        open_[key] = (r.lo, r.hi)
+                    break
+                before += r.n
+    out: dict[str, list[float | None]] = {}
+    for i, c in enumerate(columns):
+        n = row[f"n_{i}"]
+        out[c] = []
+        for p in shares:
+            if not n:
+                out[c].append(None)
+                continue
+            at = p * (n - 1)
+            low, high = found[(i, int(np.floor(at)))], found[(i, int(np.ceil(at)))]
+            out[c].append(low + (high - low) * (at - np.floor(at)))
+    return out
 
 
 @SCALERS.register("robust")
 class RobustScaler(_Affine):
     """(x - median) / interquartile range, both interpolated and exact."""
 
-    def _statistics(self, c: str) -> tuple[Column, Column]:
-        return F.percentile(c, F.lit(0.5)), F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))
+    def _fitted(self, df: DataFrame, columns: list[str]) -> dict:
+        got = exact_quantiles(df, columns, (0.25, 0.5, 0.75))
+        return {f"{c}__{k}": v for c, (q1, m, q3) in got.items() for k, v in (("a", m), ("b", None if q1 is None else q3 - q1))}
 
 
 # -- encoders ---------------------------------------------------------------------------------------------------------

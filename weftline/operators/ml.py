@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.base import EVALUATORS, MODELS, SAMPLERS, Fitted, Operator
+from weftline.session import cut, written
 
 #: Numbers that a broadcast query block may hold: 64 MB of doubles.
 MOST_QUERY_CELLS = 8_000_000
@@ -222,27 +223,27 @@ class Smote:
 def nb_predict(train: DataFrame, test: DataFrame, key: str, label: str, terms_train: DataFrame, terms_test: DataFrame, smoothing: float = 1.0) -> DataFrame:
     """Multinomial naive Bayes over long-form terms ``key, term, tf``: class priors as observed, terms smoothed. ``key, prediction``.
 
-    A document's score is the prior plus, for each of its terms that training saw, tf times the term's log share. Classes are
-    few, so the class table is joined to documents; terms are joined by key.
+    A document's score is the prior plus, for each of its terms that training saw, tf times the term's log share. The classes
+    (their number, not the documents, goes to the driver) are columns of one term table that the documents' terms are joined to.
     """
-    labelled = terms_train.join(train.select(key, label), key)
-    by_class = labelled.groupBy(label).agg(F.sum("tf").alias("total"))
-    size = labelled.select("term").distinct().count()
     n = train.count()
-    prior = train.groupBy(label).agg(F.log(F.count(F.lit(1)) / F.lit(float(n))).alias("prior"))
-    classes = prior.join(by_class, label)
-    counts = labelled.groupBy("term", label).agg(F.sum("tf").alias("c"))
-    known = labelled.select("term").distinct()
-    # every class scores a term: seen ones by their count, unseen ones by the smoothing alone
-    base = F.log(F.lit(smoothing) / (F.col("total") + F.lit(smoothing * size)))
-    words = terms_test.join(known, "term")
-    length = words.groupBy(key).agg(F.sum("tf").alias("len"))
-    seen = words.join(counts, "term").groupBy(key, label).agg(F.sum(F.col("tf") * F.log((F.col("c") + smoothing) / F.lit(smoothing))).alias("gain"))
-    grid = test.select(key).join(length, key, "left").withColumn("cls", F.explode(F.array(*(F.struct(F.lit(r[label]).alias(label), F.lit(r.prior).alias("prior"), F.lit(r.total).alias("total")) for r in classes.orderBy(label).collect()))))
-    grid = grid.select(key, F.coalesce("len", F.lit(0)).alias("len"), "cls.*")
-    scored = grid.join(seen, [key, label], "left").withColumn("score", F.col("prior") + F.col("len") * base + F.coalesce("gain", F.lit(0.0)))
-    best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round("score", 9)), label))
-    return scored.withColumn("at", best).where("at = 1").select(key, F.col(label).alias("prediction"))
+    priors = {r[0]: r[1] / n for r in train.groupBy(label).agg(F.count(F.lit(1))).collect()}
+    counts = written(terms_train.join(train.select(key, label), key).groupBy("term", label).agg(F.sum("tf").alias("c")), "nb-counts")
+    totals = {r[0]: r[1] for r in counts.groupBy(label).agg(F.sum("c")).collect()}
+    size = counts.select("term").distinct().count()
+    classes = sorted(totals)
+    # one row per term with its gain in every class, so that a document's terms are joined once and summed per class
+    gain = [F.coalesce(F.sum(F.when(F.col(label) == F.lit(c), F.log((F.col("c") + smoothing) / F.lit(smoothing)))), F.lit(0.0)).alias(f"g{i}") for i, c in enumerate(classes)]
+    table = counts.groupBy("term").agg(*gain)
+    sums = [F.sum(F.col("tf") * F.col(f"g{i}")).alias(f"s{i}") for i in range(len(classes))]
+    words = terms_test.join(table, "term").groupBy(key).agg(F.sum("tf").alias("len"), *sums)
+    scored = test.select(key).join(words, key, "left")
+    base = [float(np.log(smoothing / (totals[c] + smoothing * size))) for c in classes]
+    scores = [
+        F.struct((-F.round(F.lit(float(np.log(priors[c]))) + F.coalesce("len", F.lit(0)) * F.lit(base[i]) + F.coalesce(f"s{i}", F.lit(0.0)), 9)).alias("loss"), F.lit(c).alias("cls")) for i, c in enumerate(classes)
+    ]
+    # the least loss, ties by class
+    return scored.select(key, F.array_min(F.array(*scores))["cls"].alias("prediction"))
 
 
 # -- evaluation -------------------------------------------------------------------------------------------------------
@@ -320,8 +321,6 @@ def silhouette_of(queries: DataFrame, rows: DataFrame, key: str, label: str, vec
 @EVALUATORS.register("elbow")
 def elbow(df: DataFrame, vector: str, k_min: int = 2, k_max: int = 10, seed: int = 42) -> DataFrame:
     """Inertia of each k, and the k two places after the start of the sharpest bend: ``k, inertia, best``."""
-    from weftline.session import cut
-
     rows, ks, inertia = cut(df.select(vector)), list(range(k_min, k_max + 1)), []
     for k in ks:
         inertia.append(float(MODELS.create("kmeans", features=vector, k=k, max_iter=20, seed=seed).fit(rows).state["model"].summary.trainingCost))

@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.operators.base import PROFILES
-from weftline.operators.features import numeric_columns
+from weftline.operators.features import exact_quantiles, numeric_columns
 from weftline.operators.rowset import column_pairs, duplicate_audit, top_counts
 
 GROUP_STATISTICS = ("count", "mean", "median", "std", "min", "max")
 
 
 def group_profile(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
-    """Per group and number column: count, mean, median, sample deviation, min, max; long form, one pass over the table."""
+    """Per group and number column: count, mean, median, sample deviation, min, max; long form, one pass over the table.
+
+    The exact median keeps a group's distinct values in one task (they are counted on the map side first); for columns of
+    mostly distinct values in huge groups use :func:`weftline.operators.features.exact_quantiles` on the group.
+    """
     long = df.select(F.col(by).cast("string").alias("cluster"), F.posexplode(F.array(*(F.col(c).cast("double") for c in columns))).alias("i", "x"))
     stats = long.groupBy("cluster", "i").agg(
         F.count("x").alias("n"), F.avg("x").alias("mean"), F.median("x").alias("median"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max")
@@ -74,15 +78,16 @@ def null_audit(df: DataFrame) -> DataFrame:
 @PROFILES.register("describe_info")
 def describe_all(df: DataFrame) -> DataFrame:
     """Per column: count, distinct, most frequent value and its count, mean, deviation, min, quartiles, max."""
-    numbers = set(numeric_columns(df))
+    numbers = numeric_columns(df)
+    quartiles = exact_quantiles(df, numbers, (0.25, 0.5, 0.75)) if numbers else {}
     parts = []
     for c in df.columns:
         x = F.col(c).cast("double") if c in numbers else F.lit(None).cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        stats = df.agg(F.count(c).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q.alias("q"), F.max(x).alias("max"))
+        q = [F.lit(v).cast("double").alias(n) for v, n in zip(quartiles.get(c, [None] * 3), ("q25", "q50", "q75"))]
+        stats = df.agg(F.count(c).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")).select("*", *q)
         counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))
         top = counts.agg(F.count(F.lit(1)).alias("unique"), F.max(F.struct("n", F.col("v"))).alias("most"))
-        parts.append(stats.crossJoin(F.broadcast(top)).select(F.lit(c).alias("column"), "count", "unique", F.col("most.v").alias("top"), F.col("most.n").alias("freq"), "mean", "std", "min", F.get("q", F.lit(0)).alias("q25"), F.get("q", F.lit(1)).alias("q50"), F.get("q", F.lit(2)).alias("q75"), "max"))  # one row each
+        parts.append(stats.crossJoin(F.broadcast(top)).select(F.lit(c).alias("column"), "count", "unique", F.col("most.v").alias("top"), F.col("most.n").alias("freq"), "mean", "std", "min", "q25", "q50", "q75", "max"))  # one row each
     return reduce(DataFrame.unionByName, parts)
 
 
