@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.base import EVALUATORS, MODELS, SAMPLERS, Fitted, Operator
+from weftline.operators.base import EVALUATORS, MODELS, REDUCERS, SAMPLERS, Fitted, Operator
 from weftline.session import cut, written
 
 #: Numbers that a broadcast query block may hold: 64 MB of doubles.
@@ -375,6 +375,42 @@ def _merge(edges: Sequence[tuple[float, int, int]], n: int, stop) -> np.ndarray:
     return np.array([order[r] for r in roots])
 
 
+@REDUCERS.register("umap")
+class NeighbourLayout(Operator):
+    """A low-dimensional layout of the fuzzy neighbour graph (spectral, no stochastic refinement): ``key, umap`` of a bounded table.
+
+    Same contract as a manifold reducer, not the same numbers. Rows: at most ``most``; missing values raise.
+    """
+
+    def __init__(self, column: str, key: str, n_components: int = 2, n_neighbors: int = 15, output: str = "umap", most: int = 4_000) -> None:
+        self.column, self.key, self.k, self.near, self.output, self.most = column, key, n_components, n_neighbors, output, most
+
+    def fit(self, df: DataFrame) -> Fitted:
+        ids, x = _local(df.where(F.col(self.column).isNotNull()), self.key, self.column)
+        if len(x) > self.most:
+            raise ValueError(f"this layout takes at most {self.most} rows")
+        if not np.isfinite(x).all():
+            raise ValueError("the vectors hold missing values")
+        n, k = len(x), min(self.near, max(len(x) - 1, 1))
+        sq = np.maximum((x**2).sum(1)[:, None] - 2 * x @ x.T + (x**2).sum(1)[None, :], 0)
+        np.fill_diagonal(sq, np.inf)
+        near = np.argsort(sq, 1)[:, :k] if n > 1 else np.zeros((n, 0), int)
+        d = np.sqrt(np.take_along_axis(sq, near, 1)) if n > 1 else np.zeros((n, 0))
+        w = np.zeros((n, n))
+        if n > 1:
+            # weights fall from 1 at the nearest row; the scale makes each row's weights sum to log2(k)
+            gap, scale = d - d[:, :1], np.maximum(d.mean(1, keepdims=True), 1e-12)
+            np.put_along_axis(w, near, np.exp(-gap / scale), 1)
+        w = w + w.T - w * w.T
+        degree = np.maximum(w.sum(1), 1e-12)
+        lap = np.eye(n) - w / np.sqrt(degree[:, None] * degree[None, :])
+        _, vectors = np.linalg.eigh(lap) if n else (None, np.zeros((0, 0)))
+        at = vectors[:, 1 : self.k + 1]
+        at = np.pad(at, ((0, 0), (0, self.k - at.shape[1])))
+        table = df.sparkSession.createDataFrame(pd.DataFrame({self.key: ids, self.output: at.tolist()}), f"`{self.key}` bigint, `{self.output}` array<double>")
+        return Fitted(lambda d: d.join(table, self.key, "left"), layout=table)
+
+
 @MODELS.register("agglomerative")
 def agglomerative(df: DataFrame, key: str, vector: str, n_clusters: int = 2, linkage: str = "ward") -> DataFrame:
     """Hierarchical clusters (ward, average, complete, single) of at most MOST_LOCAL_ROWS rows: ``key, cluster``."""

@@ -164,6 +164,12 @@ def truncated_svd(spark, d):
     return L.TruncatedSvd("embedding", 3).fit_transform(table(spark, d, "embeddings").select("vec_id", "embedding")).select("vec_id", "svd")
 
 
+@q()
+def neighbour_layout(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return ml.NeighbourLayout("embedding", "vec_id").fit_transform(e).select("vec_id", "umap")
+
+
 # -- profiles ---------------------------------------------------------------------------------------------------------
 
 _NUMBERS = ("l_quantity", "l_extendedprice", "l_discount")
