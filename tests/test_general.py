@@ -148,3 +148,9 @@ def test_depth_is_bounded_by_the_record_only(spark):
     for _ in range(300):
         deep = {"debateSections": [deep]}
     assert _nodes(spark, [json.dumps(deep)]).count() == 301
+
+
+def test_deep_fields_do_not_break_a_record(spark):
+    deep = '{"a":' * 900 + "1" + "}" * 900
+    rows = _nodes(spark, ['{"contributions": [{"text": "x", "speaker": ' + deep + "}]}"]).collect()
+    assert [(r.entity, r.text) for r in rows] == [("section", None), ("contribution", "x")]

@@ -13,7 +13,8 @@ label, text) and the variant it was routed to; :func:`variant_table` is the type
 Defined cases: a null, empty or unparsable text, or one whose root is no object, gives no rows; a text that holds another
 JSON text (encoded twice) is decoded again, also for child lists; a single object or a wrapper object stands for a list;
 nulls in a list take a position and give no row; scalars in a list give a row of variant ``scalar``; an absent, null or
-empty list gives no rows; repeated records give their rows once per record; extra columns are ignored.
+empty list gives no rows; repeated records give their rows once per record; extra columns are ignored. Child lists may nest as deep as the parser
+reads; an object whose other fields nest beyond the interpreter's depth gets the variant ``deep`` and no typed fields.
 """
 
 from __future__ import annotations
@@ -147,8 +148,12 @@ class _Shredder:
             return key, entity, path, parent, pos, "scalar", None, node if isinstance(node, str) else json.dumps(node), None
         first = lambda names: next((node[n] for n in names if isinstance(node.get(n), (str, int))), None)
         label, text = first(self.grammar.labels), first(self.grammar.texts)
-        own = json.dumps({k: v for k, v in node.items() if k not in self.grammar.lists}, ensure_ascii=False) if self.attributes else None
-        return key, entity, path, parent, pos, self.automaton.state(node), None if label is None else str(label), None if text is None else str(text), own
+        try:
+            variant = self.automaton.state(node)
+            own = json.dumps({k: v for k, v in node.items() if k not in self.grammar.lists}, ensure_ascii=False) if self.attributes else None
+        except RecursionError:
+            variant, own = "deep", None
+        return key, entity, path, parent, pos, variant, None if label is None else str(label), None if text is None else str(text), own
 
 
 def shred(df: DataFrame, key: str, payload: str, grammar: Grammar = DEBATES, attributes: bool = True) -> DataFrame:
@@ -188,7 +193,7 @@ _COMMON = ["id", "path", "parent_path", "pos", "label", "text"]
 def variant_table(nodes: DataFrame, entity: str, variant: str) -> DataFrame:
     """The typed table of one variant: the common keys, and the variant's own fields as one typed struct ``own``."""
     rows = nodes.where((F.col("entity") == entity) & (F.col("variant") == variant))
-    if variant == "scalar":
+    if variant in ("scalar", "deep"):
         return rows.select(*_COMMON)
     return rows.select(*_COMMON, F.from_json("attributes", _schema(variant)).alias("own"))
 
