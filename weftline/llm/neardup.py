@@ -12,7 +12,7 @@
 5. Pairs that survive are verified exactly on the whole shingle sets.
 6. Connected components by alternating large-star and small-star steps; every step is written to the shared folder.
 
-Defined cases: a null text, or one of fewer than ``min_words`` words, takes no part; equal texts are linked; a repeated row
+Defined cases: a row without key, a null text, or one of fewer than ``min_words`` words, takes no part; equal texts are linked; a repeated row
 (same key) is the same record and is not paired with itself; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -223,8 +223,16 @@ def classes(df: DataFrame, key: str, fields: list[str], s: Settings = Settings()
         .distinct()
         .join(star, ["a", "b"], "left_anti")
     )
-    second = links(rest, sketches, s)
-    final = components(first.union(second))
+    second = cut(links(rest, sketches, s))
+    # the new links join components, so they are resolved between roots; without any, the first components stand
+    final = roots
+    if not second.isEmpty():
+        root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        joined = second.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+        above = cut(components(joined.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))))
+        placed = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        # nodes that had no component of their own before
+        final = placed.unionAll(above.join(roots, "node", "left_anti").select("node", "root"))
     return sketches.select("field", "id", "node").distinct().join(final, "node", "left").select("field", "id", F.coalesce("root", "node").alias("class_id"))
 
 
