@@ -150,6 +150,16 @@ def test_leaks_with_edits(spark):
     assert leakage.leaks(df.limit(0), ev).count() == 0 and leakage.leaks(df, ev.limit(0)).count() == 0
 
 
+def test_passages_are_cut_out(spark):
+    item = " ".join(f"e{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, f"Before, <b>it</b>. {item.upper()}! After &amp; more."), (2, "Nothing here"), (3, None)], "doc_id bigint, text string")
+    ev = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    found = leakage.leaks(docs, ev)
+    assert [tuple(r) for r in found.collect()] == [(1, 7, 2, 82)]
+    got = {r.doc_id: r.text for r in leakage.without_passages(docs, found).collect()}
+    assert got == {1: "Before, <b>it</b>. ! After &amp; more.", 2: "Nothing here", 3: None}
+
+
 def test_alignment_rule():
     item = np.arange(40)
     swap = item[:20].copy()

@@ -7,7 +7,7 @@ vocabulary, a window of n words is looked up at every position, and every hit is
 A passage is ``least`` or more successive words of an item of which up to one in ``one_in`` were changed in the document
 (replaced, dropped or added). Such a passage always holds a run of six unchanged words (15 words with one change leave
 seven, 20 with two leave six, and no longer passage leaves fewer), so the six-word window finds all of them: the search is
-exact. Words are runs of letters and digits in lower case; tags are markup and count as spaces.
+exact. Words are runs of letters and digits in lower case; tags and character entities are markup and count as spaces.
 
 Defined cases: null, empty and short texts on either side match nothing; a repeated document row is reported under its own
 id, an item once per document; equal items are all reported; empty tables give no rows; extra columns are ignored.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.words import WORD, mix
 
-TAG = re.compile(r"<[^<>]{0,400}>")
+TAG = re.compile(r"<[^<>]{0,400}>|&#?\w{1,8};")
 FOUND = "doc_id bigint, item_id bigint, first_word int, last_word int"
 
 
@@ -44,7 +44,7 @@ class Rules:
 def words_of(text: str | None) -> list[str]:
     if not text:
         return []
-    return WORD.findall((TAG.sub(" ", text) if "<" in text else text).lower())
+    return WORD.findall((TAG.sub(" ", text) if "<" in text or "&" in text else text).lower())
 
 
 def _grams(ids: np.ndarray, size: int) -> np.ndarray:
@@ -186,18 +186,26 @@ def _scan(ids: list[int], texts: list[str | None], test: TestSet) -> list[tuple]
         maybe = _dense(near, r.least, r.one_in, whole=False) & ~sure
         for k in np.flatnonzero(sure | maybe):
             found = (int(D[k]), int(test.owner[Q[k]]))
-            if found in out:
-                continue
             if sure[k]:
-                out[found] = _extent(straight[k], P[k] - reach, r)
-            else:
+                out.setdefault(found, []).append(_extent(straight[k], P[k] - reach, r))
+            elif found not in out:
                 item = theirs[k].copy()
                 item[item < 0] = -3
                 begin = max(0, int(P[k]) - reach - 4)
                 got = aligned(item, doc[begin : int(P[k]) + reach + r.window + 4], r.least, r.one_in)
                 if got:
-                    out[found] = (begin + got[0], begin + got[1])
-    return [(ids[d], int(test.item[i]), s - bounds[d], e - bounds[d]) for (d, i), (s, e) in out.items()]
+                    out[found] = [(begin + got[0], begin + got[1])]
+    return [(ids[d], int(test.item[i]), s - bounds[d], e - bounds[d]) for (d, i), spans in out.items() for s, e in _merged(spans)]
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
 
 
 def _extent(equal: np.ndarray, begin: int, r: Rules) -> tuple[int, int]:
@@ -207,7 +215,10 @@ def _extent(equal: np.ndarray, begin: int, r: Rules) -> tuple[int, int]:
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """``doc_id, item_id, first_word, last_word`` of every document that holds a passage of an item. One scan, no shuffle."""
+    """``doc_id, item_id, first_word, last_word`` of every passage of an item in a document. One scan, no shuffle.
+
+    Words are numbered from 0 in the document; the last one is excluded. Passages of one item that overlap are one row.
+    """
     rows = items.select(F.col(f"`{item_key}`").cast("bigint"), F.col(f"`{item_text}`").cast("string")).where(F.col(f"`{item_text}`").isNotNull())
     size = rows.agg(F.sum(F.length(F.col(f"`{item_text}`")))).first()[0] or 0
     if size > rules.most_grams * 5:
@@ -240,3 +251,32 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text:
 def without_leaks(docs: DataFrame, found: DataFrame, doc_key: str = "doc_id") -> DataFrame:
     """The documents that hold no passage of a test item."""
     return docs.join(found.select(F.col("doc_id").alias(doc_key)).distinct(), doc_key, "left_anti")
+
+
+def without_passages(docs: DataFrame, found: DataFrame, doc_key: str = "doc_id", doc_text: str = "text") -> DataFrame:
+    """``doc_id, text`` of all documents, the leaked passages cut out; all else, white space and markup included, stays.
+
+    The spans of a document are at most a few per test item, so they travel as one array beside its text.
+    """
+    spans = found.groupBy(F.col("doc_id")).agg(F.collect_set(F.struct("first_word", "last_word")).alias("spans"))
+    rows = docs.select(F.col(f"`{doc_key}`").cast("bigint").alias("doc_id"), F.col(f"`{doc_text}`").cast("string").alias("text")).join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [_cut(t, x) for t, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return rows.mapInArrow(run, "doc_id bigint, text string")
+
+
+def _cut(text: str | None, spans: list[dict] | None) -> str | None:
+    if not text or not spans:
+        return text
+    # markup becomes as many spaces, so that places stay
+    words = [m.span() for m in WORD.finditer(TAG.sub(lambda m: " " * len(m.group()), text))]
+    out, at = [], 0
+    for s, e in _merged([(x["first_word"], x["last_word"]) for x in spans]):
+        if s < len(words):
+            out.append(text[at : words[s][0]])
+            at = words[min(e, len(words)) - 1][1]
+    return "".join(out) + text[at:]

@@ -28,6 +28,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
 
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """The documents without the leaked passages."""
+    docs = table(spark, d, "documents")
+    return leakage.without_passages(docs, leakage.leaks(docs, table(spark, d, "eval_items")))
+
+
 def p8_by_source(spark: SparkSession, d: str) -> DataFrame:
     """Leaking documents and leaked items by source."""
     docs = table(spark, d, "documents")
@@ -85,5 +91,5 @@ def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "source").join(words, "doc_id").groupBy("source").agg(F.count_if(F.col("n_prose") <= 0.5 * F.col("n_words")).alias("n_stuffed"), *sums)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p4_found, p4_mix, p5_found, p5_masked, p7_containers, p7_fill, p8_found, p8_by_source, p9_found, p9_by_source)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p4_found, p4_mix, p5_found, p5_masked, p7_containers, p7_fill, p8_found, p8_cleaned, p8_by_source, p9_found, p9_by_source)}
 ORACLES: dict[str, str] = {}
