@@ -92,4 +92,17 @@ def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p4_found, p4_mix, p5_found, p5_masked, p7_containers, p7_fill, p8_found, p8_cleaned, p8_by_source, p9_found, p9_by_source)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # all pairs that share a run of words; in reach on the small tables the check uses
+    "p1_found": """
+WITH RECURSIVE texts AS (
+  SELECT Id, 'QuestionText' AS field, QuestionText AS x FROM oireachtas_questions UNION ALL SELECT Id, 'AnswerText', AnswerText FROM oireachtas_questions),
+words AS (SELECT field, Id, regexp_extract_all(lower(x), '[\\p{L}\\p{N}]+') AS w FROM texts WHERE x IS NOT NULL),
+runs AS (SELECT DISTINCT field, Id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM words WHERE len(w) >= 12),
+sizes AS (SELECT field, Id, count(*) AS n FROM runs GROUP BY ALL),
+shared AS (SELECT field, a.Id AS a, b.Id AS b, count(*) AS k FROM runs a JOIN runs b USING (field, g) WHERE a.Id < b.Id GROUP BY ALL),
+links AS (SELECT s.field, a, b FROM shared s JOIN sizes x ON x.field = s.field AND x.Id = a JOIN sizes y ON y.field = s.field AND y.Id = b WHERE 2 * k >= x.n + y.n - k),
+both_ways AS (SELECT field, a, b FROM links UNION ALL SELECT field, b, a FROM links),
+reach AS (SELECT field, a, b FROM both_ways UNION SELECT r.field, r.a, e.b FROM reach r JOIN both_ways e ON e.field = r.field AND e.a = r.b)
+SELECT field, a AS id_a, b AS id_b FROM reach WHERE a < b""",
+}
