@@ -130,6 +130,27 @@ pipelines:
         pipeline.run([{"stage": "nope"}], spark)
 
 
+def test_ingest_stage_is_idempotent(spark, tmp_path):
+    entry_ = {"stage": "ingest", "params": {"connector": "oireachtas_questions", "transport": replies(30), "folder": str(tmp_path), "options": {"date_start": "2024-01-01", "date_end": "2024-01-20"}}}
+    for _ in range(2):
+        pipeline.run([entry_], spark)
+    assert spark.read.parquet(str(tmp_path / "oireachtas_questions.parquet")).count() == 30
+
+
+def test_every_record_kind_has_rows(spark):
+    samples = {
+        "oireachtas_parties": {"party": {"showAs": "P", "partyCode": "p", "house": {"houseCode": "dail", "houseNo": "33"}}}, "boards": {"discussionID": "5", "name": "t", "body": "b", "closed": True, "dateInserted": "2024-01-01T10:00:00"},
+        "boards_comments": {"commentID": 1, "discussionID": 5, "body": "x", "dateInserted": "2024-01-01T10:00:00"}, "steam_store": {"steam_appid": 7, "name": "G"}, "oireachtas_members": {"member": {"pId": "P1", "fullName": "A B", "memberships": []}},
+        "oireachtas_debates": {"debateRecord": {"date": "2024-01-01", "debateSections": [{"debateSection": {"debateSectionId": "s", "contributions": []}}]}},
+    }
+    for name, sample in samples.items():
+        got = records.rows_of(spark.createDataFrame([(json.dumps(sample),)], "value string"), name)
+        first, keys = next(iter(got.values()))
+        assert first.count() == 1 and all(first.first()[k] is not None for k in keys), name
+    with pytest.raises(KeyError):
+        records.rows_of(spark.createDataFrame([("{}",)], "value string"), "steam_app_list")
+
+
 def test_experiment(spark):
     rows = [(i, [float(i % 2), 1.0], float(i % 2)) for i in range(40)]
     df = spark.createDataFrame(rows, "id bigint, features array<double>, label double")

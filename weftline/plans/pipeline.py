@@ -20,7 +20,8 @@ from weftline.functions import text as X
 from weftline.functions.predicates import filter_rows, prefilter_rows
 from weftline.operators import features, joins, ml, profile, rowset
 from weftline.operators.base import ENCODERS, IMPUTERS, MODELS, PROFILES, REDUCERS, SCALERS, VECTORIZERS
-from weftline.sources import sinks
+from weftline.session import cut
+from weftline.sources import connectors, records, sinks
 from weftline.sources.catalog import Catalog
 
 log = logging.getLogger(__name__)
@@ -66,6 +67,16 @@ def _extract(flow: Flow, p: dict) -> None:
         sinks.write_csv(flow.data, p["output_csv"])
 
 
+@stage("ingest")
+def _ingest(flow: Flow, p: dict) -> None:
+    """Read a connector and append what is new to the tables of ``folder``; ``transport`` may be injected in code."""
+    transport = p.get("transport", connectors.http)
+    raw = cut(connectors.load(flow.spark, p["connector"], transport, **{k: str(v) for k, v in (p.get("options") or {}).items()}))
+    for name, (rows, keys) in records.rows_of(raw, p["connector"]).items():
+        sinks.append_new(rows, f"{p['folder']}/{name}.parquet", keys)
+        flow.results[name] = rows
+
+
 #: Preprocessors of whole tables: (table, parameters) -> table.
 TABLE_STEPS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {
     "remove_duplicates": lambda d, p: rowset.dedupe(d, p["field"], p["row_key"], p.get("keep", "first"), p.get("case_sensitive", True), not p.get("dropna", True)),

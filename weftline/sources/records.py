@@ -11,10 +11,56 @@ from pyspark.sql import functions as F
 
 from weftline.functions.scalars import join_strings, keys_where_true, parse_date, parse_release_date
 from weftline.functions.text import clean_speaker, python_bool
+from weftline.operators.joins import normalise_members
 
 SPEECH = "speaker string, recorded string, answer string"
 
 
+#: The parts of each source's records that are read; everything else is ignored.
+PAYLOADS = {
+    "oireachtas_questions": "question struct<uri:string,questionNumber:string,questionType:string,date:string,showAs:string,`by`:struct<showAs:string,uri:string,memberCode:string>,`to`:struct<showAs:string,uri:string,roleCode:string,roleType:string>,house:struct<showAs:string,chamberType:string,committeeCode:string>,debateSection:struct<uri:string,showAs:string,formats:struct<xml:struct<uri:string>>>>",
+    "oireachtas_members": "member struct<pId:string,memberCode:string,firstName:string,fullName:string,showAs:string,gender:string,dateOfDeath:string,memberships:array<struct<membership:struct<uri:string,house:struct<houseCode:string,houseNo:string>,dateRange:struct<start:string,end:string>,parties:array<struct<party:struct<partyCode:string,showAs:string,dateRange:struct<start:string,end:string>>>>,represents:array<struct<represent:struct<representCode:string,showAs:string,representType:string>>>>>>>",
+    "oireachtas_parties": "party struct<showAs:string,partyCode:string,house:struct<houseCode:string,houseNo:string>>, house struct<houseCode:string,houseNo:string>",
+    "oireachtas_debates": "debateRecord struct<date:string,debateSections:array<struct<debateSection:struct<debateSectionId:string,showAs:string,contributions:array<struct<text:string,speaker:struct<showAs:string,uri:string,role:string>,contributionType:string>>>>>>",
+    "boards": "discussionID string, type string, name string, body string, categoryID string, dateInserted string, dateUpdated string, dateLastComment string, insertUserId bigint, updateUserID bigint, lastUserID bigint, closed boolean, countComments bigint, canonicalUrl string",
+    "boards_comments": "commentID bigint, discussionID bigint, parentRecordType string, parentRecordID bigint, name string, categoryID int, body string, dateInserted string, dateUpdated string, updateUserID bigint, score int, depth int, scoreChildComments int, countChildComments int, url string, type string, format string, attributes string",
+    "steam_store": "data struct<steam_appid:bigint,name:string,type:string,is_free:boolean,developers:array<string>,publishers:array<string>,platforms:map<string,boolean>,categories:array<struct<description:string>>,genres:array<struct<description:string>>,supported_languages:string,price_overview:struct<currency:string,initial:bigint,final:bigint,discount_percent:bigint>,recommendations:struct<total:bigint>,metacritic:struct<score:bigint,url:string>,release_date:struct<date:string>,content_descriptors:struct<ids:array<int>>>",
+}
+
+
+def parsed(raw: DataFrame, connector: str, column: str = "value") -> DataFrame:
+    """A connector's JSON texts as typed columns."""
+    ddl = PAYLOADS[connector]
+    text = F.concat(F.lit('{"data":'), F.col(column), F.lit("}")) if connector == "steam_store" else F.col(column)
+    return raw.select(F.from_json(text, ddl).alias("r")).select("r.*")
+
+
+def comment_rows(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.try_to_timestamp(F.col(c)) for c in ("dateInserted", "dateUpdated")})
+
+
+def rows_of(raw: DataFrame, connector: str) -> dict[str, tuple[DataFrame, list[str]]]:
+    """What a connector's records become: table name -> (rows, key)."""
+    df = parsed(raw, connector)
+    if connector == "oireachtas_questions":
+        return {"oireachtas_questions": (question_rows(df), ["QuestionURI"])}
+    if connector == "oireachtas_parties":
+        return {"oireachtas_parties": (party_rows(df), ["PartyCode", "HouseCode", "HouseNo"])}
+    if connector == "oireachtas_debates":
+        sections, contributions = debate_rows(df)
+        return {"oireachtas_debate_sections": (sections, ["DebateSectionId"]), "oireachtas_debate_contributions": (contributions, ["DebateSectionId", "Sequence"])}
+    if connector == "oireachtas_members":
+        t = normalise_members(df)
+        return {"oireachtas_members": (t["members"], ["pId"]), "oireachtas_member_memberships": (t["memberships"], ["membership_id"]), "oireachtas_member_party_memberships": (t["parties"], ["membership_id", "partyCode"]), "oireachtas_member_representations": (t["representations"], ["membership_id", "representCode"])}
+    if connector == "boards":
+        return {"boards_discussions": (discussion_rows(df), ["DiscussionId"])}
+    if connector == "boards_comments":
+        return {"boards_comments": (comment_rows(df), ["commentID"])}
+    if connector == "steam_store":
+        return {"steam_games": (df.select(*game_row()), ["AppID"])}
+    raise KeyError(f"records of {connector!r} have no table")
+
+
 def _speech(text: str | None) -> tuple:
     """Speaker, time and paragraphs of the first speech, at any namespace; nothing for a document without one."""
     if not text:
