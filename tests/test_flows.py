@@ -38,6 +38,17 @@ def test_pages_and_windows():
     assert connectors.months(date(2024, 1, 31), date(2024, 2, 1)) == [(date(2024, 1, 31),) * 2, (date(2024, 2, 1),) * 2]
 
 
+def test_requests_of_every_connector():
+    ask = lambda name, **o: [r.params for r in connectors.requests(name, o, replies(1))]
+    assert ask("boards", category_id="5", date_start="2024-01-01", date_end="2024-01-02") == [{"CategoryID": "5", "dateLastComment": f"2024-01-0{i}"} for i in (1, 2)]
+    assert ask("boards_comments", ids="7,8", date_start="2024-01-01") == [{"discussionid": i, "dateInserted": "[2024-01-01,2024-01-01]"} for i in "78"]
+    assert ask("oireachtas_debates", date_start="2024-01-01", date_end="2024-01-01") == [{"date": "2024-01-01"}]
+    assert ask("oireachtas_members", chamber="dail", date_start="2024-01-01", date_end="2024-02-01") == [{"chamber": "dail", "date_start": "2024-01-01", "date_end": "2024-02-01"}]
+    assert ask("steam_current_user", ids="1,2") == [{"appid": "1"}, {"appid": "2"}]
+    none = connectors._Reader("steam_current_user", {"ids": "3"}, lambda url, params: (404, None))
+    assert [json.loads(v) for p in none.partitions() for (v,) in none.read(p)] == [{"AppID": 3}]
+
+
 def test_fetch_retries():
     calls, waits = [], []
 

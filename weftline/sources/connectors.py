@@ -121,7 +121,7 @@ SERVICES: dict[str, Service] = {
     "oireachtas_parties": Service(f"{API}/parties", 50, lambda b: ((b or {}).get("results", {}) or {}).get("house", {}).get("parties", []) if isinstance((b or {}).get("results"), dict) else _results(b), _total, PARTY_SKIP),
     "boards": Service("https://www.boards.ie/api/v2/discussions", 50, lambda b: b or [], paging="page"),
     "boards_comments": Service("https://www.boards.ie/api/v2/comments", 500, lambda b: b or [], paging="page"),
-    "steam_app_list": Service("https://api.steampowered.com/ISteamApps/GetAppList/v2", 0, lambda b: (b or {}).get("applist", {}).get("apps", []), paging="none"),
+    "steam_app_list": Service("https://api.steampowered.com/IStoreService/GetAppList/v1/", 0, lambda b: (b or {}).get("response", {}).get("apps", []), paging="none"),
     "steam_store": Service("https://store.steampowered.com/api/appdetails", 0, lambda b: [v["data"] for v in (b or {}).values() if v and v.get("success")], paging="none"),
     "steam_review": Service("https://store.steampowered.com/appreviews/{id}", 0, lambda b: [(b or {})["query_summary"]] if (b or {}).get("query_summary") else [], paging="none"),
     "steam_current_user": Service("https://api.steampowered.com/ISteamUserStats/GetNumberOfCurrentPlayers/v1", 0, lambda b: [(b or {}).get("response") or {}], paging="none"),
@@ -166,13 +166,14 @@ def requests(name: str, options: dict[str, Any], transport: Transport = http) ->
     span = [date.fromisoformat(options[k]) for k in ("date_start", "date_end") if options.get(k)]
     if name == "boards_comments":
         window = {"dateInserted": f"[{span[0]},{span[-1]}]"} if span else {}
-        return [Request(base | {"discussionID": i} | window, service.url, {"discussionID": int(i)}) for i in ids]
+        return [Request(base | {"discussionid": i} | window, service.url, {"discussionID": int(i)}) for i in ids]
     if name == "boards":
-        return [Request(base | {"categoryID": options.get("category_id"), "dateLastComment": f"[{a},{b}]"}, service.url, {}) for a, b in days(span[0], span[-1])]
+        asked = base | {"CategoryID": options.get("category_id")}
+        return [Request(asked | {"dateLastComment": str(a)}, service.url, {}) for a, _ in days(span[0], span[-1])] if span else [Request(asked, service.url, {})]
     if name == "steam_store":
         return [Request(base | {"appids": i}, service.url, {"AppID": int(i)}) for i in ids]
     if name == "steam_review":
-        return [Request(base | {"json": 1, "purchase_type": "all"}, service.url.format(id=i), {"AppID": int(i)}) for i in ids]
+        return [Request(base | {"json": 1, "purchase_type": "all", "num_per_page": 1}, service.url.format(id=i), {"AppID": int(i)}) for i in ids]
     if name == "steam_current_user":
         return [Request(base | {"appid": i}, service.url, {"AppID": int(i)}) for i in ids]
     if name == "oireachtas_questions" and span:
@@ -184,7 +185,9 @@ def requests(name: str, options: dict[str, Any], transport: Transport = http) ->
             out += [Request(base | {"date_start": str(x), "date_end": str(y)}, service.url, {}) for x, y in windows]
         return out
     if name == "oireachtas_debates" and span:
-        return [Request(base | {"date_start": str(a), "date_end": str(b)}, service.url, {}) for a, b in days(span[0], span[-1])]
+        return [Request(base | {"date": str(a)}, service.url, {}) for a, _ in days(span[0], span[-1])]
+    if name == "steam_app_list":
+        base = {"include_games": 1, "cc": "ie", "l": "en", "max_results": 50_000} | base
     if span:
         base |= {"date_start": str(span[0]), "date_end": str(span[-1])}
     return [Request(base, service.url, {})]
