@@ -283,7 +283,7 @@ def test_personal_data_cases():
         "at Flat 3B, 67 Venvarish Park Tuluintolm Q64 J0B6 last spring": [("address", "Flat 3B, 67 Venvarish Park Tuluintolm Q64 J0B6")], "Apt 6, 2 Bremdorish Rd., Breeltbrack, Co. Knockimoquill, J48S4M5 and": [("address", "Apt 6, 2 Bremdorish Rd., Breeltbrack, Co. Knockimoquill, J48S4M5")],
         "36 Corvvarin Lane,\nTown\nU09 Z5L3 please": [("address", "36 Corvvarin Lane,\nTown\nU09 Z5L3")], "Traffic on Mardtuvett Street is cruel, 33 parking bays near it": [],
         "Ask for Ms Anna MacTarrmarula": [("person", "Ms Anna MacTarrmarula")], "regards, Corvshaish, Mark": [("person", "Corvshaish, Mark")], "by Dr. O'Havlenish and P. Ní Neskbrenin": [("person", "Dr. O'Havlenish"), ("person", "P. Ní Neskbrenin")],
-        "that was Mark B. Pelldorula's idea": [("person", "Mark B. Pelldorula")], "seán corvmarula said": [("person", "seán corvmarula")], "Anna from work, Mark my words; the Tarrmarula Cup; Mark Mardtuvett & Sons; MacTarrmarula Motors": [], "": [],
+        "that was Mark B. Pelldorula's idea": [("person", "Mark B. Pelldorula")], "that was Anna Ní Neskbrenin's idea": [("person", "Anna Ní Neskbrenin")], "seán corvmarula said": [("person", "seán corvmarula")], "Anna from work, Mark my words; the Tarrmarula Cup; Mark Mardtuvett & Sons; MacTarrmarula Motors": [], "": [],
     }
     assert {t: spans(t) for t in cases} == cases
 

@@ -111,6 +111,13 @@ def _lowered(text: str) -> str:
 _WORDS = re.compile(r"[^\W\d_](?:(?!['’][sS](?![^\W\d_]))['’]?[^\W\d_])*")
 
 
+_GAP = re.compile(r"[ \t]+")
+_INITIAL = re.compile(r"[^\W\d_]\.[ \t]+")
+_FAMILY_FIRST = re.compile(r"((?:(?:ní|nic|ó|uí)[ ])?[^\W\d_](?:['’]?[^\W\d_])+),[ ]$", re.I)
+_TITLE_BEFORE = re.compile(r"\b(" + "|".join(TITLES) + r")\.?[ ]$", re.I)
+_AFTER_NAME = re.compile(r"[ \t]+(&|[^\W\d_]+)")
+
+
 class Finder:
     """The automaton and its parsers; one per executor process."""
 
@@ -271,7 +278,7 @@ class Finder:
         if what == "title":
             if text[at : at + 1] == ".":
                 at += 1
-            gap = re.compile(r"[ \t]+").match(text, at)
+            gap = _GAP.match(text, at)
             if not gap:
                 return None
             at = gap.end()
@@ -283,16 +290,16 @@ class Finder:
                 if tail:
                     return self._unless_firm(text, begin, tail)
                 return None
-            initial = re.compile(r"[^\W\d_]\.[ \t]+").match(text, at)
+            initial = _INITIAL.match(text, at)
             tail = self._family(text, initial.end() - 1) if initial else self._family(text, at, gap=False)
             return self._unless_firm(text, begin, tail) if tail else None
         # a given name: "Given [X.] Family", or "Family, Given"
         tail = self._family(text, at)
         if tail:
             return self._unless_firm(text, begin, tail)
-        head = re.compile(r"((?:(?:ní|nic|ó|uí)[ ])?[^\W\d_](?:['’]?[^\W\d_])+),[ ]$", re.I).search(text, max(0, start - 40), start)
+        head = _FAMILY_FIRST.search(text, max(0, start - 40), start)
         if head and names.is_family(head.group(1).lower().split(" ")[-1]):
-            title = re.compile(r"\b(" + "|".join(TITLES) + r")\.?[ ]$", re.I).search(text, max(0, head.start() - 12), head.start())
+            title = _TITLE_BEFORE.search(text, max(0, head.start() - 12), head.start())
             return (title.start() if title else head.start()), after, 4
         return None
 
@@ -301,7 +308,7 @@ class Finder:
         names = self.names
         for _ in range(3):
             if gap:
-                space = re.compile(r"[ \t]+").match(text, at)
+                space = _GAP.match(text, at)
                 if not space:
                     return None
                 at = space.end()
@@ -310,10 +317,9 @@ class Finder:
                 return None
             low = word.group().lower()
             if low in ("ní", "ni", "nic", "ó", "uí"):
-                more = re.compile(r"[ \t]+([^\W\d_](?:['’]?[^\W\d_])+)").match(text, word.end())
-                if more and names.is_family(more.group(1)):
-                    return more.end()
-                return None
+                gap_after = _GAP.match(text, word.end())
+                more = _WORDS.match(text, gap_after.end()) if gap_after else None
+                return more.end() if more and names.is_family(more.group()) else None
             if names.is_family(low):
                 return word.end()
             if len(low) == 1 or low in names.given:
@@ -324,7 +330,7 @@ class Finder:
 
     @staticmethod
     def _unless_firm(text: str, begin: int, end: int):
-        after = re.compile(r"[ \t]+(&|[^\W\d_]+)").match(text, end)
+        after = _AFTER_NAME.match(text, end)
         if after and after.group(1).lower() in FIRMS and (after.group(1) == "&" or after.group(1)[0].isupper()):
             return None
         return begin, end, 4
