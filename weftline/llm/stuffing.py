@@ -85,16 +85,17 @@ def _units(text: str) -> list[tuple[str, list[str]]]:
 
 
 def _frequent(units: list[tuple[str, list[str]]]) -> set[tuple[str, str]]:
-    """Word pairs that make up a large part of the page: the keywords it repeats."""
+    """Word pairs that make up a large part of the page: the keywords it repeats. A sentence that is repeated counts once."""
+    distinct = {tuple(bare) for _, bare in units}
     words = Counter()
-    for _, bare in units:
+    for bare in distinct:
         words.update(bare)
-    least = max(4, FREQUENT_PAIR * (words.total() - len(units)))
+    least = max(4, FREQUENT_PAIR * (words.total() - len(distinct)))
     # a frequent pair has frequent words, which most pages lack
     common = {w for w, n in words.items() if n >= least and w not in FUNCTION_WORDS}
     if not common:
         return common
-    pairs = Counter(p for _, bare in units for p in zip(bare, bare[1:]) if p[0] in common and p[1] in common)
+    pairs = Counter(p for bare in distinct for p in zip(bare, bare[1:]) if p[0] in common and p[1] in common)
     return {p for p, n in pairs.items() if n >= least}
 
 
@@ -117,7 +118,7 @@ def _features(unit: str, bare: list[str], frequent: set[tuple[str, str]]) -> tup
         # no more pairs are repeated than words
         repeated = 1 + (_level(1 - len(set(zip(bare, bare[1:]))) / (n - 1), 0.04, 0.15) if again > 0.04 * (n - 1) else 0)
     if frequent and n > 1:
-        repeated = max(repeated, 1 + _level(sum(p in frequent for p in zip(bare, bare[1:])) / (n - 1), 0.08, 0.18, 0.30))
+        repeated = max(repeated, 1 + _level(sum(p in frequent for p in zip(bare, bare[1:])) / (n - 1), 0.05, 0.12, 0.20))
     body = unit.strip()
     shape = (body[:1].isupper() or body[:1].isdigit()) + (body[-1:] in ".!?…")
     return (
