@@ -190,3 +190,20 @@ def test_registered_queries_match_sql(spark):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_push_filters_and_form_no_cross_products(spark):
+    q = entry.queries()
+    plan = _plan(q["scan_filter_range"](spark, SF))
+    assert "GreaterThanOrEqual(o_totalprice" in plan.partition("PushedFilters:")[2] and "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan
+    assert "EqualTo(o_orderstatus,F)" in _plan(q["scan_filter_eq"](spark, SF))
+    assert "GreaterThan(o_totalprice" in _plan(q["filter_gt_numeric"](spark, SF))
+    for name in ("p3_found", "p6_found", "dedupe_first", "lookup_join_overwrite", "anti_join_new_keys", "upsert_merge", "catalog_count_sum", "tfidf_norms", "box_stats", "cramers_v", "kfold_stratified", "class_weights", "nearest_rows", "word_freq_by_class"):
+        plan = _plan(q[name](spark, SF))
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+    # interval merging shuffles once, and what it shuffles is merged already
+    assert _plan(q["p3_found"](spark, SF)).count("Exchange hashpartitioning") == 1

@@ -37,6 +37,12 @@ def test_row_filter_is_two_valued(spark):
     assert ids(filter_rows(df, "day", ["2024-01-01"], "not_in")) == [2, 3, 4]
 
 
+def test_comparisons_refuse_nan_and_read_text(spark):
+    df = spark.createDataFrame([(1, 5.0, "5"), (2, float("nan"), "nan"), (3, None, "x"), (4, 9.0, "10")], "id int, x double, t string")
+    assert ids(filter_rows(df, "x", 6, "gt")) == [4] and ids(filter_rows(df, "x", 6, "gt", include=False)) == [1, 2, 3] and ids(filter_rows(df, "x", 6, "lt")) == [1]
+    assert ids(filter_rows(df, "t", 6, "gt")) == [4] and ids(filter_rows(df, "t", "9", "lte")) == [1]
+
+
 def test_prefilter(spark):
     df = spark.createDataFrame([(1, " Action "), (2, "rpg"), (3, None)], "id int, g string")
     assert ids(prefilter_rows(df, "g", "action")) == [2, 3]

@@ -12,6 +12,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ORDERINGS = {"gt": "__gt__", "gte": "__ge__", "lt": "__lt__", "lte": "__le__"}
 
@@ -78,9 +79,17 @@ def _literal(value: Any) -> tuple[str, Any]:
         return "text", text
 
 
-def compared(c: Column, operator: str, value: Any) -> Column:
-    """An ordering comparison whose type is decided, once, by what the literal can be read as."""
+def compared(c: Column, operator: str, value: Any, dtype: T.DataType | None = None) -> Column:
+    """An ordering comparison whose type is decided, once, by what the literal can be read as.
+
+    A column that is known to be of that type is compared as it is, so that the comparison can be pushed to the scan.
+    """
     kind, literal = _literal(value)
+    if kind == "number" and isinstance(dtype, T.NumericType):
+        # NaN is the greatest double: only a lower bound has to refuse it
+        above = operator in ("gt", "gte") and isinstance(dtype, (T.DoubleType, T.FloatType))
+        test = getattr(c, ORDERINGS[operator])(literal)
+        return test & ~F.isnan(c) if above else test
     if kind == "number":
         number = c.try_cast("double")
         c = F.when(~F.isnan(number), number)
@@ -92,7 +101,7 @@ def compared(c: Column, operator: str, value: Any) -> Column:
     return getattr(c, ORDERINGS[operator])(literal)
 
 
-def row_mask(name: str, values: Any = None, operator: str = "in", case_sensitive: bool = True) -> Column:
+def row_mask(name: str, values: Any = None, operator: str = "in", case_sensitive: bool = True, dtype: T.DataType | None = None) -> Column:
     """The predicate of the row filter; null where neither matched nor refused."""
     c, listed = F.col(name), _listed(values)
     given = [v for v in listed if v is not None]
@@ -112,7 +121,7 @@ def row_mask(name: str, values: Any = None, operator: str = "in", case_sensitive
     if not given:
         return F.lit(False)
     if operator in ORDERINGS:
-        return compared(c, operator, given[0])
+        return compared(c, operator, given[0], dtype)
     if operator in ("contains", "regex"):
         return F.rlike(c.cast("string"), F.lit(("" if case_sensitive else "(?i)") + str(given[0])))
     return F.lit(False)
@@ -122,7 +131,7 @@ def filter_rows(df: DataFrame, field: str, values: Any = None, operator: str = "
     """Keep the matching rows (or, with ``include=False``, all others, null included). An absent field leaves the table as it is."""
     if field not in df.columns:
         return df
-    mask = row_mask(field, values, operator, case_sensitive)
+    mask = row_mask(field, values, operator, case_sensitive, df.schema[field].dataType)
     return df.where(mask) if include else df.where(~F.coalesce(mask, F.lit(False)))
 
 
