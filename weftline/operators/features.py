@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from weftline.functions.scalars import LOGS, cell_tokens, cyclic, shifted
 from weftline.operators.base import ENCODERS, IMPUTERS, REDUCERS, SAMPLERS, SCALERS, VECTORIZERS, Fitted, Operator
 from weftline.operators.rowset import hashed_order
+from weftline.session import cut
 
 MOST_CATEGORIES = 10_000
 
@@ -231,8 +232,14 @@ class LabelEncoder(Operator):
         self.column, self.output, self.unseen = column, output or column, unseen
 
     def codes(self, df: DataFrame) -> DataFrame:
-        values = df.select(self.column).where(F.col(self.column).isNotNull()).distinct()
-        return values.select(F.col(self.column).alias("value"), (F.dense_rank().over(Window.orderBy(self.column)) - 1).cast("long").alias("code"))
+        """``value, code``. Values are range-partitioned and numbered within their part, after the parts before it: no task sees all."""
+        values = df.select(F.col(self.column).alias("value")).where("value is not null").distinct()
+        # the parts are fixed by computing them once
+        parts = cut(values.repartitionByRange("value").withColumn("part", F.spark_partition_id()))
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+        inner = F.row_number().over(Window.partitionBy("part").orderBy("value")) - 1
+        return parts.withColumn("i", inner).join(offsets, "part").select("value", (F.col("i") + F.col("offset")).cast("long").alias("code"))
 
     def fit(self, df: DataFrame) -> Fitted:
         codes = self.codes(df)
