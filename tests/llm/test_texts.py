@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -77,6 +78,18 @@ def test_fields_are_kept_apart(spark):
     assert [tuple(r) for r in neardup.linked_pairs(df, "id", ["a", "b"]).collect()] == [("a", 1, 3)]
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 5)), max_size=40), st.integers(1, 7))
+def test_shared_buckets_in_any_batches(rows, size):
+    rows = sorted(rows)
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[a : a + size]], pa.int64()) for i in (0, 1)], ["bucket", "node"]) for a in range(0, len(rows), size)]
+    got = sorted((r["bucket"], r["node"], r["head"]) for b in neardup.shared_buckets(iter(batches)) for r in b.to_pylist())
+    groups = defaultdict(set)
+    for b, n in rows:
+        groups[b].add(n)
+    assert got == sorted((b, n, min(ns)) for b, ns in groups.items() if len(ns) > 1 for n in ns)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(64)] + [(200, 201)], "a bigint, b bigint")
     got = {r.node: r.root for r in neardup.components(edges).collect()}

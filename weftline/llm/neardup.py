@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from weftline.llm.words import WORD, mix, shingle_hashes, word_hashes
 from weftline.session import cut, written
 
+SHARED = "bucket bigint, node bigint, head bigint"
 SKETCH = "field int, id bigint, node bigint, n int, sig binary, buckets array<bigint>, shingles binary"
 
 
@@ -114,6 +115,35 @@ def _sketch(kept: list[tuple], sets: list[np.ndarray], s: Settings) -> pa.Record
     )
 
 
+def shared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``bucket, node`` sorted by both to ``bucket, node, head`` of the buckets that hold two nodes or more.
+
+    A bucket's head is its first, smallest node. Rows stream by: what is kept between batches is one row, so a bucket may be
+    of any size. Repeats of a node in a bucket are dropped.
+    """
+    last, head, alone = None, None, False
+    for batch in batches:
+        bucket, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(bucket):
+            continue
+        fresh = np.empty(len(bucket), bool)
+        fresh[0] = last is None or bucket[0] != last[0]
+        fresh[1:] = bucket[1:] != bucket[:-1]
+        again = np.empty(len(bucket), bool)
+        again[0] = not fresh[0] and node[0] == last[1]
+        again[1:] = ~fresh[1:] & (node[1:] == node[:-1])
+        bucket, node, fresh = bucket[~again], node[~again], fresh[~again]
+        if not len(bucket):
+            continue
+        start = np.maximum.accumulate(np.where(fresh, np.arange(len(bucket)), -1))
+        heads = np.where(start >= 0, node[start], head if head is not None else 0)
+        # the second node of a bucket brings its head along
+        second = ~fresh & np.concatenate(([alone], fresh[:-1]))
+        out = [np.concatenate((x[~fresh], y[second])) for x, y in ((bucket, bucket), (node, heads), (heads, heads))]
+        last, head, alone = (bucket[-1], node[-1]), heads[-1], bool(fresh[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["bucket", "node", "head"])
+
+
 def posterior(matches: int, compared: int, threshold: float, chance: float = 1 / 256, cells: int = 2000) -> float:
     """P(similarity >= threshold | ``matches`` of ``compared`` values agree), uniform prior, chance agreement included."""
     grid = (np.arange(cells) + 0.5) / cells
@@ -203,9 +233,8 @@ def classes(df: DataFrame, key: str, fields: list[str], s: Settings = Settings()
     texts = df.select(F.col(f"`{key}`").cast("bigint").alias("id"), cells.alias("c")).select("c.field", "id", "c.text").where("text is not null and id is not null")
     sketches = written(texts.mapInArrow(sketcher(s), SKETCH), "neardup-sketches")
 
-    rows = sketches.select("node", F.explode("buckets").alias("bucket"))
-    heads = rows.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head != last").select("bucket", "head")
-    shared = written(rows.join(heads, "bucket").distinct(), "neardup-buckets")
+    rows = sketches.select(F.explode("buckets").alias("bucket"), "node")
+    shared = written(rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(shared_buckets, SHARED), "neardup-buckets")
 
     star = cut(shared.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
     first = cut(links(star, sketches, s))
