@@ -72,6 +72,13 @@ def test_pairs_against_brute_force(spark):
     assert {r.field for r in neardup.linked_pairs(df.limit(0), "id", ["t"]).collect()} == set()
 
 
+def test_no_pair_just_at_the_threshold_is_missed(spark):
+    # ten words of 14 in common: 8 of 16 runs, similarity exactly 0.5
+    texts = [(2 * k + side, " ".join([f"c{k}x{i}" for i in range(10)] + [f"s{k}x{side}x{i}" for i in range(4)])) for k in range(3000) for side in (0, 1)]
+    got = {(r.id_a, r.id_b) for r in neardup.linked_pairs(spark.createDataFrame(texts, "id bigint, t string"), "id", ["t"]).collect()}
+    assert got == {(2 * k, 2 * k + 1) for k in range(3000)}
+
+
 def test_fields_are_kept_apart(spark):
     text = "one two three four five six seven eight nine ten eleven twelve thirteen"
     df = spark.createDataFrame([(1, text, "x"), (2, "y", text), (3, text.upper() + "!", None)], "id bigint, a string, b string")
@@ -90,6 +97,25 @@ def test_shared_buckets_in_any_batches(rows, size):
     assert got == sorted((b, n, min(ns)) for b, ns in groups.items() if len(ns) > 1 for n in ns)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 14), min_size=1, max_size=9), min_size=1, max_size=12), st.integers(1, 9), st.integers(1, 6), st.sets(st.integers(0, 14)))
+def test_thinned_prefixes_lose_no_pair(sets, size, widest, often):
+    every = mix(np.arange(1, 16, dtype=np.uint64))
+    sets = [np.sort(every[sorted(x)]) for x in sets]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), pa.array(range(len(sets)), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["field", "node", "shingles"])
+    # whichever shingles are taken for frequent ones
+    keys = np.sort(mix(every[sorted(often)]))
+    s = neardup.Settings(widest=widest)
+    rows = pa.Table.from_batches(list(neardup.prefixes(type("Shared", (), {"value": (keys, np.arange(len(keys)) + 2)}), s)(iter([batch])))).sort_by([("bucket", "ascending"), ("node", "ascending")])
+    got = defaultdict(set)
+    for b in neardup.shared_buckets(neardup.thinned(s)(iter(rows.combine_chunks().to_batches(max_chunksize=size)))):
+        for r in b.to_pylist():
+            got[r["bucket"]].add(r["node"])
+    found = {p for nodes in got.values() for p in itertools.combinations(sorted(nodes), 2)}
+    near = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 2 * len(np.intersect1d(sets[a], sets[b])) >= len(np.union1d(sets[a], sets[b]))}
+    assert near <= found
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(64)] + [(200, 201)], "a bigint, b bigint")
     got = {r.node: r.root for r in neardup.components(edges).collect()}

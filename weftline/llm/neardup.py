@@ -2,12 +2,17 @@
 
 1. Each text becomes its set of word shingles (64-bit hashes). Texts with equal sets are one node from here on, named by
    the hash of the set, so any number of exact copies costs one node.
-2. ``bands * rows`` MinHash values per node; nodes that agree on all rows of a band share a bucket.
+2. Candidates by prefix filtering, which misses no pair: the shingles of all sets are put in one order, and two sets that
+   reach the threshold hold a common shingle among the first ``n - ceil(threshold * n) + 1`` of either. Each of these is a
+   bucket. Shingles frequent in a sample of the texts come last, so buckets are small; the order only decides what the
+   search costs. A member is dropped from its bucket if, by set size and by the parity of the shingles in 256 cells, it can
+   reach the threshold with no other member; both bounds are exact.
 3. A bucket never emits all its pairs. Each member is first paired with the bucket's smallest member only; the links found
    give components, and then only members of a bucket that are still in different components are paired. What is left out
    are pairs that are connected already, so no component is lost.
 4. A pair's MinHash values are compared in steps. With m of n equal, the posterior of the similarity under a uniform prior
    is known; a pair is dropped as soon as the posterior probability of reaching the threshold falls below ``tolerance``.
+   This is the only step that may lose a link: one at 0.5 with probability 4e-8 at the tolerance used.
    The signature keeps 8 bits of each value, and the posterior accounts for chance agreement.
 5. Pairs that survive are verified exactly on the whole shingle sets.
 6. Connected components by alternating large-star and small-star steps; every step is written to the shared folder.
@@ -33,23 +38,31 @@ from weftline.llm.words import WORD, mix, shingle_hashes, word_hashes
 from weftline.session import cut, written
 
 SHARED = "bucket bigint, node bigint, head bigint"
-SKETCH = "field int, id bigint, node bigint, n int, sig binary, buckets array<bigint>, shingles binary"
+SKETCH = "field int, id bigint, node bigint, n int, sig binary, shingles binary"
+PARITY = [f"p{i}" for i in range(4)]
+ROWS = "bucket bigint, node bigint, n int, " + ", ".join(f"{p} bigint" for p in PARITY)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``threshold`` is the Jaccard similarity of shingle sets; with 80 bands of 4 rows a pair at 0.5 meets in a bucket
-    with probability 0.994, a pair at 0.1 with 0.008. ``steps`` values are compared at a time."""
+    """``threshold`` is the Jaccard similarity of shingle sets. ``signature`` MinHash values are kept of each set, ``step`` are
+    compared at a time. About ``sample`` texts are counted for the order of shingles, of which at most ``frequent`` are
+    broadcast. Buckets of more than ``widest`` members are passed on unthinned."""
 
     shingle: int = 3
     min_words: int = 12
     threshold: float = 0.5
-    bands: int = 80
-    rows: int = 4
     signature: int = 128
     step: int = 32
     tolerance: float = 1e-4
     seed: int = 1
+    sample: int = 20_000
+    frequent: int = 100_000
+    widest: int = 4096
+
+
+#: What the operators use: pruning that loses next to nothing at the threshold.
+WHOLE = Settings(tolerance=1e-8)
 
 
 @lru_cache(maxsize=8)
@@ -95,26 +108,128 @@ def sketcher(s: Settings):
 
 def _sketch(kept: list[tuple], sets: list[np.ndarray], s: Settings) -> pa.RecordBatch:
     starts = np.cumsum([0] + [len(x) for x in sets[:-1]])
-    values = minhash(np.concatenate(sets), starts, s.bands * s.rows, s.seed)
-    salt = np.array([f for f, _ in kept], np.uint64)
-    buckets = np.empty((len(sets), s.bands), np.int64)
-    for b in range(s.bands):
-        h = mix(salt * np.uint64(1_000_003) + np.uint64(b + 1))
-        for r in range(s.rows):
-            h = mix(h + values[:, b * s.rows + r])
-        buckets[:, b] = h.view(np.int64)
-    low = (mix(values[:, : s.signature].astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
+    values = minhash(np.concatenate(sets), starts, s.signature, s.seed)
+    low = (mix(values.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
     raw = [x.tobytes() for x in sets]
     nodes = [xxhash.xxh64_intdigest(x, f) - 2**63 for x, (f, _) in zip(raw, kept)]
     return pa.RecordBatch.from_arrays(
         [
             pa.array([f for f, _ in kept], pa.int32()), pa.array([i for _, i in kept], pa.int64()), pa.array(nodes, pa.int64()), pa.array([len(x) for x in sets], pa.int32()),
-            pa.array([r.tobytes() for r in low], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * s.bands, pa.int32()), pa.array(buckets.ravel(), pa.int64())), pa.array(raw, pa.binary()),
+            pa.array([r.tobytes() for r in low], pa.binary()), pa.array(raw, pa.binary()),
         ],
-        ["field", "id", "node", "n", "sig", "buckets", "shingles"],
+        ["field", "id", "node", "n", "sig", "shingles"],
     )
 
 
+def _sets(batch: pa.RecordBatch, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``field, node, shingles`` to (nodes, sizes, shingles of all laid end to end, kept apart by field), some sets at a time."""
+    fields, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    raw = batch.column(2).to_pylist()
+    ends = np.cumsum([len(x) // 8 for x in raw])
+    for part in np.split(np.arange(len(raw)), np.flatnonzero(np.diff(ends // most)) + 1):
+        if len(part):
+            sizes = np.array([len(raw[k]) // 8 for k in part])
+            every = np.frombuffer(b"".join(raw[k] for k in part), np.uint64)
+            yield nodes[part], sizes, mix(every + np.repeat(fields[part].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), sizes))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, _, every in _sets(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64))], ["bucket"])
+
+
+def frequencies(sketches: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that occur most in a sample of the texts, sorted, and how often they do; any answer is a valid order."""
+    every = max(1, sketches.count() // s.sample)
+    seen = sketches.where(F.pmod("node", F.lit(every)) == 0).select("field", "node", "shingles").mapInArrow(_counted, "bucket bigint")
+    counts = seen.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").orderBy(F.desc("c"), "bucket").limit(s.frequent).toArrow()
+    keys, c = counts.column("bucket").to_numpy().view(np.uint64), counts.column("c").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], c[order]
+
+
+def prefixes(shared, s: Settings):
+    """Batches of ``field, node, shingles`` to batches of ``ROWS``; ``shared.value`` holds what ``frequencies`` gave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = shared.value
+        for batch in batches:
+            for nodes, sizes, every in _sets(batch):
+                starts = np.cumsum(sizes) - sizes
+                # one order for all sets: by frequency, then by value
+                often = np.zeros(len(every), np.int64)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, every), len(keys) - 1)
+                    often = np.where(keys[at] == every, counts[at], 0)
+                order = np.lexsort((every, often, np.repeat(np.arange(len(nodes)), sizes)))
+                kept = sizes - np.ceil(s.threshold * sizes - 1e-9).astype(np.int64) + 1
+                first = np.arange(len(every)) - np.repeat(starts, sizes) < np.repeat(kept, sizes)
+                kept = np.minimum(kept, sizes)
+                cell, bit = (every >> np.uint64(6)) & np.uint64(3), np.uint64(1) << (every & np.uint64(63))
+                parity = [np.bitwise_xor.reduceat(np.where(cell == np.uint64(i), bit, np.uint64(0)), starts) for i in range(len(PARITY))]
+                out = [every[order][first].view(np.int64), np.repeat(nodes, kept), np.repeat(sizes.astype(np.int32), kept), *(np.repeat(p.view(np.int64), kept) for p in parity)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["bucket", "node", "n", *PARITY])
+
+    return run
+
+
+def _with_partner(bucket: np.ndarray, node: np.ndarray, n: np.ndarray, parity: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which rows of whole buckets could reach the threshold with another row of theirs."""
+    near, a, d = np.zeros(len(bucket), bool), np.arange(len(bucket)), 0
+    while len(a):
+        d += 1
+        a = a[a < len(bucket) - d]
+        a = a[bucket[a] == bucket[a + d]]
+        b = a + d
+        odd = sum(np.bitwise_count(p[a] ^ p[b]).astype(np.int64) for p in parity)
+        # sets that differ in more shingles, or more in size, stay below the threshold
+        ok = (odd <= (1 - threshold) / (1 + threshold) * (n[a] + n[b]) + 1e-6) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-6)
+        near[a[ok]] = near[b[ok]] = True
+    return near
+
+
+def thinned(s: Settings):
+    """Rows of ``ROWS`` sorted by bucket and node to ``bucket, node`` in the same order, without members that can have no link there.
+
+    What is kept between batches is one bucket of at most ``widest`` rows; a wider one passes whole.
+    """
+
+    def of(columns: list[np.ndarray], whole: bool = False) -> pa.RecordBatch:
+        bucket, node, n, *parity = columns
+        if not whole and len(bucket):
+            again = np.concatenate(([False], (bucket[1:] == bucket[:-1]) & (node[1:] == node[:-1])))
+            bucket, node, n, *parity = (x[~again] for x in columns)
+            near = _with_partner(bucket, node, n.astype(np.int64), [p.view(np.uint64) for p in parity], s.threshold)
+            bucket, node = bucket[near], node[near]
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(node, pa.int64())], ["bucket", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, wide = None, None
+        for batch in batches:
+            rows = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            if wide is not None:
+                end = int(np.searchsorted(rows[0], wide, "right"))
+                yield of([x[:end] for x in rows], whole=True)
+                rows = [x[end:] for x in rows]
+            if not len(rows[0]):
+                held = None
+                continue
+            last = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+            yield of([x[:last] for x in rows])
+            held, wide = [x[last:] for x in rows], None
+            if len(held[0]) > s.widest:
+                wide = held[0][0]
+                yield of(held, whole=True)
+                held = None
+        if held is not None:
+            yield of(held)
+
+    return run
+
+
 def shared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``bucket, node`` sorted by both to ``bucket, node, head`` of the buckets that hold two nodes or more.
 
@@ -227,14 +342,16 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def classes(df: DataFrame, key: str, fields: list[str], s: Settings = Settings()) -> DataFrame:
+def classes(df: DataFrame, key: str, fields: list[str], s: Settings = WHOLE) -> DataFrame:
     """``field, id, class_id`` of every text that takes part; texts of one class are linked directly or through others."""
     cells = F.explode(F.array(*(F.struct(F.lit(i).alias("field"), F.col(f"`{f}`").cast("string").alias("text")) for i, f in enumerate(fields))))
     texts = df.select(F.col(f"`{key}`").cast("bigint").alias("id"), cells.alias("c")).select("c.field", "id", "c.text").where("text is not null and id is not null")
     sketches = written(texts.mapInArrow(sketcher(s), SKETCH), "neardup-sketches")
 
-    rows = sketches.select(F.explode("buckets").alias("bucket"), "node")
-    shared = written(rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(shared_buckets, SHARED), "neardup-buckets")
+    order = df.sparkSession.sparkContext.broadcast(frequencies(sketches, s))
+    rows = sketches.select("field", "node", "shingles").mapInArrow(prefixes(order, s), ROWS)
+    thin = thinned(s)
+    shared = written(rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(lambda b: shared_buckets(thin(b)), SHARED), "neardup-buckets")
 
     star = cut(shared.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
     first = cut(links(star, sketches, s))
@@ -265,7 +382,7 @@ def classes(df: DataFrame, key: str, fields: list[str], s: Settings = Settings()
     return sketches.select("field", "id", "node").distinct().join(final, "node", "left").select("field", "id", F.coalesce("root", "node").alias("class_id"))
 
 
-def linked_pairs(df: DataFrame, key: str, fields: list[str], s: Settings = Settings()) -> DataFrame:
+def linked_pairs(df: DataFrame, key: str, fields: list[str], s: Settings = WHOLE) -> DataFrame:
     """Every pair of records of one class: ``field, id_a, id_b`` with ``id_a < id_b``."""
     found = cut(classes(df, key, fields, s).distinct())
     many = found.groupBy("field", "class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("field", "class_id")
