@@ -1,6 +1,7 @@
 """Operators on small tables with known results."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -218,6 +219,31 @@ def test_smote_lies_between(spark):
     assert all(r.v[1] == 5.0 and 0 <= r.v[0] <= 3 for r in got.where("synthetic").collect())
 
 
+def _pairs_drawn(spark, small, large, **how):
+    """Synthetic rows by the pair of neighbours that they lie between; pair p of the small class is at 100 p and 100 p + 1."""
+    rows = [(i, 0, [float(i), 0.0]) for i in range(large)] + [(1000 + i, 1, [100.0 * (i // 2) + i % 2, 5.0]) for i in range(small)]
+    got = ml.Smote("id", "y", "v", k=1, **how).resample(spark.createDataFrame(rows, "id bigint, y int, v array<double>")).where("synthetic").collect()
+    assert len(got) == large - small
+    return Counter(int(r.v[0] // 100) for r in got)
+
+
+def test_smote_seeds_every_row_of_a_class(spark):
+    assert _pairs_drawn(spark, 30, 60, most_seeds=7) == {p: 2 for p in range(15)}
+
+
+def test_smote_seeds_are_a_sample_where_few_are_missing(spark):
+    assert max(_pairs_drawn(spark, 100, 120)) >= 25
+
+
+def test_smote_query_takes_the_whole_table(spark):
+    from weftline.queries import queries
+
+    folder = "/root/testdata/sf0.001"
+    sizes = Counter(r.label for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("label").collect())
+    got = queries()["smote"](spark, folder).groupBy("label").agg(F.count_if("synthetic").alias("made"), F.count_if(~F.col("synthetic")).alias("kept")).collect()
+    assert {r.label: (r.kept, r.made) for r in got} == {c: (n, max(sizes.values()) - n) for c, n in sizes.items()}
+
+
 def test_profiles(spark):
     df = spark.createDataFrame([(1, 3, 1), (2, 2, 1), (3, 1, 2)], "A int, B int, C int")
     r = {(x.a, x.b): x.r for x in profile.pearson(df, ["A", "B", "C"]).collect()}

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.base import EVALUATORS, MODELS, REDUCERS, SAMPLERS, Fitted, Operator
+from weftline.operators.features import _hash_ranked
 from weftline.session import cut, written
 
 #: Numbers that a broadcast query block may hold: 64 MB of doubles.
@@ -186,32 +187,39 @@ def knn_predict(queries: DataFrame, rows: DataFrame, key: str, vector: str, labe
 class Smote:
     """Synthetic rows between a row of a small class and one of its k nearest of the class, until classes are equal.
 
-    Classes are filled from a seed block of at most ``most_seeds`` rows per class; that block is the search's query set.
+    Every row of the class that has a vector is a seed in hashed order, again from the first when all have been taken, so
+    fewer synthetic rows than seeds come from a sample of the class. Neighbours of ``most_seeds`` seeds are searched at a
+    time, one scan of the class each.
     """
 
-    def __init__(self, key: str, label: str, vector: str, k: int = 5, seed: int = 42, most_seeds: int = 10_000) -> None:
+    def __init__(self, key: str, label: str, vector: str, k: int = 5, seed: int = 42, most_seeds: int = 2_000) -> None:
         self.key, self.label, self.vector, self.k, self.seed, self.most_seeds = key, label, vector, k, seed, most_seeds
 
     def resample(self, df: DataFrame) -> DataFrame:
-        counts = {r[0]: r[1] for r in df.groupBy(self.label).count().collect()}
-        most = max(counts.values(), default=0)
         base = df.select(self.key, self.label, F.col(self.vector).cast("array<double>").alias(self.vector)).withColumn("synthetic", F.lit(False))
-        out = base
-        for value, n in sorted(counts.items()):
-            missing = most - n
+        counts = {r[0]: (r[1], r[2]) for r in base.groupBy(self.label).agg(F.count(F.lit(1)), F.count(self.vector)).collect()}
+        most = max((n for n, _ in counts.values()), default=0)
+        ranked, out = None, base
+        for value, (rows, n) in sorted(counts.items()):
+            missing = most - rows
             if missing <= 0 or n < 2:
                 continue
-            own = base.where(F.col(self.label) == F.lit(value))
-            seeds = own.orderBy(F.md5(F.concat(F.col(self.key).cast("string"), F.lit(str(self.seed))))).limit(min(self.most_seeds, n))
-            near = nearest(seeds, own, self.key, self.vector, min(self.k, n - 1))
-            m = min(self.most_seeds, n)
-            place = seeds.withColumn("at", F.row_number().over(Window.orderBy(self.key)) - 1)
-            # draw t belongs to seed t % m, and its neighbour and its way along the line come from a hash of t
-            draws = df.sparkSession.range(missing).withColumn("at", (F.col("id") % m).cast("int"))
-            draws = draws.withColumn("h", F.abs(F.xxhash64("id", F.lit(self.seed)))).withColumn("rank", (F.col("h") % min(self.k, n - 1) + 1).cast("int")).withColumn("gap", (F.col("h") % 1_000_003) / F.lit(1_000_003.0))
-            a = place.select("at", F.col(self.key).alias("query"), F.col(self.vector).alias("va"))
+            if ranked is None:
+                ranked = written(_hash_ranked(base.where(F.col(self.vector).isNotNull()), self.key, [self.label], self.seed), "smote-seeds")
+            own, k = ranked.where(F.col(self.label) == F.lit(value)), min(self.k, n - 1)
+            near = None
+            for first in range(0, min(missing, n), self.most_seeds):
+                block = own.where((F.col("_rank") > first) & (F.col("_rank") <= min(first + self.most_seeds, missing)))
+                found = nearest(block, own, self.key, self.vector, k).select("query", "neighbour", "rank")
+                # of several searches each is done with before the next, so that only one block is held
+                found = written(found, "smote-near") if min(missing, n) > self.most_seeds else found
+                near = found if near is None else near.unionByName(found)
+            # draw t belongs to the seed at t % n, and its neighbour and its way along the line come from a hash of t
+            draws = df.sparkSession.range(missing).withColumn("at", F.col("id") % n + 1)
+            draws = draws.withColumn("h", F.abs(F.xxhash64("id", F.lit(self.seed)))).withColumn("rank", (F.col("h") % k + 1).cast("int")).withColumn("gap", (F.col("h") % 1_000_003) / F.lit(1_000_003.0))
+            a = own.select(F.col("_rank").alias("at"), F.col(self.key).alias("query"), F.col(self.vector).alias("va"))
             b = own.select(F.col(self.key).alias("neighbour"), F.col(self.vector).alias("vb"))
-            made = draws.join(a, "at").join(near.select("query", "neighbour", "rank"), ["query", "rank"]).join(b, "neighbour")
+            made = draws.join(a, "at").join(near, ["query", "rank"]).join(b, "neighbour")
             lerp = F.transform(F.arrays_zip("va", "vb"), lambda p: p["va"] + F.col("gap") * (p["vb"] - p["va"]))
             out = out.unionByName(made.select(F.lit(None).cast(df.schema[self.key].dataType).alias(self.key), F.lit(value).alias(self.label), lerp.alias(self.vector), F.lit(True).alias("synthetic")))
         return out

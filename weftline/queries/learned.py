@@ -122,8 +122,7 @@ def class_weights(spark, d):
 
 @q()
 def smote(spark, d):
-    e = table(spark, d, "embeddings")
-    return ml.Smote("vec_id", "label", "embedding").resample(e.where("label < 6 or vec_id % 2 = 0"))
+    return ml.Smote("vec_id", "label", "embedding").resample(table(spark, d, "embeddings"))
 
 
 _TERMS = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents WHERE text IS NOT NULL"
