@@ -212,6 +212,51 @@ def test_alignment_rule():
     assert contains(list(item), list(swap)) and not contains(list(item), list(bad))
 
 
+def within_rule(item, doc, least=15, one_in=10):
+    """By edit counts: from each pair of equal words, the most words kept for each number of changes."""
+    for i0, j0 in ((i, j) for i in range(len(item)) for j in range(len(doc)) if item[i] == doc[j]):
+        kept = {(i0, j0, 0): 0}
+        for i in range(i0, len(item) + 1):
+            for j in range(j0, len(doc) + 1):
+                for c in range(4):
+                    k = kept.get((i, j, c))
+                    if k is None:
+                        continue
+                    both = i < len(item) and j < len(doc)
+                    if both and item[i] == doc[j]:
+                        # a passage ends with a kept word
+                        if k + 1 + c >= least and k + 1 >= c * (one_in - 1):
+                            return True
+                        kept[i + 1, j + 1, c] = max(kept.get((i + 1, j + 1, c), 0), k + 1)
+                    for to in [(i + 1, j + 1, c + 1)] * both + [(i + 1, j, c + 1), (i, j + 1, c + 1)]:
+                        kept[to] = max(kept.get(to, 0), k)
+    return False
+
+
+def test_alignment_against_edit_counts():
+    rng = random.Random(8)
+    seen = Counter()
+    for _ in range(400):
+        item = [rng.randrange(40) if rng.random() < 0.3 else 100 + k for k in range(28)]
+        # words before the passage that agree by chance, then a word added, dropped or replaced in it
+        doc = [w if rng.random() < 0.4 else -1 - k for k, w in enumerate(item[:6])] + item[6 : rng.randrange(18, 28)]
+        for _ in range(rng.choice([1, 1, 1, 2])):
+            at = rng.randrange(7, len(doc) - 1)
+            doc[at : at + rng.randrange(2)] = [-50] * rng.randrange(2)
+        want = within_rule(item, doc)
+        seen[want] += 1
+        assert bool(leakage.aligned(np.array(item), np.array(doc), 15, 10)) == want, (item, doc)
+    assert min(seen.values()) > 50
+
+
+def test_leak_after_a_word_that_agrees_by_chance(spark):
+    a = [f"a{i}" for i in range(15)]
+    item = " ".join(["x1", "x2", "t", "y", *a])
+    doc = " ".join(["z1", "z2", "t", "b", *a[:7], "added", *a[7:]])
+    found = leakage.leaks(spark.createDataFrame([(1, doc)], "doc_id bigint, text string"), spark.createDataFrame([(7, item)], "item_id bigint, text string"))
+    assert [(r.doc_id, r.item_id) for r in found.collect()] == [(1, 7)]
+
+
 # -- stuffed pages ----------------------------------------------------------------------------------------------------
 
 PROSE = "The council met on Tuesday and heard that the road would be closed until June. Nobody was happy about it, but the work has to be done."

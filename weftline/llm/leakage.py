@@ -107,29 +107,32 @@ def aligned(item: np.ndarray, doc: np.ndarray, least: int, one_in: int) -> tuple
     """Doc bounds of a stretch of ``item`` of ``least`` words or more found in ``doc`` with at most one in ``one_in`` changed.
 
     Local alignment where a kept word scores 1 and a change costs ``one_in - 1``: a stretch is within the rule exactly if its
-    score is not negative. Scores below zero are kept down to two changes, so that a stretch may begin with a short run.
+    score is not negative. Every pair of equal words may begin a stretch, and each cell keeps the best score of every length
+    up to ``least``, so neither a longer nor a better stretch hides another: the search is exact.
     """
-    cost, floor = one_in - 1, -2 * (one_in - 1)
-    m, n = len(item), len(doc)
-    score = np.zeros((m + 1, n + 1), np.int32)
-    length = np.zeros((m + 1, n + 1), np.int32)
-    start = np.tile(np.arange(n + 1, dtype=np.int32), (m + 1, 1))
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            same = item[i - 1] == doc[j - 1]
-            best, size, begin = 0, 0, j
-            for ps, pl, pb, step in (
-                (score[i - 1, j - 1], length[i - 1, j - 1], start[i - 1, j - 1], 1 if same else -cost),
-                (score[i - 1, j], length[i - 1, j], start[i - 1, j], -cost),
-                (score[i, j - 1], length[i, j - 1], start[i, j - 1], -cost),
-            ):
-                if pl == 0 and step < 0:
-                    continue
-                if ps + step >= floor and (ps + step, pl + 1) > ((best, size) if size else (floor - 1, 0)):
-                    best, size, begin = ps + step, pl + 1, pb
-            score[i, j], length[i, j], start[i, j] = best, size, begin
-            if same and size >= least and best >= 0:
-                return int(begin), j
+    cost, m, n = one_in - 1, len(item), len(doc)
+    nothing = np.full((m + 1, least + 1), -(10**6), np.int32), np.zeros((m + 1, least + 1), np.int32)
+    before, last = nothing, nothing
+    # all cells of one i + j at a time; rows are i, columns the length so far
+    for d in range(2, m + n + 1):
+        i = np.arange(max(1, d - n), min(m, d - 1) + 1)
+        j = d - i
+        same = item[i - 1] == doc[j - 1]
+        moves = ((before, i - 1, np.where(same, 1, -cost)[:, None]), (last, i - 1, -cost), (last, i, -cost))
+        scores = np.stack([got[0][at] + step for got, at, step in moves])
+        pick = scores.argmax(0)[None]
+        old = np.take_along_axis(scores, pick, 0)[0], np.take_along_axis(np.stack([got[1][at] for got, at, _ in moves]), pick, 0)[0]
+        longer = old[0][:, -1] > old[0][:, -2]
+        score, begin = nothing[0].copy(), nothing[1].copy()
+        for new, x in ((score, old[0]), (begin, old[1])):
+            new[i, 1:] = x[:, :-1]
+            new[i[longer], -1] = x[longer, -1]
+        fresh = i[same & (score[i, 1] < 1)]
+        score[fresh, 1], begin[fresh, 1] = 1, d - fresh - 1
+        ends = i[same & (score[i, -1] >= 0)]
+        if len(ends):
+            return int(begin[ends[0], -1]), int(d - ends[0])
+        before, last = last, (score, begin)
     return None
 
 
