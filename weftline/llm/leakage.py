@@ -1,7 +1,7 @@
 """Passages of held-out test items inside a corpus.
 
-The test items' word n-grams go to every executor as one sorted array of hashes (their number is checked against
-``most_grams``; larger sets are looked up by a shuffled join instead). Each document's words are numbered by the test
+The test items' word n-grams go to every executor as one sorted array of hashes. Items of more than five characters per
+window of ``most_grams`` raise: split them and join the results. Each document's words are numbered by the test
 vocabulary, a window of n words is looked up at every position, and every hit is verified on the words around it.
 
 A passage is ``least`` or more successive words of an item of which up to one in ``one_in`` were changed in the document
