@@ -60,6 +60,22 @@ def test_fetch_retries():
     assert connectors.fetch(lambda u, p: (404, None), "u", {}, sleep=waits.append) is None
 
 
+def test_what_is_not_read_raises():
+    service = connectors.SERVICES["oireachtas_questions"]
+    read = lambda transport: list(connectors.pages(service, connectors.Request({}, "u", {}), transport, sleep=lambda s: None))
+
+    def broken(status, total=2500):
+        return lambda url, params: (status, None) if params["skip"] >= 2000 else replies(total)(url, params)
+
+    for transport in (broken(503), broken(404), replies(30_000)):
+        with pytest.raises(connectors.Incomplete):
+            read(transport)
+    # an outage at once is no empty answer, a plain refusal is
+    with pytest.raises(connectors.Incomplete):
+        connectors.fetch(lambda u, p: (503, None), "u", {}, sleep=lambda s: None)
+    assert read(lambda url, params: (404, None)) == [] and read(replies(0)) == [] and len(read(broken(503, 2000))) == 2000
+
+
 def test_rate_limit():
     now, slept = [0.0], []
     limiter = connectors.Limiter(2, 10.0, lambda: now[0], lambda s: (slept.append(s), now.__setitem__(0, now[0] + s)))

@@ -2,7 +2,8 @@
 
 A connector is a plan of requests (a list of partitions made on the driver from its options) and a reader of one partition
 that pages through the service and yields one JSON text per record. A partition is retried as a whole and yields the same
-records again, so a lost executor costs a repeat of its requests, not a gap. Rate limits are kept per partition reader.
+records again, so a lost executor costs a repeat of its requests, not a gap. A service that does not answer after all
+retries, or gives fewer records than it reports, raises: Spark then retries the partition, and fails rather than leave a gap. Rate limits are kept per partition reader.
 The transport is any picklable callable ``(url, params) -> (status, body)``; tests pass recorded replies.
 """
 
@@ -61,8 +62,12 @@ class Limiter:
         self.at.append(self.clock())
 
 
+class Incomplete(RuntimeError):
+    """Not all records of a request could be read."""
+
+
 def fetch(transport: Transport, url: str, params: dict, limiter: Limiter | None = None, retries: int = RETRIES, sleep: Callable[[float], None] = time.sleep) -> Any:
-    """The body of a 200 reply; None where the service has nothing to give after all retries."""
+    """The body of a 200 reply; None where the service says that it has nothing. Raises :class:`Incomplete` if no try succeeds."""
     for attempt in range(retries):
         if limiter:
             limiter.wait()
@@ -76,7 +81,7 @@ def fetch(transport: Transport, url: str, params: dict, limiter: Limiter | None
             return None
         if attempt + 1 < retries:
             sleep(BUSY_WAIT if status == BUSY else RETRY_WAIT)
-    return None
+    raise Incomplete(f"{url} gave status {status} in each of {retries} tries, last for {params}")
 
 
 def months(start: date, end: date) -> list[tuple[date, date]]:
@@ -136,26 +141,28 @@ class Request(InputPartition):
 
 
 def pages(service: Service, request: Request, transport: Transport, limiter: Limiter | None = None, sleep=time.sleep) -> Iterator[Any]:
-    """The records of one partition, page by page, until a short page, the reported count or the skip cap."""
+    """The records of one partition, page by page, until a short page or the reported count; raises if that count, or the end before the skip cap, is not reached."""
     if service.paging == "none":
         body = fetch(transport, request.url, request.params, limiter, sleep=sleep)
         yield from service.records(body)
         return
-    at, got = (0 if service.paging == "skip" else 1), 0
+    at, got, total = (0 if service.paging == "skip" else 1), 0, None
     while True:
         ask = {"skip": at, "limit": service.page} if service.paging == "skip" else {"page": at, "limit": service.page}
         body = fetch(transport, request.url, request.params | ask, limiter, sleep=sleep)
-        if body is None:
-            return
-        records = service.records(body)
+        records = service.records(body) if body is not None else []
         yield from records
         got += len(records)
-        total = service.count(body)
-        if not records or len(records) < service.page or (total is not None and got >= total):
+        total = service.count(body) if body is not None else total
+        if total is not None and got >= total:
+            return
+        if not records or len(records) < service.page:
+            if total is not None:
+                raise Incomplete(f"{request.url} gave {got} of {total} records for {request.params}")
             return
         at += service.page if service.paging == "skip" else 1
         if service.paging == "skip" and at > service.most:
-            return
+            raise Incomplete(f"{request.url} holds more than the {got} records that may be skipped through for {request.params}: ask for shorter windows")
 
 
 def requests(name: str, options: dict[str, Any], transport: Transport = http) -> list[Request]:
