@@ -24,7 +24,10 @@ def session(app: str = "weftline", cores: int | str = "*", **conf: str) -> Spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where the setting is absent (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one where the setting is absent on a local master (tests).
+
+    On a cluster a temporary folder is another disk on every machine, so there the setting must be given.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
@@ -33,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if not current.isDefined():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all machines share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="weftline-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()
@@ -52,7 +57,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table of :func:`written` that nothing lazy reads any more; other tables are left alone."""
+    path = getattr(df, "_written_to", None)
+    if path:
+        hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
