@@ -85,35 +85,51 @@ def test_fields_are_kept_apart(spark):
     assert [tuple(r) for r in neardup.linked_pairs(df, "id", ["a", "b"]).collect()] == [("a", 1, 3)]
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 5)), max_size=40), st.integers(1, 7))
-def test_shared_buckets_in_any_batches(rows, size):
-    rows = sorted(rows)
-    batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[a : a + size]], pa.int64()) for i in (0, 1)], ["bucket", "node"]) for a in range(0, len(rows), size)]
-    got = sorted((r["bucket"], r["node"], r["head"]) for b in neardup.shared_buckets(iter(batches)) for r in b.to_pylist())
-    groups = defaultdict(set)
-    for b, n in rows:
-        groups[b].add(n)
-    assert got == sorted((b, n, min(ns)) for b, ns in groups.items() if len(ns) > 1 for n in ns)
+def bucket_rows(sets, keys, s, size):
+    """What the candidate search keeps of some sets, given the shingles taken for frequent ones."""
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), pa.array(range(len(sets)), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["field", "node", "shingles"])
+    rows = pa.Table.from_batches(list(neardup.prefixes(type("Shared", (), {"value": (keys, np.arange(len(keys)) + 2)}), s)(iter([batch])))).sort_by("bucket")
+    return [r for b in neardup.mated(s)(iter(rows.combine_chunks().to_batches(max_chunksize=size))) for r in b.to_pylist()]
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.sets(st.integers(0, 14), min_size=1, max_size=9), min_size=1, max_size=12), st.integers(1, 9), st.integers(1, 6), st.sets(st.integers(0, 14)))
-def test_thinned_prefixes_lose_no_pair(sets, size, widest, often):
+@settings(max_examples=300, deadline=None)
+@given(
+    st.lists(st.sets(st.integers(0, 14), min_size=1, max_size=9), min_size=1, max_size=12), st.integers(1, 9), st.integers(1, 6), st.integers(1, 4), st.sets(st.integers(0, 14)), st.sampled_from([0.3, 0.5, 0.8])
+)
+def test_bounds_on_candidates_lose_no_pair(sets, size, widest, look, often, threshold):
     every = mix(np.arange(1, 16, dtype=np.uint64))
     sets = [np.sort(every[sorted(x)]) for x in sets]
-    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), pa.array(range(len(sets)), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["field", "node", "shingles"])
-    # whichever shingles are taken for frequent ones
-    keys = np.sort(mix(every[sorted(often)]))
-    s = neardup.Settings(widest=widest)
-    rows = pa.Table.from_batches(list(neardup.prefixes(type("Shared", (), {"value": (keys, np.arange(len(keys)) + 2)}), s)(iter([batch])))).sort_by([("bucket", "ascending"), ("node", "ascending")])
-    got = defaultdict(set)
-    for b in neardup.shared_buckets(neardup.thinned(s)(iter(rows.combine_chunks().to_batches(max_chunksize=size)))):
-        for r in b.to_pylist():
-            got[r["bucket"]].add(r["node"])
-    found = {p for nodes in got.values() for p in itertools.combinations(sorted(nodes), 2)}
-    near = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 2 * len(np.intersect1d(sets[a], sets[b])) >= len(np.union1d(sets[a], sets[b]))}
+    rows = bucket_rows(sets, np.sort(mix(every[sorted(often)])), neardup.Settings(widest=widest, look=look, threshold=threshold), size)
+    found = set()
+    for x, y in itertools.permutations(rows, 2):
+        odd = sum(bin((x[p] ^ y[p]) & (2**64 - 1)).count("1") for p in neardup.PARITY)
+        if x["bucket"] == y["bucket"] and x["node"] < y["node"] and x["n"] <= y["most"] and y["n"] <= x["most"] and odd <= (1 - threshold) / (1 + threshold) * (x["n"] + y["n"]) + 1e-6:
+            found.add((x["node"], y["node"]))
+    shared = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    near = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if shared(a, b) >= threshold * (len(sets[a]) + len(sets[b]) - shared(a, b)) - 1e-9}
+    near = {(a, b) for a, b in near if not np.array_equal(sets[a], sets[b])}
     assert near <= found
+    # partners given stand in the same bucket
+    held = {(r["bucket"], r["node"]) for r in rows}
+    assert all((r["bucket"], r["mate"]) in held for r in rows)
+
+
+@pytest.mark.parametrize("formula, own", [(60, 60), (75, 50)])
+def test_a_formula_that_unlinked_texts_share_gives_no_candidates(formula, own):
+    rng = random.Random(3)
+    said = [f"f{i}" for i in range(formula)]
+    texts = [said + [f"w{rng.randrange(50_000)}" for _ in range(own)] for _ in range(2000)]
+    sets = neardup.shingle_sets(texts, 3)
+    counts = Counter(int(h) for x in sets for h in mix(x))
+    keys = np.sort(np.array([h for h, c in counts.items() if c > 100], np.uint64))
+    assert len(bucket_rows(sets, keys, neardup.WHOLE, 10_000)) < len(texts) / 10
+
+
+def test_a_large_class_is_paired_in_parts(spark):
+    rows = [(i, "the same thirteen words stand in every one of these texts again now") for i in range(120)]
+    df = spark.createDataFrame(rows, "id bigint, t string")
+    got = [(r.id_a, r.id_b) for r in neardup.linked_pairs(df, "id", ["t"], neardup.Settings(tolerance=1e-8, split=7)).collect()]
+    assert sorted(got) == list(itertools.combinations(range(120), 2))
 
 
 def test_components_of_a_long_path(spark):

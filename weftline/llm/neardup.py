@@ -5,9 +5,12 @@
 2. Candidates by prefix filtering, which misses no pair: the shingles of all sets are put in one order, and two sets that
    reach the threshold hold a common shingle among the first ``n - ceil(threshold * n) + 1`` of either. Each of these is a
    bucket. Shingles frequent in a sample of the texts come last, so buckets are small; the order only decides what the
-   search costs. A member is dropped from its bucket if, by set size and by the parity of the shingles in 256 cells, it can
-   reach the threshold with no other member; both bounds are exact.
-3. A bucket never emits all its pairs. Each member is first paired with the bucket's smallest member only; the links found
+   search costs. In the bucket of their first common shingle two sets share no more than what either holds from there on, so
+   each member has a largest partner size; two members whose sizes exceed each other's bound are no candidates there. A
+   bucket of a formula that many otherwise different texts hold therefore empties, whatever its size: a member without any
+   possible partner is found from running maxima, in one sorted pass and not by comparing members with each other. Sets
+   that differ too much in the parity of their shingles in 256 cells are no candidates either. All these bounds are exact.
+3. A bucket never emits all its pairs. Each member is first paired with one possible partner only; the links found
    give components, and then only members of a bucket that are still in different components are paired. What is left out
    are pairs that are connected already, so no component is lost.
 4. A pair's MinHash values are compared in steps. With m of n equal, the posterior of the similarity under a uniform prior
@@ -15,7 +18,8 @@
    This is the only step that may lose a link: one at 0.5 with probability 4e-8 at the tolerance used.
    The signature keeps 8 bits of each value, and the posterior accounts for chance agreement.
 5. Pairs that survive are verified exactly on the whole shingle sets.
-6. Connected components by alternating large-star and small-star steps; every step is written to the shared folder.
+6. Connected components by alternating large-star and small-star steps until nothing changes; every step is written to the
+   shared folder and the table before it is removed.
 
 Defined cases: a row without key, a null text, or one of fewer than ``min_words`` words, takes no part; equal texts are linked; a repeated row
 (same key) is the same record and is not paired with itself; an empty table gives no rows; extra columns are ignored.
@@ -35,19 +39,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.words import WORD, mix, shingle_hashes, word_hashes
-from weftline.session import cut, written
+from weftline.session import discard, written
 
-SHARED = "bucket bigint, node bigint, head bigint"
-SKETCH = "field int, id bigint, node bigint, n int, sig binary, shingles binary"
 PARITY = [f"p{i}" for i in range(4)]
-ROWS = "bucket bigint, node bigint, n int, " + ", ".join(f"{p} bigint" for p in PARITY)
+SKETCH = "field int, id bigint, node bigint, n int, sig binary, shingles binary"
+#: A bucket's rows travel as one value each: a column less to convert for every field.
+ROWS = "bucket bigint, member binary"
+MEMBER = np.dtype([("node", "<i8"), ("n", "<i4"), ("most", "<i4"), ("parity", "<u8", len(PARITY))])
+SHARED = "bucket bigint, node bigint, n int, most int, " + ", ".join(f"{p} bigint" for p in PARITY) + ", mate bigint"
 
 
 @dataclass(frozen=True)
 class Settings:
     """``threshold`` is the Jaccard similarity of shingle sets. ``signature`` MinHash values are kept of each set, ``step`` are
     compared at a time. About ``sample`` texts are counted for the order of shingles, of which at most ``frequent`` are
-    broadcast. Buckets of more than ``widest`` members are passed on unthinned."""
+    broadcast. Of a bucket at most ``widest`` members are looked at together, and each is compared with at most ``look``
+    after it in its search for one partner; only memory and time depend on either. A class of more than ``split`` records is paired in several tasks."""
 
     shingle: int = 3
     min_words: int = 12
@@ -58,7 +65,9 @@ class Settings:
     seed: int = 1
     sample: int = 20_000
     frequent: int = 100_000
-    widest: int = 4096
+    widest: int = 200_000
+    look: int = 256
+    split: int = 2_000
 
 
 #: What the operators use: pruning that loses next to nothing at the threshold.
@@ -67,18 +76,28 @@ WHOLE = Settings(tolerance=1e-8)
 
 @lru_cache(maxsize=8)
 def _multipliers(count: int, seed: int) -> np.ndarray:
-    got = np.random.default_rng(seed).integers(1, 2**63, (2, count), dtype=np.uint64)
-    got[0] |= np.uint64(1)
+    got = np.random.default_rng(seed).integers(1, 2**32, (2, count), dtype=np.uint32)
+    got[0] |= np.uint32(1)
     return got
 
 
 def minhash(shingles: np.ndarray, starts: np.ndarray, count: int, seed: int) -> np.ndarray:
     """MinHash values of many sets laid end to end: one row per set. No set may be empty."""
     a, b = _multipliers(count, seed)
-    out = np.empty((len(starts), count), np.uint32)
+    base = (mix(shingles) >> np.uint64(32)).astype(np.uint32)
+    out, held = np.empty((count, len(starts)), np.uint32), np.empty_like(base)
     for i in range(count):
-        out[:, i] = np.minimum.reduceat(((shingles * a[i] + b[i]) >> np.uint64(32)).astype(np.uint32), starts)
-    return out
+        np.multiply(base, a[i], out=held)
+        np.add(held, b[i], out=held)
+        np.minimum.reduceat(held, starts, out=out[i])
+    return out.T
+
+
+def shingle_sets(texts: list[list[str]], size: int) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text's words; each text has at least ``size`` words."""
+    ends = np.cumsum([len(w) for w in texts])
+    every = shingle_hashes(word_hashes([w for words in texts for w in words]), size)
+    return [np.unique(every[start : end - size + 1]) for start, end in zip([0, *ends[:-1]], ends)]
 
 
 def sketcher(s: Settings):
@@ -86,22 +105,19 @@ def sketcher(s: Settings):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fields, ids, texts = (batch.column(i).to_pylist() for i in range(3))
-            kept, sets = [], []
-            for f, i, text in zip(fields, ids, texts):
-                words = WORD.findall(text.lower()) if text else ()
-                if len(words) >= max(s.min_words, s.shingle):
+            kept, words, size = [], [], 0
+            for f, i, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                found = WORD.findall(text.lower()) if text else ()
+                if len(found) >= max(s.min_words, s.shingle):
                     kept.append((f, i))
-                    sets.append(np.unique(shingle_hashes(word_hashes(words), s.shingle)))
-            # a few thousand sets at a time, fewer of long ones: what is held stays in proportion to a batch
-            at = 0
-            while at < len(kept):
-                end, size = at, 0
-                while end < len(kept) and (size == 0 or size + len(sets[end]) <= 200_000):
-                    size += len(sets[end])
-                    end += 1
-                yield _sketch(kept[at:end], sets[at:end], s)
-                at = end
+                    words.append(found)
+                    size += len(found)
+                # a few thousand texts at a time, fewer of long ones: what is held stays in proportion to a batch
+                if size > 200_000:
+                    yield _sketch(kept, shingle_sets(words, s.shingle), s)
+                    kept, words, size = [], [], 0
+            if kept:
+                yield _sketch(kept, shingle_sets(words, s.shingle), s)
 
     return run
 
@@ -109,7 +125,7 @@ def sketcher(s: Settings):
 def _sketch(kept: list[tuple], sets: list[np.ndarray], s: Settings) -> pa.RecordBatch:
     starts = np.cumsum([0] + [len(x) for x in sets[:-1]])
     values = minhash(np.concatenate(sets), starts, s.signature, s.seed)
-    low = (mix(values.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
+    low = np.ascontiguousarray((values * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
     raw = [x.tobytes() for x in sets]
     nodes = [xxhash.xxh64_intdigest(x, f) - 2**63 for x, (f, _) in zip(raw, kept)]
     return pa.RecordBatch.from_arrays(
@@ -136,129 +152,166 @@ def _sets(batch: pa.RecordBatch, most: int = 500_000) -> Iterator[tuple[np.ndarr
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, every in _sets(batch):
-            yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64))], ["bucket"])
+            keys, n = np.unique(every, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["bucket", "n"])
 
 
 def frequencies(sketches: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that occur most in a sample of the texts, sorted, and how often they do; any answer is a valid order."""
     every = max(1, sketches.count() // s.sample)
-    seen = sketches.where(F.pmod("node", F.lit(every)) == 0).select("field", "node", "shingles").mapInArrow(_counted, "bucket bigint")
-    counts = seen.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").orderBy(F.desc("c"), "bucket").limit(s.frequent).toArrow()
+    seen = sketches.where(F.pmod("node", F.lit(every)) == 0).select("field", "node", "shingles").mapInArrow(_counted, "bucket bigint, n bigint")
+    counts = seen.groupBy("bucket").agg(F.sum("n").alias("c")).where("c > 1").orderBy(F.desc("c"), "bucket").limit(s.frequent).toArrow()
     keys, c = counts.column("bucket").to_numpy().view(np.uint64), counts.column("c").to_numpy()
     order = np.argsort(keys)
     return keys[order], c[order]
 
 
 def prefixes(shared, s: Settings):
-    """Batches of ``field, node, shingles`` to batches of ``ROWS``; ``shared.value`` holds what ``frequencies`` gave."""
+    """Batches of ``field, node, shingles`` to batches of ``ROWS``; ``shared.value`` holds what ``frequencies`` gave.
+
+    A bucket is named by its shingle's frequency and 47 bits of its hash, so the numbers' order is the shingles' order.
+    """
+    grow = (1 + s.threshold) / s.threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = shared.value
         for batch in batches:
             for nodes, sizes, every in _sets(batch):
-                starts = np.cumsum(sizes) - sizes
-                # one order for all sets: by frequency, then by value
-                often = np.zeros(len(every), np.int64)
+                name = every >> np.uint64(17)
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, every), len(keys) - 1)
-                    often = np.where(keys[at] == every, counts[at], 0)
-                order = np.lexsort((every, often, np.repeat(np.arange(len(nodes)), sizes)))
-                kept = sizes - np.ceil(s.threshold * sizes - 1e-9).astype(np.int64) + 1
-                first = np.arange(len(every)) - np.repeat(starts, sizes) < np.repeat(kept, sizes)
-                kept = np.minimum(kept, sizes)
+                    often = np.where(keys[at] == every, np.minimum(counts[at], 2**15 - 1), 0).astype(np.uint64)
+                    name |= often << np.uint64(47)
+                starts = np.cumsum(sizes) - sizes
+                for a, b in zip(starts, starts + sizes):
+                    name[a:b].sort()
+                kept = np.minimum(sizes - np.ceil(s.threshold * sizes - 1e-9).astype(np.int64) + 1, sizes)
+                at = np.arange(kept.sum()) - np.repeat(np.cumsum(kept) - kept, kept)
+                n = np.repeat(sizes, kept)
+                # a partner of m shingles shares at least threshold / (1 + threshold) * (n + m) of those left from here on
+                most = np.floor((n - at) * grow - n + 1e-6)
                 cell, bit = (every >> np.uint64(6)) & np.uint64(3), np.uint64(1) << (every & np.uint64(63))
-                parity = [np.bitwise_xor.reduceat(np.where(cell == np.uint64(i), bit, np.uint64(0)), starts) for i in range(len(PARITY))]
-                out = [every[order][first].view(np.int64), np.repeat(nodes, kept), np.repeat(sizes.astype(np.int32), kept), *(np.repeat(p.view(np.int64), kept) for p in parity)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["bucket", "node", "n", *PARITY])
+                parity = np.stack([np.bitwise_xor.reduceat(np.where(cell == np.uint64(i), bit, np.uint64(0)), starts) for i in range(len(PARITY))], 1)
+                out = np.empty(len(n), MEMBER)
+                for c, x in (("node", np.repeat(nodes, kept)), ("n", n), ("most", most), ("parity", np.repeat(parity, kept, 0))):
+                    out[c] = x
+                ends = np.arange(len(out) + 1, dtype=np.int32) * MEMBER.itemsize
+                members = pa.Array.from_buffers(pa.binary(), len(out), [None, pa.py_buffer(ends), pa.py_buffer(out)])
+                yield pa.RecordBatch.from_arrays([pa.array(name[np.repeat(starts, kept) + at].view(np.int64)), members], ["bucket", "member"])
 
     return run
 
 
-def _with_partner(bucket: np.ndarray, node: np.ndarray, n: np.ndarray, parity: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Which rows of whole buckets could reach the threshold with another row of theirs."""
-    near, a, d = np.zeros(len(bucket), bool), np.arange(len(bucket)), 0
-    while len(a):
+def _mates(bucket: np.ndarray, n: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """For each row of whole buckets, sorted by bucket and size: the place of a row that may be its partner, or -1.
+
+    Two rows may be partners if neither's size exceeds the other's ``most``. Among the rows whose size suits, the one with
+    the largest ``most`` decides; running maxima give it and, for a row that is itself the largest, the second.
+    """
+    rows = np.arange(len(bucket))
+    step = np.int64(2) ** 33
+    base = (np.cumsum(np.concatenate(([True], bucket[1:] != bucket[:-1]))) * step) if len(bucket) else rows
+    value = base + most
+    first = np.maximum.accumulate(value)
+    before = np.concatenate(([np.int64(-1)], first[:-1]))
+    record = value > before
+    first_at = np.maximum.accumulate(np.where(record, rows, 0))
+    rest, rest_at = np.where(record, before, value), np.where(record, np.concatenate(([0], first_at[:-1])), rows)
+    second = np.maximum.accumulate(rest)
+    second_at = rest_at[np.maximum.accumulate(np.where(rest > np.concatenate(([np.int64(-2)], second[:-1])), rows, 0))]
+    end = np.searchsorted(base + n, value, "right") - 1
+    end = np.maximum(end, 0)
+    own = first_at[end] == rows
+    found, reach = np.where(own, second_at[end], first_at[end]), np.where(own, second[end], first[end])
+    # a row whose size no row suits would look into the bucket before
+    return np.where((reach >= base + n) & (bucket[found] == bucket) & (n[found] <= most) & (found != rows), found, -1)
+
+
+def _near_mates(bucket: np.ndarray, n: np.ndarray, most: np.ndarray, parity: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, the place of the first row found that may be its partner by sizes and parity, or -1; and the rows of which not all others were looked at."""
+    mate, a, d = np.full(len(bucket), -1), np.arange(len(bucket)), 0
+    while d < s.look:
         d += 1
         a = a[a < len(bucket) - d]
-        a = a[bucket[a] == bucket[a + d]]
+        # rows are sorted by size: all further ones are too large
+        a = a[(bucket[a] == bucket[a + d]) & (n[a + d] <= most[a])]
+        if not len(a):
+            return mate, np.zeros(len(bucket), bool)
         b = a + d
-        odd = sum(np.bitwise_count(p[a] ^ p[b]).astype(np.int64) for p in parity)
-        # sets that differ in more shingles, or more in size, stay below the threshold
-        ok = (odd <= (1 - threshold) / (1 + threshold) * (n[a] + n[b]) + 1e-6) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-6)
-        near[a[ok]] = near[b[ok]] = True
-    return near
-
-
-def thinned(s: Settings):
-    """Rows of ``ROWS`` sorted by bucket and node to ``bucket, node`` in the same order, without members that can have no link there.
-
-    What is kept between batches is one bucket of at most ``widest`` rows; a wider one passes whole.
+        odd = np.bitwise_count(parity[a] ^ parity[b]).sum(1, dtype=np.int64)
+        ok = (n[a] <= most[b]) & (odd <= (1 - s.threshold) / (1 + s.threshold) * (n[a] + n[b]) + 1e-6)
+        x, y = a[ok], b[ok]
+        fresh = mate[x] < 0
+        mate[x[fresh]] = y[fresh]
+        fresh = mate[y] < 0
+        mate[y[fresh]] = x[fresh]
+    return mate, np.isin(bucket, bucket[a])
+
+
+def _members(column: pa.Array) -> np.ndarray:
+    """The values of a binary column of ``MEMBER``, in place."""
+    if not len(column):
+        return np.empty(0, MEMBER)
+    _, ends, data = column.buffers()
+    begin = np.frombuffer(ends, np.int32)[column.offset]
+    return np.frombuffer(data, MEMBER, len(column), int(begin))
+
+
+def mated(s: Settings):
+    """Rows of ``ROWS`` sorted by bucket to ``SHARED``, without members that can have no link there.
+
+    What is kept between batches is one bucket of at most ``widest`` rows; a wider one is passed on in parts that keep all
+    their members, since the partner of a member may be in another part.
     """
 
-    def of(columns: list[np.ndarray], whole: bool = False) -> pa.RecordBatch:
-        bucket, node, n, *parity = columns
-        if not whole and len(bucket):
-            again = np.concatenate(([False], (bucket[1:] == bucket[:-1]) & (node[1:] == node[:-1])))
-            bucket, node, n, *parity = (x[~again] for x in columns)
-            near = _with_partner(bucket, node, n.astype(np.int64), [p.view(np.uint64) for p in parity], s.threshold)
-            bucket, node = bucket[near], node[near]
-        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(node, pa.int64())], ["bucket", "node"])
+    def of(bucket: np.ndarray, rows: np.ndarray, whole: bool = False) -> pa.RecordBatch:
+        # most buckets hold one row; a part of one may too
+        more = bucket[1:] == bucket[:-1]
+        at = np.arange(len(bucket)) if whole or not len(bucket) else np.flatnonzero(np.concatenate((more, [False])) | np.concatenate(([False], more)))
+        at = at[np.lexsort((rows["node"][at], rows["n"][at], bucket[at]))]
+        bucket, rows = bucket[at], rows[at]
+        keep = np.ones(len(bucket), bool)
+        keep[1:] = (bucket[1:] != bucket[:-1]) | (rows["node"][1:] != rows["node"][:-1])
+        bucket, rows = bucket[keep], rows[keep]
+        mate = _mates(bucket, rows["n"].astype(np.int64), rows["most"].astype(np.int64))
+        keep = np.ones(len(bucket), bool)
+        if not whole:
+            bucket, rows = bucket[mate >= 0], rows[mate >= 0]
+            mate, unsure = _near_mates(bucket, rows["n"].astype(np.int64), rows["most"].astype(np.int64), rows["parity"], s)
+            # of a bucket wider than was looked through, a member stays without a partner found
+            keep = (mate >= 0) | unsure
+        # a bucket in parts: a member without partner in its part may have one in another
+        mate = np.where(mate >= 0, rows["node"][mate] if len(mate) else mate, rows["node"])[keep]
+        bucket, rows = bucket[keep], rows[keep]
+        columns = [bucket, *(np.ascontiguousarray(rows[c]) for c in ("node", "n", "most")), *(np.ascontiguousarray(rows["parity"][:, i]).view(np.int64) for i in range(len(PARITY))), mate]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [c.split()[0] for c in SHARED.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, wide = None, None
         for batch in batches:
-            rows = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+            bucket, rows = batch.column(0).to_numpy(), _members(batch.column(1))
             if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows)]
+                bucket, rows = np.concatenate((held[0], bucket)), np.concatenate((held[1], rows))
             if wide is not None:
-                end = int(np.searchsorted(rows[0], wide, "right"))
-                yield of([x[:end] for x in rows], whole=True)
-                rows = [x[end:] for x in rows]
-            if not len(rows[0]):
+                end = int(np.searchsorted(bucket, wide, "right"))
+                yield of(bucket[:end], rows[:end], whole=True)
+                bucket, rows = bucket[end:], rows[end:]
+            if not len(bucket):
                 held = None
                 continue
-            last = int(np.searchsorted(rows[0], rows[0][-1], "left"))
-            yield of([x[:last] for x in rows])
-            held, wide = [x[last:] for x in rows], None
+            last = int(np.searchsorted(bucket, bucket[-1], "left"))
+            yield of(bucket[:last], rows[:last])
+            held, wide = (bucket[last:], rows[last:]), None
             if len(held[0]) > s.widest:
                 wide = held[0][0]
-                yield of(held, whole=True)
+                yield of(*held, whole=True)
                 held = None
         if held is not None:
-            yield of(held)
+            yield of(*held)
 
     return run
 
 
-def shared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``bucket, node`` sorted by both to ``bucket, node, head`` of the buckets that hold two nodes or more.
-
-    A bucket's head is its first, smallest node. Rows stream by: what is kept between batches is one row, so a bucket may be
-    of any size. Repeats of a node in a bucket are dropped.
-    """
-    last, head, alone = None, None, False
-    for batch in batches:
-        bucket, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(bucket):
-            continue
-        fresh = np.empty(len(bucket), bool)
-        fresh[0] = last is None or bucket[0] != last[0]
-        fresh[1:] = bucket[1:] != bucket[:-1]
-        again = np.empty(len(bucket), bool)
-        again[0] = not fresh[0] and node[0] == last[1]
-        again[1:] = ~fresh[1:] & (node[1:] == node[:-1])
-        bucket, node, fresh = bucket[~again], node[~again], fresh[~again]
-        if not len(bucket):
-            continue
-        start = np.maximum.accumulate(np.where(fresh, np.arange(len(bucket)), -1))
-        heads = np.where(start >= 0, node[start], head if head is not None else 0)
-        # the second node of a bucket brings its head along
-        second = ~fresh & np.concatenate(([alone], fresh[:-1]))
-        out = [np.concatenate((x[~fresh], y[second])) for x, y in ((bucket, bucket), (node, heads), (heads, heads))]
-        last, head, alone = (bucket[-1], node[-1]), heads[-1], bool(fresh[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["bucket", "node", "head"])
-
-
 def posterior(matches: int, compared: int, threshold: float, chance: float = 1 / 256, cells: int = 2000) -> float:
     """P(similarity >= threshold | ``matches`` of ``compared`` values agree), uniform prior, chance agreement included."""
     grid = (np.arange(cells) + 0.5) / cells
@@ -308,37 +361,33 @@ def _verified(s: Settings):
     return run
 
 
-def links(pairs: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
+def links(pairs: DataFrame, nodes: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
     """The pairs ``a, b`` of nodes whose sets reach the threshold: pruned on signatures, then verified on whole sets."""
-    head = sketches.select("node", "n", "sig").dropDuplicates(["node"])
-    side = lambda t, c, *cols: t.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in cols))
-    both = pairs.join(side(head, "a", "n", "sig"), "a").join(side(head, "b", "n", "sig"), "b")
-    # sets whose sizes differ too much can't reach the threshold
-    both = both.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(s.threshold))
+    side = lambda t, c, x: t.select(F.col("node").alias(c), F.col(x).alias(f"{x}_{c}"))
+    both = pairs.join(side(nodes, "a", "sig"), "a").join(side(nodes, "b", "sig"), "b")
     live = written(both.select("a", "b", "sig_a", "sig_b").mapInArrow(_survivors(s), "a bigint, b bigint"), "neardup-live")
     ends = live.select(F.col("a").alias("node")).union(live.select("b")).distinct()
     sets = sketches.join(ends, "node", "left_semi").select("node", "shingles").dropDuplicates(["node"])
     full = live.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b")
-    return full.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_verified(s), "a bigint, b bigint")
+    found = written(full.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_verified(s), "a bigint, b bigint"), "neardup-links")
+    discard(live)
+    return found
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, root`` of every node of the links ``a, b``; the root is the component's smallest node."""
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
+    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "neardup-edges")
     mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    seen = mark(now)
-    for _ in range(most):
+    had, seen = None, mark(now)
+    while had != seen:
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        now = cut(small.distinct())
+        last, now = now, written(small.distinct(), "neardup-edges")
+        discard(last)
         had, seen = seen, mark(now)
-        if had == seen:
-            break
-    else:
-        raise RuntimeError("the components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
@@ -350,44 +399,54 @@ def classes(df: DataFrame, key: str, fields: list[str], s: Settings = WHOLE) ->
 
     order = df.sparkSession.sparkContext.broadcast(frequencies(sketches, s))
     rows = sketches.select("field", "node", "shingles").mapInArrow(prefixes(order, s), ROWS)
-    thin = thinned(s)
-    shared = written(rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(lambda b: shared_buckets(thin(b)), SHARED), "neardup-buckets")
+    shared = written(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(mated(s), SHARED), "neardup-buckets")
+    # what pruning needs of a node that has a possible partner; copies of a set are one node
+    near = shared.select("node").distinct()
+    nodes = written(sketches.select("node", "sig").join(near, "node", "left_semi").dropDuplicates(["node"]), "neardup-nodes")
 
-    star = cut(shared.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
-    first = cut(links(star, sketches, s))
-    roots = cut(components(first))
+    star = written(shared.where("node != mate").select(F.least("node", "mate").alias("a"), F.greatest("node", "mate").alias("b")).distinct(), "neardup-star")
+    roots = components(links(star, nodes, sketches, s))
 
     # members of a bucket that are still in different components
-    placed = shared.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    placed = shared.drop("mate").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
     placed = placed.join(mixed, "bucket", "left_semi")
+    side = lambda c: placed.select("bucket", *(F.col(x).alias(f"{x}_{c}") for x in ("node", "n", "most", "root", *PARITY)))
+    odd = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY), F.lit(0))
     rest = (
-        placed.select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"))
-        .join(placed.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b")), "bucket")
-        .where("root_a < root_b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        side("a")
+        .join(side("b"), "bucket")
+        .where("root_a < root_b and n_a <= most_b and n_b <= most_a")
+        .where(odd <= F.lit((1 - s.threshold) / (1 + s.threshold)) * (F.col("n_a") + F.col("n_b")) + 1e-6)
+        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
         .distinct()
         .join(star, ["a", "b"], "left_anti")
     )
-    second = cut(links(rest, sketches, s))
+    second = links(rest, nodes, sketches, s)
     # the new links join components, so they are resolved between roots; without any, the first components stand
     final = roots
     if not second.isEmpty():
         root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
         joined = second.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
-        above = cut(components(joined.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))))
+        above = components(joined.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
         placed = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
         # nodes that had no component of their own before
         final = placed.unionAll(above.join(roots, "node", "left_anti").select("node", "root"))
+    for done in (shared, nodes, star):
+        discard(done)
     return sketches.select("field", "id", "node").distinct().join(final, "node", "left").select("field", "id", F.coalesce("root", "node").alias("class_id"))
 
 
 def linked_pairs(df: DataFrame, key: str, fields: list[str], s: Settings = WHOLE) -> DataFrame:
-    """Every pair of records of one class: ``field, id_a, id_b`` with ``id_a < id_b``."""
-    found = cut(classes(df, key, fields, s).distinct())
-    many = found.groupBy("field", "class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("field", "class_id")
-    found = found.join(many, ["field", "class_id"], "left_semi")
-    a = found.select("field", "class_id", F.col("id").alias("id_a"))
-    b = found.select("field", "class_id", F.col("id").alias("id_b"))
+    """Every pair of records of one class: ``field, id_a, id_b`` with ``id_a < id_b``.
+
+    The members of a class of more than ``split`` records are dealt to as many tasks as it holds that many; the other side
+    of the pairs goes to each of them, which is less than the pairs themselves.
+    """
+    found = written(classes(df, key, fields, s).distinct(), "neardup-classes")
+    many = found.groupBy("field", "class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = found.join(many, ["field", "class_id"]).withColumn("parts", F.ceil(F.col("n") / s.split).cast("int"))
+    a = found.select("field", "class_id", F.col("id").alias("id_a"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    b = found.select("field", "class_id", F.col("id").alias("id_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     names = F.element_at(F.array(*map(F.lit, fields)), F.col("field") + 1)
-    return a.join(b, ["field", "class_id"]).where("id_a < id_b").select(names.alias("field"), "id_a", "id_b")
+    return a.join(b, ["field", "class_id", "part"]).where("id_a < id_b").select(names.alias("field"), "id_a", "id_b")

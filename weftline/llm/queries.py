@@ -17,10 +17,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_classes(spark: SparkSession, d: str) -> DataFrame:
-    """One row per text with its class."""
+    """One row per text with its class, named by its smallest Id, and how many texts the class holds."""
     found = neardup.classes(table(spark, d, "oireachtas_questions"), "Id", QUESTION_TEXTS)
     names = F.element_at(F.array(*map(F.lit, QUESTION_TEXTS)), F.col("field") + 1)
-    return found.select(names.alias("field"), "id", "class_id")
+    per_class = found.groupBy("field", "class_id").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_texts"))
+    return found.join(per_class, ["field", "class_id"]).select(names.alias("field"), "id", F.col("first_id").alias("class_id"), "n_texts")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -92,9 +93,7 @@ def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p4_found, p4_mix, p5_found, p5_masked, p7_containers, p7_fill, p8_found, p8_cleaned, p8_by_source, p9_found, p9_by_source)}
-ORACLES: dict[str, str] = {
-    # all pairs that share a run of words; in reach on the small tables the check uses
-    "p1_found": """
+_CLASSES = """
 WITH RECURSIVE texts AS (
   SELECT Id, 'QuestionText' AS field, QuestionText AS x FROM oireachtas_questions UNION ALL SELECT Id, 'AnswerText', AnswerText FROM oireachtas_questions),
 words AS (SELECT field, Id, regexp_extract_all(lower(x), '[\\p{L}\\p{N}]+') AS w FROM texts WHERE x IS NOT NULL),
@@ -104,5 +103,12 @@ shared AS (SELECT field, a.Id AS a, b.Id AS b, count(*) AS k FROM runs a JOIN ru
 links AS (SELECT s.field, a, b FROM shared s JOIN sizes x ON x.field = s.field AND x.Id = a JOIN sizes y ON y.field = s.field AND y.Id = b WHERE 2 * k >= x.n + y.n - k),
 both_ways AS (SELECT field, a, b FROM links UNION ALL SELECT field, b, a FROM links),
 reach AS (SELECT field, a, b FROM both_ways UNION SELECT r.field, r.a, e.b FROM reach r JOIN both_ways e ON e.field = r.field AND e.a = r.b)
-SELECT field, a AS id_a, b AS id_b FROM reach WHERE a < b""",
+"""
+ORACLES: dict[str, str] = {
+    # all pairs that share a run of words; in reach on the small tables the check uses
+    "p1_found": _CLASSES + "SELECT field, a AS id_a, b AS id_b FROM reach WHERE a < b",
+    "p1_classes": _CLASSES
+    + """
+SELECT field, id, class_id, CAST(count(*) OVER (PARTITION BY field, class_id) AS BIGINT) AS n_texts FROM (
+  SELECT s.field, s.Id AS id, least(s.Id, coalesce(min(r.b), s.Id)) AS class_id FROM sizes s LEFT JOIN reach r ON r.field = s.field AND r.a = s.Id GROUP BY s.field, s.Id)""",
 }
