@@ -94,13 +94,14 @@ def bucket_rows(sets, keys, s, size):
 
 @settings(max_examples=300, deadline=None)
 @given(
-    st.lists(st.sets(st.integers(0, 14), min_size=1, max_size=9), min_size=1, max_size=12), st.integers(1, 9), st.integers(1, 6), st.integers(1, 4), st.sets(st.integers(0, 14)), st.sampled_from([0.3, 0.5, 0.8])
+    st.lists(st.sets(st.integers(0, 14), min_size=1, max_size=9), min_size=1, max_size=12), st.integers(1, 9), st.integers(1, 6), st.integers(1, 4), st.integers(1, 5), st.sets(st.integers(0, 14)), st.sampled_from([0.3, 0.5, 0.8])
 )
-def test_bounds_on_candidates_lose_no_pair(sets, size, widest, look, often, threshold):
+def test_bounds_on_candidates_lose_no_pair(sets, size, widest, look, small, often, threshold):
     every = mix(np.arange(1, 16, dtype=np.uint64))
     sets = [np.sort(every[sorted(x)]) for x in sets]
-    rows = bucket_rows(sets, np.sort(mix(every[sorted(often)])), neardup.Settings(widest=widest, look=look, threshold=threshold), size)
-    found = set()
+    rows = bucket_rows(sets, np.sort(mix(every[sorted(often)])), neardup.Settings(widest=widest, look=look, small=small, threshold=threshold), size)
+    found = {(min(r["node"], r["mate"]), max(r["node"], r["mate"])) for r in rows if not r["n"]}
+    rows = [r for r in rows if r["n"]]
     for x, y in itertools.permutations(rows, 2):
         odd = sum(bin((x[p] ^ y[p]) & (2**64 - 1)).count("1") for p in neardup.PARITY)
         if x["bucket"] == y["bucket"] and x["node"] < y["node"] and x["n"] <= y["most"] and y["n"] <= x["most"] and odd <= (1 - threshold) / (1 + threshold) * (x["n"] + y["n"]) + 1e-6:

@@ -10,9 +10,10 @@
    bucket of a formula that many otherwise different texts hold therefore empties, whatever its size: a member without any
    possible partner is found from running maxima, in one sorted pass and not by comparing members with each other. Sets
    that differ too much in the parity of their shingles in 256 cells are no candidates either. All these bounds are exact.
-3. A bucket never emits all its pairs. Each member is first paired with one possible partner only; the links found
-   give components, and then only members of a bucket that are still in different components are paired. What is left out
-   are pairs that are connected already, so no component is lost.
+3. Of a bucket of up to ``small`` members the candidate pairs are listed at once. A larger one never emits all its pairs:
+   each member is first paired with one possible partner only; the links found give components, and then only members that
+   are still in different components are paired. What is left out are pairs that are connected already, so no component
+   is lost.
 4. A pair's MinHash values are compared in steps. With m of n equal, the posterior of the similarity under a uniform prior
    is known; a pair is dropped as soon as the posterior probability of reaching the threshold falls below ``tolerance``.
    This is the only step that may lose a link: one at 0.5 with probability 4e-8 at the tolerance used.
@@ -54,7 +55,8 @@ class Settings:
     """``threshold`` is the Jaccard similarity of shingle sets. ``signature`` MinHash values are kept of each set, ``step`` are
     compared at a time. About ``sample`` texts are counted for the order of shingles, of which at most ``frequent`` are
     broadcast. Of a bucket at most ``widest`` members are looked at together, and each is compared with at most ``look``
-    after it in its search for one partner; only memory and time depend on either. A class of more than ``split`` records is paired in several tasks."""
+    after it in its search for one partner; only memory and time depend on either. Buckets of at most ``small`` members
+    list their candidate pairs. A class of more than ``split`` records is paired in several tasks."""
 
     shingle: int = 3
     min_words: int = 12
@@ -67,6 +69,7 @@ class Settings:
     frequent: int = 100_000
     widest: int = 200_000
     look: int = 256
+    small: int = 16
     split: int = 2_000
 
 
@@ -227,25 +230,27 @@ def _mates(bucket: np.ndarray, n: np.ndarray, most: np.ndarray) -> np.ndarray:
     return np.where((reach >= base + n) & (bucket[found] == bucket) & (n[found] <= most) & (found != rows), found, -1)
 
 
-def _near_mates(bucket: np.ndarray, n: np.ndarray, most: np.ndarray, parity: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """For each row, the place of the first row found that may be its partner by sizes and parity, or -1; and the rows of which not all others were looked at."""
-    mate, a, d = np.full(len(bucket), -1), np.arange(len(bucket)), 0
-    while d < s.look:
+def _near_mates(bucket: np.ndarray, n: np.ndarray, most: np.ndarray, parity: np.ndarray, small: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row, the place of the first row found that may be its partner by sizes and parity, or -1; the rows of which
+    not all others were looked at; and all pairs (two rows of places) that may be partners among the rows of ``small``."""
+    mate, a, d, pairs = np.full(len(bucket), -1), np.arange(len(bucket)), 0, [np.empty((2, 0), np.int64)]
+    while d < max(s.look, s.small):
         d += 1
         a = a[a < len(bucket) - d]
         # rows are sorted by size: all further ones are too large
         a = a[(bucket[a] == bucket[a + d]) & (n[a + d] <= most[a])]
         if not len(a):
-            return mate, np.zeros(len(bucket), bool)
+            return mate, np.zeros(len(bucket), bool), np.concatenate(pairs, 1)
         b = a + d
         odd = np.bitwise_count(parity[a] ^ parity[b]).sum(1, dtype=np.int64)
         ok = (n[a] <= most[b]) & (odd <= (1 - s.threshold) / (1 + s.threshold) * (n[a] + n[b]) + 1e-6)
         x, y = a[ok], b[ok]
+        pairs.append(np.stack((x, y))[:, small[x]])
         fresh = mate[x] < 0
         mate[x[fresh]] = y[fresh]
         fresh = mate[y] < 0
         mate[y[fresh]] = x[fresh]
-    return mate, np.isin(bucket, bucket[a])
+    return mate, np.isin(bucket, bucket[a]), np.concatenate(pairs, 1)
 
 
 def _members(column: pa.Array) -> np.ndarray:
@@ -260,6 +265,8 @@ def _members(column: pa.Array) -> np.ndarray:
 def mated(s: Settings):
     """Rows of ``ROWS`` sorted by bucket to ``SHARED``, without members that can have no link there.
 
+    Of small buckets come candidate pairs ``node, mate`` with ``n`` 0; of larger ones the members, each with one partner.
+
     What is kept between batches is one bucket of at most ``widest`` rows; a wider one is passed on in parts that keep all
     their members, since the partner of a member may be in another part.
     """
@@ -274,17 +281,22 @@ def mated(s: Settings):
         keep[1:] = (bucket[1:] != bucket[:-1]) | (rows["node"][1:] != rows["node"][:-1])
         bucket, rows = bucket[keep], rows[keep]
         mate = _mates(bucket, rows["n"].astype(np.int64), rows["most"].astype(np.int64))
-        keep = np.ones(len(bucket), bool)
+        keep, pairs = np.ones(len(bucket), bool), np.empty((2, 0), np.int64)
         if not whole:
             bucket, rows = bucket[mate >= 0], rows[mate >= 0]
-            mate, unsure = _near_mates(bucket, rows["n"].astype(np.int64), rows["most"].astype(np.int64), rows["parity"], s)
+            size = np.diff(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))) if len(bucket) else np.empty(0, np.int64)
+            small = np.repeat(size <= s.small, size)
+            mate, unsure, pairs = _near_mates(bucket, rows["n"].astype(np.int64), rows["most"].astype(np.int64), rows["parity"], small, s)
             # of a bucket wider than was looked through, a member stays without a partner found
-            keep = (mate >= 0) | unsure
+            keep = ((mate >= 0) | unsure) & ~small
+        listed = rows["node"][pairs]
         # a bucket in parts: a member without partner in its part may have one in another
         mate = np.where(mate >= 0, rows["node"][mate] if len(mate) else mate, rows["node"])[keep]
         bucket, rows = bucket[keep], rows[keep]
-        columns = [bucket, *(np.ascontiguousarray(rows[c]) for c in ("node", "n", "most")), *(np.ascontiguousarray(rows["parity"][:, i]).view(np.int64) for i in range(len(PARITY))), mate]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [c.split()[0] for c in SHARED.split(", ")])
+        none = np.zeros(listed.shape[1], np.int64)
+        columns = [(none, bucket), (listed[0], rows["node"]), (none, rows["n"]), (none, rows["most"]), *((none, np.ascontiguousarray(rows["parity"][:, i]).view(np.int64)) for i in range(len(PARITY))), (listed[1], mate)]
+        types = [pa.int32() if c in ("n int", "most int") else pa.int64() for c in SHARED.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(columns, types)], [c.split()[0] for c in SHARED.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, wide = None, None
@@ -401,14 +413,14 @@ def classes(df: DataFrame, key: str, fields: list[str], s: Settings = WHOLE) ->
     rows = sketches.select("field", "node", "shingles").mapInArrow(prefixes(order, s), ROWS)
     shared = written(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(mated(s), SHARED), "neardup-buckets")
     # what pruning needs of a node that has a possible partner; copies of a set are one node
-    near = shared.select("node").distinct()
+    near = shared.select(F.explode(F.array("node", "mate")).alias("node")).distinct()
     nodes = written(sketches.select("node", "sig").join(near, "node", "left_semi").dropDuplicates(["node"]), "neardup-nodes")
 
     star = written(shared.where("node != mate").select(F.least("node", "mate").alias("a"), F.greatest("node", "mate").alias("b")).distinct(), "neardup-star")
     roots = components(links(star, nodes, sketches, s))
 
-    # members of a bucket that are still in different components
-    placed = shared.drop("mate").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # members of a larger bucket that are still in different components
+    placed = shared.where("n > 0").drop("mate").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
     placed = placed.join(mixed, "bucket", "left_semi")
     side = lambda c: placed.select("bucket", *(F.col(x).alias(f"{x}_{c}") for x in ("node", "n", "most", "root", *PARITY)))
