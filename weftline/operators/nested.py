@@ -7,8 +7,10 @@ items a record holds or how deep it goes. An object's state is written as a sche
 every executor without any exchange, and which :func:`variant_table` turns into the typed schema of that variant's table.
 
 :func:`shred` emits one row per object with the common supertype keys (record id, entity, path, parent path, position,
-label, text) and the variant it was routed to; :func:`variant_table` is the typed subtype table of one variant and
-:func:`entity_table` the typed table over all variants of an entity. Parent links are the pair (id, parent_path).
+label, text) and the variant its state names. :func:`route` writes each variant's rows to that variant's own part of the
+shared folder, in one job; :class:`Routed` then gives the common supertype over all of them, the typed subtype table of any
+variant, reading nothing but its part, and the typed table over all variants of an entity. Parent links are the pair (id,
+parent_path); a root has no parent, in the common table its parent path is the empty path.
 
 Defined cases: a null, empty or unparsable text, or one whose root is no object, gives no rows; a text that holds another
 JSON text (encoded twice) is decoded again, also for child lists; a single object or a wrapper object stands for a list;
@@ -20,14 +22,17 @@ reads; an object whose other fields nest beyond the interpreter's depth gets the
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.session import shared_dir
+
 NODE = "id bigint, entity string, path string, parent_path string, pos int, variant string, label string, text string, attributes string"
 _TYPES = [pa.int64(), *[pa.string()] * 3, pa.int32(), *[pa.string()] * 4]
 _NAMES = [c.split()[0] for c in NODE.split(", ")]
@@ -57,15 +62,13 @@ DEBATES = Grammar()
 
 
 def _decode(value):
-    """A string that holds a JSON object or list is read as that; anything unreadable is None."""
-    for _ in range(8):
-        if not isinstance(value, str):
-            return value
+    """A string that holds a JSON object or list is read as that, however often it was encoded; anything unreadable is None."""
+    while isinstance(value, str):
         try:
             value = json.loads(value)
         except (ValueError, RecursionError):
             return None
-    return None
+    return value
 
 
 def _unwrap(value, wrapper: str):
@@ -201,3 +204,35 @@ def variant_table(nodes: DataFrame, entity: str, variant: str) -> DataFrame:
 def entity_table(nodes: DataFrame, entity: str, fields: dict[str, str]) -> DataFrame:
     """The table over all variants of an entity: the common keys and ``fields`` (column -> JSON path), null where a variant lacks them."""
     return nodes.where(F.col("entity") == entity).select(*_COMMON, "variant", *(F.get_json_object("attributes", p).alias(c) for c, p in fields.items()))
+
+
+class Routed:
+    """Variant tables in the shared folder: one part per entity and variant, all with the common keys and parent links."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.rows = spark.read.schema(f"{NODE}, variant_id string").parquet(path)
+
+    def common(self) -> DataFrame:
+        """The supertype: ``id, entity, path, parent_path, pos, label, text`` of every object, whatever its variant."""
+        parent = F.coalesce("parent_path", F.lit(""))
+        return self.rows.select("id", "entity", "path", parent.alias("parent_path"), "pos", "label", "text")
+
+    def variants(self) -> DataFrame:
+        return variants(self.rows)
+
+    def table(self, entity: str, variant: str) -> DataFrame:
+        """The typed table of one variant; only that variant's part is read."""
+        part = F.hex(F.xxhash64(F.lit(variant)))
+        return variant_table(self.rows.where(F.col("variant_id") == part), entity, variant)
+
+    def entity(self, entity: str, fields: dict[str, str]) -> DataFrame:
+        return entity_table(self.rows, entity, fields)
+
+
+def route(nodes: DataFrame) -> Routed:
+    """Every row of :func:`shred` to its variant's part. The rebalancing shuffle gathers a small variant into one file and
+    splits a large one over many tasks, so neither a common shape nor thousands of rare ones weigh on one task."""
+    path = f"{shared_dir(nodes.sparkSession).rstrip('/')}/variants-{uuid.uuid4().hex}"
+    named = nodes.withColumn("variant_id", F.hex(F.xxhash64("variant")))
+    named.hint("rebalance", "entity", "variant_id").write.partitionBy("entity", "variant_id").parquet(path)
+    return Routed(nodes.sparkSession, path)
