@@ -1,14 +1,17 @@
 """Personal data in free text: found by anchor expansion and replaced by typed placeholders.
 
-One Aho-Corasick automaton per executor holds the anchors: at-signs and their spellings, schemes, digits, courtesy titles,
-street types, and the given and family names of a name list. It reads each text once; at every anchor a deterministic local
-parser expands to the boundaries of the value and validates it (domain labels, digit counts and prefixes, number shapes,
-house numbers, name shapes). Cues next to a candidate decide where a shape alone is ambiguous: a part number or a barcode is
+One Aho-Corasick automaton per executor holds the anchors: at-signs and their spellings, digits, the dots of initials,
+courtesy titles, street types, and the given names of a name list. One pass of it finds all anchors of a text; at every
+anchor a deterministic local parser expands to the boundaries of the value, character class by character class or word by
+word and without a limit on its length, and validates it (domain labels, digit counts and prefixes, number shapes, house
+numbers, name shapes). Cues next to a candidate decide where a shape alone is ambiguous: a part number or a barcode is
 no identity number, a street or a firm that carries a family name is no person. Where candidates overlap, the kind listed
 first in ``KINDS`` wins, then the longer.
 
-Names are recognised against lists given by the caller (small and size-checked). A family name also counts if its beginning
-and its end both occur in listed family names, which covers names of the same stock that the list lacks.
+Names are recognised against lists given by the caller (small and size-checked); a person is sought from a title, a given
+name or an initial, so one written with an unlisted given name and no title is not. With ``affix`` letters (a parameter, 0
+for none) a family name also counts if its first and its last so many letters both begin and end listed family names, which
+covers names of the same stock that the list lacks.
 
 Defined cases: null and empty texts yield nothing and are masked to themselves; texts of any length are read whole; repeated
 values in one field are reported once by :func:`find` and masked everywhere; repeated rows are each reported under their own
@@ -18,8 +21,9 @@ id; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import ahocorasick
 import pyarrow as pa
@@ -37,8 +41,8 @@ STREETS = ("street", "st", "road", "rd", "avenue", "ave", "av", "lane", "ln", "d
 FIRMS = STREETS + ("motors", "&", "and sons", "sons", "ltd", "limited", "plc", "inc", "llc", "cup", "trophy", "shield", "bros", "brothers", "brewery", "hotel", "arms", "bar", "pub", "stores", "solicitors", "stadium", "bridge", "station", "school", "college", "hospital", "castle", "house", "group", "holdings", "foundation", "trust", "institute", "award", "medal", "league", "fc", "gaa")
 PREFIXES = ("mac", "mc", "o'", "o’", "ní", "ni", "nic", "ó", "uí", "de", "van", "von", "fitz")
 
-_NOT_AN_ID = re.compile(r"(?:\b(?:part|barcode|bar code|model|ticket|order|ref|reference|item|serial|invoice|build|version|sku|isbn|tracking|batch|lot|catalogue|unit|room|page|post)\b[\s.:#]*(?:no|number|ref|is|nr)?[\s.:#]*(?:is)?[\s:#]*)$", re.I)
-_MAIL_LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+'-]*[A-Za-z0-9_+-])?$")
+_NOT_AN_ID = re.compile(r"(?:\b(?:part|barcode|bar code|model|ticket|order|ref|reference|item|serial|invoice|build|version|sku|isbn|tracking|batch|lot|catalogue|unit|room|page|post)\b[\s.:#]*+(?:no|number|ref|is|nr)?[\s.:#]*+(?:is)?[\s:#]*+)$", re.I)
+_MAIL_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+'-")
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 _MAIL_DOMAIN = re.compile(rf"{_LABEL}(?:\.{_LABEL})*\.[A-Za-z]{{2,}}(?![A-Za-z0-9-])")
 _SPELLED_AT = re.compile(r"\s*(?:\[\s*at\s*\]|\(\s*at\s*\)|\{\s*at\s*\}|<\s*at\s*>)\s*|\s+at\s+", re.I)
@@ -75,24 +79,25 @@ _NOT_A_PLACE = frozenset("please if on for and or the and is was last still to i
 
 @dataclass(frozen=True)
 class Names:
-    """Lower-case given names, family names, and the beginnings and ends of family names."""
+    """Lower-case given names, family names, and the beginnings and ends (``affix`` letters) of family names."""
 
     given: frozenset[str] = frozenset()
     family: frozenset[str] = frozenset()
     heads: frozenset[str] = frozenset()
     tails: frozenset[str] = frozenset()
-    size: int = field(default=4)
+    affix: int = 4
 
     @staticmethod
-    def of(given: Iterable[str], family: Iterable[str]) -> Names:
+    def of(given: Iterable[str], family: Iterable[str], affix: int = 4) -> Names:
         roots = {_root(f.lower()) for f in family if f}
         roots = {r for r in roots if len(r) >= 3}
-        long = [r for r in roots if len(r) >= 7]
-        return Names(frozenset(g.lower() for g in given if g), frozenset(roots), frozenset(r[:4] for r in long), frozenset(r[-4:] for r in long))
+        long = [r for r in roots if affix and len(r) >= 2 * affix - 1]
+        return Names(frozenset(g.lower() for g in given if g), frozenset(roots), frozenset(r[:affix] for r in long), frozenset(r[-affix:] for r in long), affix)
 
     def is_family(self, word: str) -> bool:
         root = _root(word.lower())
-        return root in self.family or (len(root) >= 7 and root[:4] in self.heads and root[-4:] in self.tails)
+        k = self.affix
+        return root in self.family or (k > 0 and len(root) >= 2 * k - 1 and root[:k] in self.heads and root[-k:] in self.tails)
 
 
 def _root(name: str) -> str:
@@ -116,6 +121,33 @@ _INITIAL = re.compile(r"[^\W\d_]\.[ \t]+")
 _FAMILY_FIRST = re.compile(r"((?:(?:ní|nic|ó|uí)[ ])?[^\W\d_](?:['’]?[^\W\d_])+),[ ]$", re.I)
 _TITLE_BEFORE = re.compile(r"\b(" + "|".join(TITLES) + r")\.?[ ]$", re.I)
 _AFTER_NAME = re.compile(r"[ \t]+(&|[^\W\d_]+)")
+#: One to three initials before a name, after a title if there is one.
+_INITIALS = re.compile(r"(?<![\w@.'’-])(?:(?:" + "|".join(TITLES) + r")\.?[ ])?(?:[^\W\d_]\.[ ]?){1,3}(?=[^\W\d_]['’]?[^\W\d_])", re.I)
+
+
+def _back(text: str, at: int, words: int, between: str = "") -> int:
+    """Where the ``words``-th word before ``at`` begins; words are parted by white space and the characters ``between``."""
+    for _ in range(words):
+        while at and (text[at - 1].isspace() or text[at - 1] in between):
+            at -= 1
+        while at and not (text[at - 1].isspace() or text[at - 1] in between):
+            at -= 1
+    return at
+
+
+def _refused(text: str, at: int) -> bool:
+    """Whether the words before ``at`` say that the number there is something else."""
+    return bool(_NOT_AN_ID.search(text[_back(text, at, 5, ".:#") : at]))
+
+
+def _apart(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of overlapping spans the one of the first kind, then the longest, then the first; in order of place."""
+    kept: list[tuple[int, int, int]] = []
+    for s in sorted(found, key=lambda s: (s[2], s[0] - s[1], s[0])):
+        i = bisect_left(kept, s)
+        if (not i or kept[i - 1][1] <= s[0]) and (i == len(kept) or s[1] <= kept[i][0]):
+            kept.insert(i, s)
+    return kept
 
 
 class Finder:
@@ -135,6 +167,7 @@ class Finder:
             machine.add_word(g, ("given", len(g)))
         for t in TITLES:
             machine.add_word(t, ("title", len(t)))
+        machine.add_word(".", ("dot", 1))
         machine.make_automaton()
         self.machine = machine
 
@@ -151,6 +184,11 @@ class Finder:
                 got = self._number(text, start)
             elif what == "mail":
                 got = self._mail(text, start, after)
+            elif what == "dot":
+                # only after a letter that stands alone
+                if not start or not low[start - 1].isalpha() or (start > 1 and low[start - 2].isalnum()):
+                    continue
+                got = self._initials(text, start - 1)
             elif after < n and (low[after].isalnum()) or (start and what != "street" and low[start - 1].isalnum()):
                 continue
             elif what == "street":
@@ -159,23 +197,25 @@ class Finder:
                 got = self._person(text, start, after, what)
             if got:
                 found.append(got)
-        found.sort(key=lambda s: (s[2], s[0] - s[1], s[0]))
-        kept: list[tuple[int, int, int]] = []
-        for s in found:
-            if all(s[1] <= k[0] or s[0] >= k[1] for k in kept):
-                kept.append(s)
-        return [(a, b, KINDS[k]) for a, b, k in sorted(kept)]
+        return [(a, b, KINDS[min(k, 4)]) for a, b, k in _apart(found)]
+
+    @staticmethod
+    def _local(text: str, end: int) -> int | None:
+        """Where the local part of an address that ends at ``end`` begins."""
+        at = end
+        while at and text[at - 1] in _MAIL_LOCAL:
+            at -= 1
+        while at < end and text[at] in "._%+'-":
+            at += 1
+        return at if at < end and text[end - 1] not in ".%'" else None
 
     def _mail(self, text: str, start: int, after: int):
         if text[start] == "@":
             # "name @ host.tld" with single spaces is an address too; "meet @ the usual place" has no domain
             spaced = text[start - 1 : start] == " " and text[after : after + 1] == " "
             left, right = start - spaced, after + spaced
-            local = _MAIL_LOCAL.search(text[max(0, left - 80) : left])
-            domain = _MAIL_DOMAIN.match(text, right)
-            if local and domain:
-                return left - len(local.group()), domain.end(), 0
-            return None
+            local, domain = self._local(text, left), _MAIL_DOMAIN.match(text, right)
+            return (local, domain.end(), 0) if local is not None and domain else None
         # spelled out: the gap around the word belongs to it
         left = start
         while left and text[left - 1] in " \t":
@@ -183,9 +223,8 @@ class Finder:
         joint = _SPELLED_AT.match(text, left)
         if not joint:
             return None
-        local = _MAIL_LOCAL.search(text[max(0, left - 80) : left])
-        domain = _SPELLED_DOMAIN.match(text, joint.end())
-        if not local or not domain:
+        local, domain = self._local(text, left), _SPELLED_DOMAIN.match(text, joint.end())
+        if local is None or not domain:
             return None
         bare = joint.group().strip().lower() == "at"
         spelled = re.search(r"dot", domain.group(2), re.I)
@@ -194,20 +233,18 @@ class Finder:
         last = re.split(r"[^A-Za-z0-9-]+", domain.group())[-1]
         if len(last) < 2 or not last.isalpha():
             return None
-        return left - len(local.group()), domain.end(), 0
+        return local, domain.end(), 0
 
     def _number(self, text: str, start: int):
-        before = text[max(0, start - 48) : start]
         if start and (text[start - 1].isalpha() or text[start - 1] in "€£$.,_" and start > 1 and (text[start - 2].isdigit() or text[start - 1] in "€£$_")):
             # glued to letters: only a lettered number
-            return self._lettered(text, start, before)
+            return self._lettered(text, start)
         begin = start
         if start and text[start - 1] in "+(":
             begin = start - 1
             if text[begin] == "(" and begin and text[begin - 1] == "+":
                 begin -= 1
-        refused = _NOT_AN_ID.search(before)
-        if not refused:
+        if not _refused(text, start):
             for at in dict.fromkeys((begin, start)):
                 for i, pattern in enumerate(_PHONES):
                     m = pattern.match(text, at)
@@ -219,7 +256,7 @@ class Finder:
                 m = pattern.match(text, start)
                 if m:
                     return start, m.end(), 3
-        return self._lettered(text, start, before)
+        return self._lettered(text, start)
 
     @staticmethod
     def _phone(value: str, text: str, end: int) -> bool:
@@ -234,16 +271,17 @@ class Finder:
             return 9 <= digits <= 11
         return digits in (10, 11)
 
-    def _lettered(self, text: str, start: int, before: str):
-        lead = _LETTERED_ID.search(before)
-        if lead and (m := _SEVEN.match(text, start)) and not _NOT_AN_ID.search(before[: lead.start()]):
+    def _lettered(self, text: str, start: int):
+        lead = _LETTERED_ID.search(text[max(0, start - 4) : start])
+        if lead and (m := _SEVEN.match(text, start)) and not _refused(text, start - len(lead.group(1))):
             letters = lead.group(1)
             if letters.strip(" -").isupper() or len(letters) == 2:
                 return start - len(letters), m.end(), 3
         return None
 
     def _address(self, text: str, start: int, after: int):
-        house = _HOUSE.search(text, max(0, start - 70), start)
+        # flat, its number, "no.", the number, its letter, a particle and two names at most
+        house = _HOUSE.search(text, _back(text, start, 8), start)
         if not house:
             return None
         street = house.group(2).lower().split()
@@ -297,12 +335,20 @@ class Finder:
         tail = self._family(text, at)
         if tail:
             return self._unless_firm(text, begin, tail)
-        head = _FAMILY_FIRST.search(text, max(0, start - 40), start)
+        head = _FAMILY_FIRST.search(text, _back(text, start, 2), start)
         if head and names.is_family(head.group(1).lower().split(" ")[-1]):
-            title = _TITLE_BEFORE.search(text, max(0, head.start() - 12), head.start())
+            title = _TITLE_BEFORE.search(text, _back(text, head.start(), 1), head.start())
             return (title.start() if title else head.start()), after, 4
         return None
 
+    def _initials(self, text: str, start: int):
+        """A person written as initials and a family name; what is found from a title or a given name goes first."""
+        title = _TITLE_BEFORE.search(text, _back(text, start, 1), start)
+        m = _INITIALS.match(text, title.start() if title else start)
+        end = self._family(text, m.end(), gap=False) if m else None
+        got = self._unless_firm(text, m.start(), end) if end else None
+        return (got[0], got[1], 5) if got else None
+
     def _family(self, text: str, at: int, gap: bool = True) -> int | None:
         """End of a family name that begins at ``at``, after white space, further given names and initials."""
         names = self.names
@@ -336,29 +382,6 @@ class Finder:
         return begin, end, 4
 
 
-class _Initials(Finder):
-    """Also persons written as an initial and a family name, whose anchor is the dot."""
-
-    def __init__(self, names: Names) -> None:
-        super().__init__(names)
-        self.initial = re.compile(r"(?<![\w@.'’-])(?:(?:" + "|".join(TITLES) + r")\.?[ ])?(?:[^\W\d_]\.[ ]?){1,3}(?=[^\W\d_]['’]?[^\W\d_])", re.I)
-
-    def spans(self, text: str) -> list[tuple[int, int, str]]:
-        got = super().spans(text)
-        if ". " not in text and "." not in text:
-            return got
-        extra = []
-        for m in self.initial.finditer(text):
-            end = self._family(text, m.end(), gap=False)
-            if end and self._unless_firm(text, m.start(), end) and all(end <= a or m.start() >= b for a, b, _ in got):
-                extra.append((m.start(), end, "person"))
-        return sorted(got + extra)
-
-
-def finder(names: Names) -> Finder:
-    return _Initials(names)
-
-
 def masked(text: str | None, found: list[tuple[int, int, str]]) -> str | None:
     """The text with every span replaced by its kind in square brackets."""
     if not text or not found:
@@ -370,16 +393,17 @@ def masked(text: str | None, found: list[tuple[int, int, str]]) -> str | None:
     return "".join(out) + text[at:]
 
 
-def names_from(people: DataFrame, given: str, full: str, most: int = MOST_NAMES) -> Names:
-    """The name lists of a table of people: distinct given names, and what full names hold after the given name."""
+def names_from(people: DataFrame, given: str, full: str, most: int = MOST_NAMES, affix: int = 4) -> Names:
+    """The name lists of a table of people: distinct given names, and what full names hold after the given name. See the
+    module for ``affix``; more than ``most`` distinct names raise."""
     g = F.trim(F.col(f"`{given}`"))
-    family = F.when(F.startswith(F.col(f"`{full}`"), g), F.trim(F.substring(F.col(f"`{full}`"), F.length(g) + 1, F.lit(200))))
+    family = F.when(F.startswith(F.col(f"`{full}`"), g), F.trim(F.substring(F.col(f"`{full}`"), F.length(g) + 1, F.length(F.col(f"`{full}`")))))
     pairs = people.select(g.alias("given"), family.alias("family"))
     lists = [pairs.select(c).where(f"{c} is not null and {c} != ''").distinct() for c in ("given", "family")]
     got = [[r[0] for r in names.limit(most + 1).collect()] for names in lists]
     if max(map(len, got)) > most:
         raise ValueError(f"more than {most} distinct names: pass a shorter list")
-    return Names.of(*got)
+    return Names.of(*got, affix)
 
 
 def find(df: DataFrame, key: str, fields: list[str], names: Names) -> DataFrame:
@@ -387,7 +411,7 @@ def find(df: DataFrame, key: str, fields: list[str], names: Names) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = finder(shared.value)
+        f = Finder(shared.value)
         for batch in batches:
             rows: list[tuple] = []
             ids = batch.column(0).to_pylist()
@@ -406,7 +430,7 @@ def mask(df: DataFrame, key: str, fields: list[str], names: Names) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = finder(shared.value)
+        f = Finder(shared.value)
         for batch in batches:
             out = [pa.array([t and masked(t, f.spans(t)) for t in batch.column(c + 1).to_pylist()], pa.string()) for c in range(len(fields))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *out], ["id", *fields])
