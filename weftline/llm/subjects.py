@@ -8,14 +8,16 @@ sentences, how much is on any subject).
 
 Chain: the labels are decided one after the other in a fixed order; each link is a logistic regression over the features and
 the labels decided before it, so co-occurrence of subjects is modelled. The links are fitted on features from sentence models
-that did not see the example (cross-fitting), and Platt-calibrated on those. A beam search over the chain finds the most
+that did not see the example (cross-fitting), and Platt-calibrated on margins of links that did not see it either. A beam search over the chain finds the most
 probable combination of labels; a text without any label is ``general``.
 
-Fitting happens on the driver on at most ``most_examples`` labelled rows (the lowest keys, a documented bound); the fitted
+Fitting happens on the driver on at most ``most_examples`` labelled examples (the lowest keys, a documented bound), each with
+all its labels; with fewer examples than folds each is a fold of its own. The fitted
 model (some tens of thousands of numbers at most: see ``most_terms``) is broadcast, and labelling is one narrow pass.
 
 Defined cases: a null text gets no row; a text without a known word is ``general``; repeated rows are labelled each; tags and
-markup count as breaks; an empty table gives no rows; extra columns are ignored; without examples everything is ``general``.
+markup count as breaks; an empty table gives no rows; extra columns are ignored; without labelled examples everything is ``general``; a single example
+gives a model that has seen its own features.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ GENERAL = "general"
 OFTEN = np.array([0.22, 0.22, 0.25, 0.25])
 LABELLED = "src string, id bigint, subject string"
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_BREAK = re.compile(r"<[^<>]{1,300}>|\[/?\w+\]|\n+|(?<=[.!?;:])\s+|,? and (?=how |what |why |whether |who |the |if |when |which )|, (?=and |also |how |what |why |whether |who |the |if |when |which )")
+_BREAK = re.compile(r"<(?=[/!?A-Za-z])[^<>]*>|\[/?\w+\]|\n+|(?<=[.!?;:])\s+|,? and (?=how |what |why |whether |who |the |if |when |which )|, (?=and |also |how |what |why |whether |who |the |if |when |which )")
 
 
 @dataclass(frozen=True)
@@ -229,7 +231,7 @@ class Chain:
         return np.concatenate([own * 4, over, other, whole, earlier, earlier.sum(1, keepdims=True), np.ones((len(own), 1))], 1)
 
     @staticmethod
-    def fit(shares: np.ndarray, whole: np.ndarray, truth: np.ndarray, s: Settings) -> Chain:
+    def fit(shares: np.ndarray, whole: np.ndarray, truth: np.ndarray, fold: np.ndarray, s: Settings) -> Chain:
         k = truth.shape[1]
         weights, platt = [], []
         for j in range(k):
@@ -237,7 +239,11 @@ class Chain:
             x, y = Chain.inputs(shares, whole, j, earlier), truth[:, j]
             w = _logistic(x, y, s.ridge)
             weights.append(w)
-            z = np.stack([x @ w, np.ones(len(y))], 1)
+            # margins of weights that were fitted without the example
+            margin = x @ w
+            for f in range(fold.max() + 1 if fold.max() else 0):
+                margin[fold == f] = x[fold == f] @ _logistic(x[fold != f], y[fold != f], s.ridge)
+            z = np.stack([margin, np.ones(len(y))], 1)
             # Platt's targets keep the calibration finite where classes separate
             up, down = y.sum(), len(y) - y.sum()
             a = _logistic(z, np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2)), 1e-3)
@@ -293,21 +299,22 @@ def train(examples: list[tuple[str, bool, set[str]]], s: Settings = Settings())
         return Classifier(SentenceModel(subjects), None, s)
     names = _proper([t or "" for t, _, _ in examples])
     model = SentenceModel.fit(texts, labels, subjects, s, names)
-    if len(examples) < 2 * s.folds:
-        return Classifier(model, None, s)
     truth = np.array([[float(x in ls) for x in subjects] for ls in labels])
-    fold = np.arange(len(examples)) % s.folds
+    folds = min(s.folds, len(examples))
+    fold = np.arange(len(examples)) % folds
     shares, whole = np.zeros((len(examples), len(subjects), 4)), np.zeros((len(examples), 3))
-    for f in range(s.folds):
-        fit, out = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+    for f in range(folds):
+        fit, out = np.flatnonzero((fold != f) | (folds == 1)), np.flatnonzero(fold == f)
         part = SentenceModel.fit([texts[i] for i in fit], [labels[i] for i in fit], subjects, s, names)
         shares[out], whole[out] = features(part, [texts[i] for i in out], question[out])
-    return Classifier(model, Chain.fit(shares, whole, truth, s), s)
+    return Classifier(model, Chain.fit(shares, whole, truth, fold, s), s)
 
 
 def examples_of(df: DataFrame, s: Settings = Settings()) -> list[tuple[str, bool, set[str]]]:
     """The labelled examples of a table ``example_id, kind, example_text, subject``; one row per example and subject."""
-    rows = df.select("example_id", "kind", "example_text", "subject").where("example_text is not null and subject is not null").orderBy("example_id").limit(s.most_examples).collect()
+    rows = df.select("example_id", "kind", "example_text", "subject").where("example_text is not null and subject is not null")
+    taken = rows.select("example_id").distinct().orderBy("example_id").limit(s.most_examples)
+    rows = rows.join(taken, "example_id", "left_semi").orderBy("example_id", "subject").collect()
     got: dict = {}
     for i, kind, text, subject in rows:
         got.setdefault(i, (text, kind == "question", set()))[2].add(subject)
