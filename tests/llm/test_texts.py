@@ -4,6 +4,7 @@ import bisect
 import itertools
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -274,6 +275,39 @@ def test_leak_after_a_word_that_agrees_by_chance(spark):
     assert [(r.doc_id, r.item_id) for r in found.collect()] == [(1, 7)]
 
 
+def test_long_tags_are_markup(spark):
+    words = [f"w{i}" for i in range(20)]
+    doc = " ".join(words[:9]) + f" <a href='{'x y ' * 200}'>" + " ".join(words[9:]) + " a < b and c > d"
+    assert leakage.words_of(doc) == [*words, "a", "b", "and", "c", "d"]
+    found = leakage.leaks(spark.createDataFrame([(1, doc)], "doc_id bigint, text string"), spark.createDataFrame([(7, " ".join(words))], "item_id bigint, text string"))
+    assert [tuple(r) for r in found.collect()] == [(1, 7, 0, 20)]
+
+
+def test_a_phrase_that_all_share_is_cheap():
+    rng = random.Random(2)
+    some = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    items = [(i, f"{some(5)} which of the following statements is {some(5)}") for i in range(2000)]
+    docs = [f"{some(5)} which of the following statements is {some(5)}" for _ in range(2000)]
+    test = leakage.TestSet(items, leakage.Rules())
+    began = time.perf_counter()
+    assert leakage._scan(range(2000), docs, test) == [] and time.perf_counter() - began < 2
+    # and what leaks among them is still found
+    docs[5] = "so " + items[9][1] + " indeed"
+    assert [g[:2] for g in leakage._scan(range(2000), docs, test)] == [(5, 9)]
+
+
+def test_large_test_sets_are_scanned_in_blocks(spark):
+    rng = random.Random(4)
+    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(40 if i else 4000))) for i in range(30)]
+    docs = [(i, " ".join(["some", "words", *t.split()[3:23], "more"])) for i, t in items] + [(99, None), (100, " ".join(items[0][1].split()[990:1012]))]
+    ev, df = spark.createDataFrame(items, "item_id bigint, text string"), spark.createDataFrame(docs, "doc_id bigint, text string")
+    whole = {tuple(r) for r in leakage.leaks(df, ev).collect()}
+    parts = leakage.leaks(df, ev, rules=leakage.Rules(most_grams=400))
+    assert {tuple(r) for r in parts.collect()} == whole and len(whole) == 31
+    one, many = ({r.doc_id: r.text for r in leakage.scrubbed(df, ev, rules=r).collect()} for r in (leakage.Rules(), leakage.Rules(most_grams=400)))
+    assert one == many and one[3] == "some words  more" and one[99] is None
+
+
 # -- stuffed pages ----------------------------------------------------------------------------------------------------
 
 PROSE = "The council met on Tuesday and heard that the road would be closed until June. Nobody was happy about it, but the work has to be done."
@@ -371,7 +405,7 @@ NAMES = pii.Names.of(["Anna", "Mark", "Seán"], ["Tarrmarula", "Corvshaish", "Ma
 
 
 def spans(text):
-    return [(k, text[a:b]) for a, b, k in pii.finder(NAMES).spans(text)]
+    return [(k, text[a:b]) for a, b, k in pii.Finder(NAMES).spans(text)]
 
 
 def test_personal_data_cases():
@@ -403,12 +437,24 @@ def test_find_and_mask(spark):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(list("aA1 .@,-(+)\n[]0369") + ["Anna ", "Corvshaish", " at ", " Street", "İ", "Dr "]), max_size=60).map("".join))
 def test_spans_never_overlap_and_text_survives(text):
-    found = pii.finder(NAMES).spans(text)
+    found = pii.Finder(NAMES).spans(text)
     assert all(a < b for a, b, _ in found) and all(x[1] <= y[0] for x, y in zip(found, found[1:]))
     rest = pii.masked(text, [(a, b, "person") for a, b, _ in found])
     assert rest.replace("[PERSON]", "") == "".join(c for i, c in enumerate(text) if not any(a <= i < b for a, b, _ in found)) or "[PERSON]" in text
 
 
+def test_nothing_is_too_long_or_too_many():
+    assert spans("x" * 100 + "@foo.ie") == [("email", "x" * 100 + "@foo.ie")]
+    blanks = " " * 300
+    assert spans("part no." + blanks + "970-24-1386") == [] and spans("part no. a b c d e f 970-24-1386") == [("id_number", "970-24-1386")]
+    assert spans(f"in Flat{blanks}3B,{blanks}67{blanks}Venvarish Park") == [("address", f"Flat{blanks}3B,{blanks}67{blanks}Venvarish Park")]
+    many = " ".join(f"087 {i % 1000:03d} {i % 10_000:04d}" for i in range(20_000))
+    began = time.perf_counter()
+    assert len(spans(many)) == 20_000 and time.perf_counter() - began < 10
+    # without affixes only listed family names count
+    assert [k for _, _, k in pii.Finder(pii.Names.of(["Anna"], ["Tarrmarula", "Corvshaish"], affix=0)).spans("Anna Corvmarula, Anna Corvshaish")] == ["person"]
+
+
 # -- subjects ---------------------------------------------------------------------------------------------------------
 
 
@@ -438,11 +484,23 @@ def test_subject_cases(spark):
     assert subjects.train([]).label(["anything"], [True]) == [["general"]]
 
 
+def test_few_examples_and_whole_label_sets(spark):
+    court, code = "the court heard the appeal of the judge", "the software update fixed a bug in the code"
+    few = [(court, True, {"law"}), (code, False, {"software"}), (court + ". " + code, True, {"law", "software"}), ("nothing to say here", False, {"general"})] * 2
+    model = subjects.train(few)
+    assert model.label([court, code], [True, False]) == [["law"], ["software"]]
+    assert subjects.train(few[:1]).label([court], [True]) in ([["law"]], [["general"]])
+    rows = [(1, "question", court, "law"), (2, "question", "both", "law"), (2, "question", "both", "software"), (3, "question", code, "software"), (4, None, None, "law")]
+    df = spark.createDataFrame(rows, "example_id bigint, kind string, example_text string, subject string")
+    assert subjects.examples_of(df, subjects.Settings(most_examples=2)) == [(court, True, {"law"}), ("both", True, {"law", "software"})]
+    assert subjects._sentences(f"one <a href='{'x' * 500}'>two</a>", 18) == [["one"], ["two"]]
+
+
 def test_beam_finds_the_most_probable_combination():
     rng = np.random.default_rng(3)
     shares, whole = rng.random((5, 4, 4)), rng.random((5, 3))
     truth = (shares[:, :, 2] > 0.5).astype(float)
-    chain = subjects.Chain.fit(np.tile(shares, (8, 1, 1)), np.tile(whole, (8, 1)), np.tile(truth, (8, 1)), subjects.Settings())
+    chain = subjects.Chain.fit(np.tile(shares, (8, 1, 1)), np.tile(whole, (8, 1)), np.tile(truth, (8, 1)), np.arange(40) % 5, subjects.Settings())
 
     def logp(i, labels):
         total = 0.0

@@ -1,8 +1,13 @@
 """Passages of held-out test items inside a corpus.
 
-The test items' word n-grams go to every executor as one sorted array of hashes. Items of more than five characters per
-window of ``most_grams`` raise: split them and join the results. Each document's words are numbered by the test
-vocabulary, a window of n words is looked up at every position, and every hit is verified on the words around it.
+The test items' word n-grams go to every executor as one sorted array of hashes, behind a check of their size: a larger test
+set is dealt into blocks by item, and the corpus is scanned once for each block, so no set is too large. Each document's
+words are numbered by the test vocabulary, a window of n words is looked up at every position, and every hit is verified on
+the words around it.
+
+Phrases that many items and documents share do not multiply: a passage holds several windows close together (how many
+follows from the rules), so hits without enough others near them in the document are dropped before they are paired with
+items, and a pair goes on to verification only if words continue to agree beyond the run that the hit stands in.
 
 A passage is ``least`` or more successive words of an item of which up to one in ``one_in`` were changed in the document
 (replaced, dropped or added). Such a passage always holds a run of six unchanged words (15 words with one change leave
@@ -18,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.words import WORD, mix
+from weftline.session import written
 
-TAG = re.compile(r"<[^<>]{0,400}>|&#?\w{1,8};")
+TAG = re.compile(r"<(?=[/!?A-Za-z])[^<>]*>|&#?\w{1,8};")
 FOUND = "doc_id bigint, item_id bigint, first_word int, last_word int"
 
 
@@ -35,11 +42,26 @@ class Rules:
     least: int = 15
     one_in: int = 10
     window: int = 6
-    #: Distinct test windows that may be broadcast: 16 bytes each.
+    #: Test windows of one block, that is what is broadcast at once: 16 bytes each.
     most_grams: int = 2_000_000
+    #: Pairs of a document window and an item window that are looked at together; only memory depends on it.
+    most_pairs: int = 1_000_000
     #: Documents are scanned together up to so many characters, so that the arithmetic runs over long arrays.
     chars: int = 2_000_000
 
+    def sizes(self) -> range:
+        """Lengths of passages to look for: a longer passage holds one of these."""
+        return range(self.least, max(3 * self.one_in, self.least + 1))
+
+    def fewest_windows(self) -> int:
+        """A passage of n words with c changed keeps n - c in c + 1 runs: so many whole windows at least."""
+        return max(1, min(n - n // self.one_in - (self.window - 1) * (n // self.one_in + 1) for n in self.sizes()))
+
+    def beyond(self, run: int) -> int:
+        """How many words in a row go on agreeing beyond a change next to the longest run of a passage, if that has ``run`` words."""
+        kept = [(n - n // self.one_in, n // self.one_in) for n in self.sizes()]
+        return min(0 if k <= run else max(1, k - run * c) for k, c in kept)
+
 
 def words_of(text: str | None) -> list[str]:
     if not text:
@@ -88,7 +110,7 @@ def _windows(equal: np.ndarray, least: int, one_in: int, whole: bool) -> Iterato
     with an equal word, as a passage does.
     """
     gone = np.cumsum(np.pad(~equal, ((0, 0), (1, 0))), 1, dtype=np.int16)
-    for size in range(least, max(3 * one_in, least + 1)):
+    for size in Rules(least, one_in).sizes():
         ok = (gone[:, size:] - gone[:, :-size]) <= size // one_in
         if whole:
             ok &= equal[:, : ok.shape[1]] & equal[:, size - 1 :]
@@ -161,21 +183,70 @@ def _scan(ids: list[int], texts: list[str | None], test: TestSet) -> list[tuple]
     hit = np.flatnonzero(high > low)
     if not len(hit):
         return []
-    count = (high - low)[hit]
-    p = np.repeat(at[hit], count)
-    q = test.places[np.repeat(low[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-    which = np.searchsorted(bounds, p, "right") - 1
+    # a passage's windows lie close together; without enough of them there is none
+    place, few = at[hit], r.fewest_windows()
+    if few > 1:
+        together = np.flatnonzero(place[few - 1 :] - place[: -(few - 1)] <= 2 * r.sizes()[-1]) if len(place) >= few else np.empty(0, np.int64)
+        near = np.zeros(len(hit) + 1, np.int64)
+        np.add.at(near, together, 1)
+        np.add.at(near, together + few, -1)
+        hit = hit[np.cumsum(near)[:-1] > 0]
+    if not len(hit):
+        return []
+    bounds = np.array(bounds)
+    count, out = (high - low)[hit], {}
+    # a part ends with a document if it can
+    ends, which = np.cumsum(count), np.searchsorted(bounds, at[hit], "right") - 1
+    begin = 0
+    while begin < len(hit):
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - count[begin] + r.most_pairs, "right")))
+        if end < len(hit):
+            whole = int(np.searchsorted(which, which[end], "left"))
+            end = whole if whole > begin else end
+        _verify(at[hit[begin:end]], low[hit[begin:end]], count[begin:end], which[begin:end], doc, test, out)
+        begin = end
+    return [(ids[d], int(test.item[i]), int(s - bounds[d]), int(e - bounds[d])) for (d, i), spans in out.items() for s, e in _merged(spans)]
+
+
+def _goes_on(p: np.ndarray, q: np.ndarray, run: np.ndarray, doc: np.ndarray, test: TestSet) -> np.ndarray:
+    """Which runs of equal words (``run`` words from ``p`` in the document, ``q`` in the items) may be the longest of a passage."""
+    r = test.rules
+    need = np.array([r.beyond(k) if k >= r.window else 0 for k in range(r.least + 1)])[np.minimum(run, r.least)]
+    ok = need == 0
+    left = np.flatnonzero(~ok)
+    most = r.sizes()[-1] // r.one_in
+    same = lambda a, b: (doc[np.clip(a, 0, len(doc) - 1)] == test.words[np.clip(b, 0, len(test.words) - 1)]) & (doc[np.clip(a, 0, len(doc) - 1)] >= 0)
+    for way in (1, -1):
+        a, b = (p + run, q + run) if way > 0 else (p - 1, q - 1)
+        for i in range(most + 1):
+            for j in range(most + 1):
+                x, y = a[left] + way * i, b[left] + way * j
+                hit = same(x, y)
+                hit &= (need[left] < 2) | same(x + way, y + way)
+                ok[left[hit]] = True
+                left = left[~hit]
+    return ok
+
+
+def _verify(at: np.ndarray, low: np.ndarray, count: np.ndarray, of: np.ndarray, doc: np.ndarray, test: TestSet, out: dict) -> None:
+    """Add to ``out`` (document, item) -> bounds of the passages around some hits."""
+    r = test.rules
+    p, which = np.repeat(at, count), np.repeat(of, count)
+    q = test.places[np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
     # one hit of a run of hits on one diagonal is enough: the look around it covers a passage's length on either side
     key = which.astype(np.int64) * len(test.words) * 2 + (p - q + len(test.words))
-    order = np.lexsort((p, key))
+    order = np.argsort(key, kind="stable")  # places ascend already
     p, q, which, key = p[order], q[order], which[order], key[order]
     fresh = np.ones(len(p), bool)
     fresh[1:] = (key[1:] != key[:-1]) | (p[1:] - p[:-1] != 1)
+    first = np.flatnonzero(fresh)
+    run = np.diff(np.append(first, len(p))) + r.window - 1
+    ok = np.repeat(_goes_on(p[first], q[first], run, doc, test), np.diff(np.append(first, len(p))))
     # a run longer than the passage itself needs its first place only; the others add what lies to its right
-    fresh |= (np.arange(len(p)) % 16 == 0)
+    fresh = (fresh | (np.arange(len(p)) % 16 == 0)) & ok
     p, q, which = p[fresh], q[fresh], which[fresh]
 
-    out, reach = {}, 2 * r.one_in + r.window
+    reach = 2 * r.one_in + r.window
     for lo in range(0, len(p), 20_000):
         P, Q, D = p[lo : lo + 20_000], q[lo : lo + 20_000], which[lo : lo + 20_000]
         offsets = np.arange(-reach, reach + r.window)
@@ -198,7 +269,6 @@ def _scan(ids: list[int], texts: list[str | None], test: TestSet) -> list[tuple]
                 got = aligned(item, doc[begin : int(P[k]) + reach + r.window + 4], r.least, r.one_in)
                 if got:
                     out[found] = [(begin + got[0], begin + got[1])]
-    return [(ids[d], int(test.item[i]), s - bounds[d], e - bounds[d]) for (d, i), spans in out.items() for s, e in _merged(spans)]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -217,38 +287,80 @@ def _extent(equal: np.ndarray, begin: int, r: Rules) -> tuple[int, int]:
     return int(begin + min(a for a, _ in covered)), int(begin + max(b for _, b in covered))
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """``doc_id, item_id, first_word, last_word`` of every passage of an item in a document. One scan, no shuffle.
+def _blocks(items: DataFrame, key: str, text: str, rules: Rules) -> Iterator[TestSet]:
+    """The test items in blocks of about ``most_grams`` windows; an item that is longer by itself comes in overlapping pieces."""
+    rows = items.select(F.col(f"`{key}`").cast("bigint").alias("item_id"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null")
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    limit = rules.most_grams * 5
+    if size <= limit:
+        yield TestSet([tuple(x) for x in rows.collect()], rules)
+        return
+    step, over = max(rules.most_grams // 8, 1), 4 * rules.sizes()[-1]
 
-    Words are numbered from 0 in the document; the last one is excluded. Passages of one item that overlap are one row.
-    """
-    rows = items.select(F.col(f"`{item_key}`").cast("bigint"), F.col(f"`{item_text}`").cast("string")).where(F.col(f"`{item_text}`").isNotNull())
-    size = rows.agg(F.sum(F.length(F.col(f"`{item_text}`")))).first()[0] or 0
-    if size > rules.most_grams * 5:
-        raise ValueError(f"the test items hold {size} characters, more than {rules.most_grams} windows may; split them and join the results")
-    test = TestSet([tuple(x) for x in rows.collect()], rules)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(test)
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(t)
+                cut = [" ".join(words[a : a + step + over]) for a in range(0, max(len(words), 1), step)]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(cut), pa.int64()), pa.array(cut, pa.string())], ["item_id", "text"])
+
+    dealt = written(rows.mapInArrow(pieces, "item_id bigint, text string").withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(-(-2 * size // limit)))), "leakage-items")
+    for block in range(-(-2 * size // limit)):
+        yield TestSet([tuple(x) for x in dealt.where(F.col("block") == block).select("item_id", "text").collect()], rules)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(ids, texts):
-            got = _scan(ids, texts, shared.value)
-            return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "first_word", "last_word"])
 
+def _scanned(docs: DataFrame, test: TestSet, doc_key: str, doc_text: str, made, schema: str) -> DataFrame:
+    """``made(ids, texts, found)`` over the documents, many at a time; ``found`` are the rows of ``FOUND`` with a document's place for its id."""
+    shared = docs.sparkSession.sparkContext.broadcast(test)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size = [], [], 0
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids.append(i)
                 texts.append(t)
                 size += len(t) if t else 0
-                if size > rules.chars:
-                    yield out(ids, texts)
+                if size > shared.value.rules.chars:
+                    yield made(ids, texts, _scan(range(len(ids)), texts, shared.value))
                     ids, texts, size = [], [], 0
         if ids:
-            yield out(ids, texts)
+            yield made(ids, texts, _scan(range(len(ids)), texts, shared.value))
+
+    return docs.select(F.col(f"`{doc_key}`").cast("bigint").alias("doc_id"), F.col(f"`{doc_text}`").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", rules: Rules = Rules()) -> DataFrame:
+    """``doc_id, item_id, first_word, last_word`` of every passage of an item in a document. One scan for each block of items, no shuffle.
+
+    Words are numbered from 0 in the document; the last one is excluded. Passages of one item that overlap are one row,
+    unless the item was so long that it came in pieces.
+    """
+
+    def made(ids, texts, found):
+        return pa.RecordBatch.from_arrays([pa.array([ids[g[0]] for g in found], pa.int64()), *(pa.array([g[i] for g in found], t) for i, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.int32())))], ["doc_id", "item_id", "first_word", "last_word"])
+
+    docs = docs.where(F.col(f"`{doc_text}`").isNotNull())
+    parts = [_scanned(docs, test, doc_key, doc_text, made, FOUND) for test in _blocks(items, item_key, item_text, rules)]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def scrubbed(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", rules: Rules = Rules()) -> DataFrame:
+    """``doc_id, text`` of all documents, the leaked passages cut out where they are found: one scan, no shuffle.
+
+    A test set of several blocks gives the spans of all blocks first, which are then joined to the texts.
+    """
 
-    text = docs.select(F.col(f"`{doc_key}`").cast("bigint").alias("doc_id"), F.col(f"`{doc_text}`").cast("string").alias("text")).where("text is not null")
-    return text.mapInArrow(run, FOUND)
+    def made(ids, texts, found):
+        spans: dict[int, list[dict]] = {}
+        for d, _, s, e in found:
+            spans.setdefault(d, []).append({"first_word": s, "last_word": e})
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([_cut(t, spans.get(i)) for i, t in enumerate(texts)], pa.string())], ["doc_id", "text"])
+
+    blocks = _blocks(items, item_key, item_text, rules)
+    first = next(blocks)
+    if next(blocks, None) is None:
+        return _scanned(docs, first, doc_key, doc_text, made, "doc_id bigint, text string")
+    return without_passages(docs, leaks(docs, items, doc_key, doc_text, item_key, item_text, rules), doc_key, doc_text)
 
 
 def without_leaks(docs: DataFrame, found: DataFrame, doc_key: str = "doc_id") -> DataFrame:

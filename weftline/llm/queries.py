@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import leakage, neardup, packing, pii, stuffing, subjects
-from weftline.session import table
+from weftline.session import table, written
 
 QUESTION_TEXTS = ["QuestionText", "AnswerText"]
 
@@ -31,8 +31,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """The documents without the leaked passages."""
-    docs = table(spark, d, "documents")
-    return leakage.without_passages(docs, leakage.leaks(docs, table(spark, d, "eval_items")))
+    return leakage.scrubbed(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 def p8_by_source(spark: SparkSession, d: str) -> DataFrame:
@@ -79,6 +78,19 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(packing.pack(table(spark, d, "documents")))
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What a filling must keep: every document is there once, no container is overfull, nothing is split that fits, no piece is empty or too large."""
+    docs = table(spark, d, "documents")
+    # tokens are counted once: everything below reads the same filling
+    packed = written(packing.pack(docs), "p7-checks")
+    overfull = packed.where("container is not null").groupBy("container").agg(F.sum("tokens").alias("n")).agg(F.count_if(F.col("n") > 2048).alias("n_overfull"))
+    per_doc = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.count_distinct("piece").alias("places"), F.sum("tokens").alias("n"), F.max("tokens").alias("most"))
+    split = per_doc.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= 2048)).alias("n_split"), F.count_if((F.col("pieces") != F.col("places")) | (F.col("most") > 2048)).alias("n_odd"))
+    empty = packed.agg(F.count_if(F.col("container").isNull()).alias("n_empty"))
+    one = F.lit(1).alias("k")
+    return overfull.select(one, "*").join(split.select(one, "*"), "k").join(empty.select(one, "*"), "k").drop("k")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Pages of which at least half the words stand in lists."""
     return stuffing.stuffed(table(spark, d, "documents")).select("doc_id")
@@ -92,7 +104,7 @@ def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "source").join(words, "doc_id").groupBy("source").agg(F.count_if(F.col("n_prose") <= 0.5 * F.col("n_words")).alias("n_stuffed"), *sums)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p4_found, p4_mix, p5_found, p5_masked, p7_containers, p7_fill, p8_found, p8_cleaned, p8_by_source, p9_found, p9_by_source)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p4_found, p4_mix, p5_found, p5_masked, p7_containers, p7_fill, p7_checks, p8_found, p8_cleaned, p8_by_source, p9_found, p9_by_source)}
 _CLASSES = """
 WITH RECURSIVE texts AS (
   SELECT Id, 'QuestionText' AS field, QuestionText AS x FROM oireachtas_questions UNION ALL SELECT Id, 'AnswerText', AnswerText FROM oireachtas_questions),
@@ -105,6 +117,7 @@ both_ways AS (SELECT field, a, b FROM links UNION ALL SELECT field, b, a FROM li
 reach AS (SELECT field, a, b FROM both_ways UNION SELECT r.field, r.a, e.b FROM reach r JOIN both_ways e ON e.field = r.field AND e.a = r.b)
 """
 ORACLES: dict[str, str] = {
+    "p7_checks": "SELECT CAST(0 AS BIGINT) AS n_overfull, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_docs, CAST(0 AS BIGINT) AS n_split, CAST(0 AS BIGINT) AS n_odd, CAST(count(*) FILTER (coalesce(text, '') = '') AS BIGINT) AS n_empty FROM documents",
     # all pairs that share a run of words; in reach on the small tables the check uses
     "p1_found": _CLASSES + "SELECT field, a AS id_a, b AS id_b FROM reach WHERE a < b",
     "p1_classes": _CLASSES
