@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftline.operators.intervals import OPEN, IntervalMap, merge_intervals
-from weftline.operators.nested import ShapeAutomaton, DEBATES, entity_table, shred, variant_table, variants
+from weftline.operators.nested import ShapeAutomaton, DEBATES, entity_table, route, shred, variant_table, variants
 from weftline.operators.packed import ESC, MARK, SEP, explode_values, split_values
 
 
@@ -66,7 +66,25 @@ def test_merge_intervals_hot_key_against_days(spark):
 
 
 def _split(spark, cells):
-    return [r[0] for r in spark.createDataFrame([(c,) for c in cells], "v string").select(split_values(F.col("v"))).collect()]
+    return [r[0] for r in spark.createDataFrame([(c,) for c in cells], "v string").select(split_values(F.col("v"), ("Shared/Split Screen",))).collect()]
+
+
+def test_any_white_space_around_quotes_and_suffixes(spark):
+    b = " " * 25
+    cells = [f'a,{b}"x, y"{b},b', f"Foo, Inc.{b},Bar", "Foo, Ltd.\nBar", '"q, Inc.", Foo, Ltd, z', "AC/DC"]
+    assert _split(spark, cells) == [["a", "x, y", "b"], ["Foo, Inc.", "Bar"], ["Foo, Ltd.", "Bar"], ["q, Inc.", "Foo, Ltd", "z"], ["AC", "DC"]]
+    got = spark.createDataFrame([("AC/DC",)], "v string").select(split_values(F.col("v"), ("AC/DC",))).first()[0]
+    assert got == ["AC/DC"]
+
+
+def test_rows_are_routed_to_typed_variant_tables(spark):
+    records = [(1, '{"contributions": [{"text": "a"}, null, {"text": "b", "num": 2}]}'), (2, '"{\\"text\\": \\"encoded\\"}"'), (3, "nonsense"), (4, None)]
+    routed = route(shred(spark.createDataFrame(records, "Id bigint, RawJSON string"), "Id", "RawJSON"))
+    assert {(r.id, r.entity, r.path, r.parent_path) for r in routed.common().collect()} == {(1, "section", "", ""), (1, "contribution", "contributions/0", ""), (1, "contribution", "contributions/2", ""), (2, "section", "", "")}
+    typed = routed.table("contribution", "struct<`num`:bigint,`text`:string>")
+    assert [(r.id, r.path, r.own.num, r.own.text) for r in typed.collect()] == [(1, "contributions/2", 2, "b")]
+    plan = typed._jdf.queryExecution().executedPlan().toString()
+    assert "variant_id" in plan.partition("PartitionFilters:")[2].partition("]")[0]
 
 
 def test_split_values_cases(spark):
@@ -93,7 +111,7 @@ def test_quoted_values_come_back(spark, lists):
 
 def test_explode_positions(spark):
     df = spark.createDataFrame([(1, "a,,b", None), (2, None, "x;y"), (2, None, "x;y"), (3, " ", "")], "id bigint, A string, B string").withColumn("value", F.lit("clash")).withColumn("pos", F.lit(9))
-    got = sorted(tuple(r) for r in explode_values(df, "id", ["A", "B"]).collect())
+    got = sorted(tuple(r) for r in explode_values(df, "id", ["A", "B"], ()).collect())
     assert got == [(1, "A", 1, "a"), (1, "A", 2, "b"), (2, "B", 1, "x"), (2, "B", 1, "x"), (2, "B", 2, "y"), (2, "B", 2, "y")]
 
 

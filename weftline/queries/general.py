@@ -9,6 +9,8 @@ from weftline.operators import intervals, nested, packed
 from weftline.session import table
 
 PACKED = ["Genres", "Tags", "Categories", "Developers"]
+#: Names of these columns in which a slash is part of the name.
+WITH_SLASH = ("Shared/Split Screen",)
 
 
 def _debates(spark: SparkSession, d: str) -> nested.Routed:
@@ -59,12 +61,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The values of the packed game cells, one per row."""
-    return packed.explode_values(table(spark, d, "steam_games"), "Id", PACKED)
+    return packed.explode_values(table(spark, d, "steam_games"), "Id", PACKED, WITH_SLASH)
 
 
 def p6_value_counts(spark: SparkSession, d: str) -> DataFrame:
     """How many games carry each value, values compared without case."""
-    found = packed.explode_values(table(spark, d, "steam_games"), "Id", PACKED)
+    found = packed.explode_values(table(spark, d, "steam_games"), "Id", PACKED, WITH_SLASH)
     return found.groupBy("field", F.lower("value").alias("value_key")).agg(F.count_distinct("id").alias("n_games"))
 
 
