@@ -264,6 +264,8 @@ class _Indicators(Operator):
     split = False
 
     def __init__(self, column: str, row_key: str, sep: str = ",", handle_unknown: str = "ignore", drop_original: bool = True) -> None:
+        if handle_unknown not in ("ignore", "error"):
+            raise ValueError(f"unknown way {handle_unknown!r}: ignore or error")
         self.column, self.row_key, self.sep, self.unknown, self.drop = column, row_key, sep, handle_unknown, drop_original
 
     def fit(self, df: DataFrame) -> Fitted:
@@ -277,6 +279,11 @@ class _Indicators(Operator):
         def apply(d: DataFrame) -> DataFrame:
             has = (lambda v: F.array_contains(cell_tokens(F.col(self.column), self.sep), v)) if self.split else (lambda v: F.col(self.column).cast("string") == F.lit(v))
             new = [F.coalesce(has(v), F.lit(False)).cast("int").alias(f"{self.column}__{v}", metadata={"kind": "indicator"}) for v in values]
+            if self.unknown == "error":
+                known = F.array(*map(F.lit, values)).cast("array<string>")
+                parts = cell_tokens(F.col(self.column), self.sep) if self.split else F.array(F.col(self.column).cast("string"))
+                other = F.get(F.array_except(F.filter(parts, lambda v: v.isNotNull()), known), F.lit(0))
+                d = d.where(F.when(other.isNotNull(), F.raise_error(F.concat(F.lit("unknown category: "), other)).cast("boolean")).otherwise(True))
             rest = [F.col(f"`{c}`") for c in d.columns if not (self.drop and c == self.column)]
             return d.select(*rest, *new)
 

@@ -18,9 +18,16 @@ def last_by_key(df: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
 
 
 def lookup_overwrite(left: DataFrame, right: DataFrame, key: str, version: str | None = None) -> DataFrame:
-    """Left outer lookup whose fields, where a match is found, overwrite equal-named ones. Of repeated right keys the last wins."""
+    """Left outer lookup whose fields, where a match is found, overwrite equal-named ones; every left row stays one row.
+
+    Of repeated right keys the one with the greatest ``version`` wins, or without one, since a table has no order of its
+    own, the greatest row by its columns in turn.
+    """
     if version:
         right = last_by_key(right, [key], version).drop(version)
+    else:
+        rest = [c for c in right.columns if c != key]
+        right = right.groupBy(key).agg(F.max(F.struct(*rest)).alias("_row")).select(key, *(F.col(f"_row.`{c}`") for c in rest))
     r = right.select(F.col(key).alias("_k"), F.struct(*(F.col(c) for c in right.columns if c != key)).alias("_r"))
     joined = left.join(r, F.col(key) == F.col("_k"), "left")
     fields = [c for c in right.columns if c != key]
@@ -51,6 +58,21 @@ def matching_null_keys(incoming: DataFrame, stored: DataFrame, keys: Sequence[st
     return a.join(b, on, "left_anti")
 
 
+def upsert_children(stored: dict[str, DataFrame], incoming: dict[str, DataFrame], keys: dict[str, Sequence[str]], parent: str) -> dict[str, DataFrame]:
+    """What to append or replace per table: the parent's rows replace those of equal keys, a child's rows are kept only where
+    no stored child has equal keys, null being equal to null. Without a stored table all incoming rows are new."""
+    out = {}
+    for name, rows in incoming.items():
+        have, on = stored.get(name), keys[name]
+        if have is None:
+            out[name] = rows
+        elif name == parent:
+            out[name] = upsert(have, rows, on)
+        else:
+            out[name] = matching_null_keys(rows, have, on)
+    return out
+
+
 def normalise_members(payload: DataFrame, record: str = "member") -> dict[str, DataFrame]:
     """Nested member records as four linked tables; child rows are keyed by what identifies them in the source."""
     m = payload.select(F.col(f"{record}.*"))

@@ -83,6 +83,11 @@ def except_values(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     return a.select(column).subtract(b.select(column))
 
 
+def union_values(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """The distinct values of both, null being one."""
+    return a.select(column).union(b.select(column)).distinct()
+
+
 def intersect_values(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     return a.select(column).intersect(b.select(column))
 

@@ -37,15 +37,29 @@ def append_new(df: DataFrame, path: str, keys: Sequence[str], partition_by: Sequ
 
 
 def upsert_to(df: DataFrame, path: str, staging: str, keys: Sequence[str]) -> None:
-    """Merge by key: the result is written to ``staging`` and then takes the table's place; nothing is read and overwritten at once."""
+    """Merge by key: the result is written to ``staging`` and then takes the table's place; nothing is read and overwritten at once.
+
+    The old table is moved aside before and removed after, so whenever this stops there is a whole table at ``path`` or at
+    ``path`` + ".old"; the next call moves that back first.
+    """
     spark = df.sparkSession
-    merged = upsert(spark.read.parquet(path), df, keys) if exists(spark, path) else df
+    P, aside = spark._jvm.org.apache.hadoop.fs.Path, f"{path}.old"
+    fs = P(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def move(a: str, b: str) -> None:
+        if not fs.rename(P(a), P(b)):
+            raise OSError(f"{a} could not be moved to {b}")
+
+    if exists(spark, aside) and not exists(spark, path):
+        move(aside, path)
+    fs.delete(P(aside), True)
+    had = exists(spark, path)
+    merged = upsert(spark.read.parquet(path), df, keys) if had else df
     merged.write.mode("overwrite").parquet(staging)
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    P = spark._jvm.org.apache.hadoop.fs.Path
-    fs.delete(P(path), True)
-    if not fs.rename(P(staging), P(path)):
-        raise OSError(f"{staging} could not take the place of {path}")
+    if had:
+        move(path, aside)
+    move(staging, path)
+    fs.delete(P(aside), True)
 
 
 class Runs:
@@ -80,6 +94,38 @@ class Runs:
         return self.spark.read.parquet(f"{self.folder}/runs").join(self.metrics().where("value is not null").select("run_id").distinct(), "run_id", "left_anti")
 
 
+def write_excel(df: DataFrame, path: str, most: int = 1_000_000) -> None:
+    """One sheet of a small table, for people to read; a table of more rows than a sheet holds raises. Needs ``openpyxl``."""
+    rows = df.limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"a sheet holds at most {most} rows")
+    rows.to_excel(path, index=False)
+
+
+def save_model(fitted, path: str) -> None:
+    """A fitted model as MLlib's own files, which any executor of any session can read again."""
+    fitted.state["model"].write().overwrite().save(path)
+
+
+def json_safe(df: DataFrame) -> DataFrame:
+    """Every column as JSON can hold it: nested ones as JSON text, times as ISO text, what is no number as null."""
+    out = []
+    for f in df.schema:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if kind in ("struct", "array", "map", "variant"):
+            c = F.to_json(c)
+        elif kind in ("date", "timestamp", "timestamp_ntz"):
+            c = F.date_format(c, "yyyy-MM-dd" if kind == "date" else "yyyy-MM-dd'T'HH:mm:ss")
+        elif kind in ("double", "float"):
+            c = F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+        elif kind == "binary":
+            c = F.base64(c)
+        elif kind == "decimal":
+            c = c.cast("double")
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
 def write_result(path: str, name: str, params: dict[str, Any], metrics: dict[str, float]) -> None:
     """One experiment's result as JSON on the driver."""
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
