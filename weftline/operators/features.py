@@ -6,22 +6,22 @@ with more raises and should be kept as a vector or indexed by a join instead.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA, Normalizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions.scalars import LOGS, cell_tokens, cyclic, shifted
+from weftline.functions.text import STOPWORDS
 from weftline.operators.base import ENCODERS, IMPUTERS, REDUCERS, SAMPLERS, SCALERS, VECTORIZERS, Fitted, Operator
 from weftline.operators.rowset import hashed_order
-from weftline.session import cut
+from weftline.session import cut, discard, written
 
 MOST_CATEGORIES = 10_000
 
@@ -202,6 +202,49 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[floa
     return out
 
 
+def grouped_quantiles(df: DataFrame, by: str, value: str, shares: Sequence[float], bins: int = 1024, small: int = 200_000) -> DataFrame:
+    """Exact interpolated quantiles of each group by narrowing brackets: ``by, q`` (an array, one number for each share).
+
+    ``percentile`` keeps all distinct values of a group in one task. Here each pass counts the values of every open group in
+    equal parts of its bracket, on the map side first, and keeps the part that holds the wanted ranks; a group whose brackets
+    hold at most ``small`` values then gets them from ``percentile`` of those values alone, shifted by the number below. Any
+    number of groups goes on in the same passes; their brackets travel as a table that is joined, not collected.
+    """
+    x = df.select(F.col(by).alias("g"), F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("x")).where("x is not null")
+    counts = x.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    ranks = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(shares)))).alias("s")
+    wanted = counts.select("g", "n", "lo", "hi", ranks).select("g", "n", "lo", "hi", "s.i", "s.p", (F.lit(0).cast("long")).alias("below"), F.col("n").alias("inside"))
+    wanted = written(wanted.withColumn("low", F.floor(F.col("p") * (F.col("n") - 1))).withColumn("high", F.ceil(F.col("p") * (F.col("n") - 1))), "quantile-ranks")
+    while True:
+        wide = wanted.where((F.col("inside") > small) & (F.col("lo") < F.col("hi")))
+        if wide.isEmpty():
+            break
+        width = (F.col("hi") - F.col("lo")) / bins
+        part = F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
+        # the brackets are one row per group and share: small beside the table, and joined whichever way suits their size
+        inner = x.join(wide, "g").where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+        cells = inner.groupBy("g", "i", part.alias("part")).agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("a"), F.max("x").alias("b"), *(F.first(c).alias(c) for c in ("n", "p", "below", "low", "high")))
+        run = F.sum("c").over(Window.partitionBy("g", "i").orderBy("part"))
+        cells = cells.withColumn("before", F.col("below") + run - F.col("c"))
+        # the parts that hold either rank; a rank and the next may lie in different parts
+        hit = cells.where((F.col("before") <= F.col("high")) & (F.col("before") + F.col("c") > F.col("low")))
+        narrowed = hit.groupBy("g", "i").agg(F.first("n").alias("n"), F.min("a").alias("lo"), F.max("b").alias("hi"), F.first("p").alias("p"), F.min("before").alias("below"), F.sum("c").alias("inside"), F.first("low").alias("low"), F.first("high").alias("high"))
+        done = wanted.where(~((F.col("inside") > small) & (F.col("lo") < F.col("hi"))))
+        last, wanted = wanted, written(done.unionByName(narrowed.select(done.columns)), "quantile-ranks")
+        discard(last)
+    # a bracket of one value needs no look at the table
+    flat = wanted.where("lo = hi").select("g", "i", F.col("lo").alias("q"))
+    rest = wanted.where("lo < hi")
+    inner = x.join(rest, "g").where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+    per_value = inner.groupBy("g", "i", "x").agg(F.count(F.lit(1)).alias("c"), *(F.first(c).alias(c) for c in ("n", "p", "below", "low", "high")))
+    before = F.col("below") + F.sum("c").over(Window.partitionBy("g", "i").orderBy("x")) - F.col("c")
+    at = per_value.withColumn("before", before)
+    holds = lambda r: F.max(F.when((F.col("before") <= F.col(r)) & (F.col("before") + F.col("c") > F.col(r)), F.col("x")))
+    found = at.groupBy("g", "i").agg(holds("low").alias("a"), holds("high").alias("b"), F.first("n").alias("n"), F.first("p").alias("p"), F.first("low").alias("low"))
+    found = found.select("g", "i", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("p") * (F.col("n") - 1) - F.col("low"))).alias("q"))
+    return flat.unionByName(found).groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda s: s["q"]).alias("q")).select(F.col("g").alias(by), "q")
+
+
 @SCALERS.register("robust")
 class RobustScaler(_Affine):
     """(x - median) / interquartile range, both interpolated and exact."""
@@ -334,30 +377,64 @@ class OrdinalEncoder(Operator):
 TERM = r"[\p{L}\p{N}_]{2,}"
 
 
-def terms(df: DataFrame, key: str, text: str, pattern: str = TERM) -> DataFrame:
+def text_terms(c: Column, pattern: str = TERM, ngram_range: Sequence[int] = (1, 1), stop_words: Sequence[str] = ()) -> Column:
+    """The words of a text that are no stop words, and the runs of n of them for each n of ``ngram_range``, as an array."""
+    words = F.regexp_extract_all(F.lower(c), F.lit(f"({pattern})"), F.lit(1))
+    if stop_words:
+        words = F.filter(words, lambda w: ~w.isin(sorted(set(stop_words))))
+    low, high = ngram_range
+    if (low, high) == (1, 1):
+        return words
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+    return F.concat(*(words if n == 1 else F.when(F.size(words) >= n, runs(n)).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)))
+
+
+def terms(df: DataFrame, key: str, text: str, pattern: str = TERM, ngram_range: Sequence[int] = (1, 1), stop_words: Sequence[str] = ()) -> DataFrame:
     """``key, term, tf``."""
-    words = df.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"({pattern})"), F.lit(1))).alias("term"))
+    words = df.select(key, F.explode(text_terms(F.col(text), pattern, ngram_range, stop_words)).alias("term"))
     return words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 @VECTORIZERS.register("tfidf")
 class TfIdf(Operator):
-    """Long-form tf-idf: ln((1+n)/(1+df))+1, rows of length 1. ``key, term, weight``."""
+    """Long-form tf-idf: ln((1+n)/(1+df))+1, rows of length 1. ``key, term, weight``.
 
-    def __init__(self, key: str, column: str, pattern: str = TERM) -> None:
-        self.key, self.column, self.pattern = key, column, pattern
+    ``ngram_range`` (first and last n), ``stop_words`` (a list, or "english" for the package's own), ``min_df`` and ``max_df``
+    (rows if whole numbers, shares if fractions), ``max_features`` (the terms of the greatest total count, ties by term).
+    The terms of the fitted table are counted once: the count is written, and both the term statistics and the weights of
+    that table are read from it. A row's length comes from a window over its terms, in the shuffle that brings them together.
+    """
+
+    def __init__(self, key: str, column: str, pattern: str = TERM, ngram_range: Sequence[int] = (1, 1), stop_words: Sequence[str] | str = (), min_df: float = 1, max_df: float = 1.0, max_features: int | None = None) -> None:
+        words = STOPWORDS if stop_words == "english" else stop_words or ()
+        self.key, self.column, self.how = key, column, (pattern, tuple(ngram_range), tuple(words))
+        self.min_df, self.max_df, self.max_features = min_df, max_df, max_features
 
     def fit(self, df: DataFrame) -> Fitted:
         n = df.count()
-        counts = terms(df, self.key, self.column, self.pattern)
-        idf = counts.groupBy("term").agg((F.log((F.lit(1.0) + n) / (1.0 + F.count(F.lit(1)))) + 1.0).alias("idf"))
+        counts = written(terms(df, self.key, self.column, *self.how), "tfidf-terms")
+        least, most = (x * n if isinstance(x, float) else x for x in (self.min_df, self.max_df))
+        per_term = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where((F.col("df") >= least) & (F.col("df") <= most))
+        if self.max_features:
+            per_term = per_term.orderBy(F.desc("total"), "term").limit(self.max_features)
+        idf = per_term.select("term", (F.log((F.lit(1.0) + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
         def apply(d: DataFrame) -> DataFrame:
-            w = terms(d, self.key, self.column, self.pattern).join(idf, "term").withColumn("raw", F.col("tf") * F.col("idf"))
-            norm = w.groupBy(self.key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-            return w.join(norm, self.key).select(self.key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+            tf = counts if d is df else terms(d, self.key, self.column, *self.how)
+            w = tf.join(idf, "term").withColumn("raw", F.col("tf") * F.col("idf"))
+            norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(self.key)))
+            return w.select(self.key, "term", (F.col("raw") / norm).alias("weight"))
+
+        def dense(d: DataFrame, output: str = "features") -> DataFrame:
+            """``d`` with one array per row over the vocabulary (at most ``max_features`` terms, which must be given), in term order."""
+            if not self.max_features or self.max_features > MOST_CATEGORIES:
+                raise ValueError(f"a dense vector needs max_features of at most {MOST_CATEGORIES}")
+            vocabulary = [r[0] for r in idf.select("term").orderBy("term").collect()]
+            per_row = apply(d).groupBy(self.key).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("_w"))
+            vector = F.array(*(F.coalesce(F.try_element_at("_w", F.lit(t)), F.lit(0.0)) for t in vocabulary)) if len(vocabulary) <= 256 else F.transform(F.array(*map(F.lit, vocabulary)), lambda t: F.coalesce(F.try_element_at(F.col("_w"), t), F.lit(0.0)))
+            return d.join(per_row, self.key, "left").withColumn(output, vector).drop("_w")
 
-        return Fitted(apply, idf=idf, n=n)
+        return Fitted(apply, idf=idf, n=n, counts=counts, dense=dense)
 
 
 @VECTORIZERS.register("word2vec")
@@ -409,9 +486,25 @@ class TruncatedSvd(Operator):
         self.column, self.k, self.output, self.normalise = column, n_components, output, normalise
 
     def fit(self, df: DataFrame) -> Fitted:
-        rows = df.select(F.col(self.column).cast("array<double>").alias("v")).rdd.map(lambda r: OldVectors.dense(r.v))
-        svd = RowMatrix(rows).computeSVD(self.k)
-        v = svd.V.toArray()
+        # the cross products of the columns, as partial sums on the executors; their eigenvectors are the singular ones
+        wide = df.select(F.col(self.column).cast("array<double>").alias("v")).where("v is not null")
+
+        def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = 0
+            for b in batches:
+                if len(b):
+                    x = np.stack(b["v"].to_numpy())
+                    total = total + x.T @ x
+            if not isinstance(total, int):
+                yield pd.DataFrame({"g": [total.ravel().tolist()]})
+
+        gram = wide.mapInPandas(products, "g array<double>").select(F.posexplode("g").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).toPandas()
+        side = int(round(len(gram) ** 0.5))
+        values, vectors = np.linalg.eigh(gram.sort_values("i")["x"].to_numpy().reshape(side, side))
+        order = np.argsort(-values)[: self.k]
+        v, singular = vectors[:, order], np.sqrt(np.maximum(values[order], 0))
+        # the sign is free: the largest entry of each vector is positive
+        v = v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1, 1)
         basis = F.array(*(F.array(*(F.lit(float(x)) for x in v[:, j])) for j in range(v.shape[1])))
 
         def apply(d: DataFrame) -> DataFrame:
@@ -422,7 +515,7 @@ class TruncatedSvd(Operator):
                 d = Normalizer(inputCol="_p", outputCol="_n", p=2.0).transform(d).drop("_p").withColumnRenamed("_n", "_p")
             return d.withColumn(self.output, vector_to_array("_p")).drop("_p")
 
-        return Fitted(apply, singular=list(svd.s.toArray()))
+        return Fitted(apply, singular=singular.tolist())
 
 
 # -- splits and samplers ----------------------------------------------------------------------------------------------
@@ -480,17 +573,21 @@ class UnderSampler:
 
 @SAMPLERS.register("over", "over_sampler")
 class OverSampler:
-    """Rows of smaller classes repeated in hashed order until each class has the largest one's size; ``copy`` numbers repeats."""
+    """Rows of smaller classes repeated in hashed order until each class has the largest one's size, or that of ``sizes`` if
+    larger than its own; ``copy`` numbers repeats."""
 
-    def __init__(self, key: str, label: str, seed: int = 42) -> None:
-        self.key, self.label, self.seed = key, label, seed
+    def __init__(self, key: str, label: str, sizes: dict | None = None, seed: int = 42) -> None:
+        self.key, self.label, self.sizes, self.seed = key, label, sizes, seed
 
     def resample(self, df: DataFrame) -> DataFrame:
         counts = df.groupBy(self.label).agg(F.count(F.lit(1)).alias("_n"))
         most = counts.agg(F.max("_n")).first()[0] or 0
         ranked = _hash_ranked(df, self.key, [self.label], self.seed).join(counts.withColumnRenamed(self.label, "_l"), F.col(self.label).eqNullSafe(F.col("_l"))).drop("_l")
         # row r of a class of n is taken for the places r, r + n, r + 2n, ... up to the size wanted
-        times = F.floor((F.lit(most) - F.col("_rank")) / F.col("_n")).cast("int")
+        wanted = F.lit(most) if self.sizes is None else F.col("_n")
+        for value, n in (self.sizes or {}).items():
+            wanted = F.when(F.col(self.label) == F.lit(value), F.greatest(F.lit(n), F.col("_n"))).otherwise(wanted)
+        times = F.floor((wanted - F.col("_rank")) / F.col("_n")).cast("int")
         return ranked.withColumn("copy", F.explode(F.sequence(F.lit(0), times))).drop("_n", "_rank")
 
 

@@ -5,28 +5,39 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.operators.base import PROFILES
-from weftline.operators.features import exact_quantiles, numeric_columns
+from weftline.operators.features import exact_quantiles, grouped_quantiles, numeric_columns
 from weftline.operators.rowset import column_pairs, duplicate_audit, top_counts
 
 GROUP_STATISTICS = ("count", "mean", "median", "std", "min", "max")
 
 
+def _long(df: DataFrame, by: str | None, columns: Sequence[str]) -> DataFrame:
+    """``grp`` (group and column number as one key), ``x``: one row per group column and row."""
+    group = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("")) if by else F.lit("")
+    return df.select(group.alias("g"), F.posexplode(F.array(*(F.col(c).cast("double") for c in columns))).alias("i", "x")).withColumn("key", F.concat_ws("|", F.col("i").cast("string"), "g"))
+
+
+def _group_of(c: Column) -> Column:
+    """The group's name back from a key; null for the group of null."""
+    return F.when(F.length(c) > 0, F.substring(c, F.lit(2), F.length(c)))
+
+
 def group_profile(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
-    """Per group and number column: count, mean, median, sample deviation, min, max; long form, one pass over the table.
+    """Per group and number column: count, mean, median, sample deviation, min, max; long form.
 
-    The exact median keeps a group's distinct values in one task (they are counted on the map side first); for columns of
-    mostly distinct values in huge groups use :func:`weftline.operators.features.exact_quantiles` on the group.
+    All but the median is one aggregate; medians come from :func:`weftline.operators.features.grouped_quantiles`, so no group's
+    values are gathered in one task, however large it is.
     """
-    long = df.select(F.col(by).cast("string").alias("cluster"), F.posexplode(F.array(*(F.col(c).cast("double") for c in columns))).alias("i", "x"))
-    stats = long.groupBy("cluster", "i").agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.median("x").alias("median"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max")
-    )
-    return stats.select("cluster", F.element_at(F.array(*map(F.lit, columns)), F.col("i") + 1).alias("feature"), "n", "mean", "median", "std", "min", "max")
+    long = _long(df, by, columns)
+    stats = long.groupBy("key", "g", "i").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    median = grouped_quantiles(long, "key", "x", [0.5]).select("key", F.get("q", F.lit(0)).alias("median"))
+    names = F.element_at(F.array(*map(F.lit, columns)), F.col("i") + 1)
+    return stats.join(median, "key", "left").select(_group_of(F.col("g")).alias("cluster"), names.alias("feature"), "n", "mean", "median", "std", "min", "max")
 
 
 def profile_long(stats: DataFrame) -> DataFrame:
@@ -52,7 +63,9 @@ def crosstab(df: DataFrame, by: str, column: str, top_n: int = 10) -> DataFrame:
 
 def ranking(df: DataFrame, by: str, value: str) -> DataFrame:
     """Per group n, median, mean and third quartile; rank 1.. by median, largest first."""
-    s = df.groupBy(by).agg(F.count(value).alias("n"), F.median(value).alias("median"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.75)).alias("q75"))
+    s = df.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    q = grouped_quantiles(df, by, value, [0.5, 0.75]).select(F.col(by).alias("_g"), F.get("q", F.lit(0)).alias("median"), F.get("q", F.lit(1)).alias("q75"))
+    s = s.join(q, F.col(by).eqNullSafe(F.col("_g")), "left").select(by, "n", "median", "mean", "q75")
     return s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("median"), by)).cast("long"))
 
 
@@ -80,15 +93,22 @@ def describe_all(df: DataFrame) -> DataFrame:
     """Per column: count, distinct, most frequent value and its count, mean, deviation, min, quartiles, max."""
     numbers = numeric_columns(df)
     quartiles = exact_quantiles(df, numbers, (0.25, 0.5, 0.75)) if numbers else {}
-    parts = []
-    for c in df.columns:
-        x = F.col(c).cast("double") if c in numbers else F.lit(None).cast("double")
-        q = [F.lit(v).cast("double").alias(n) for v, n in zip(quartiles.get(c, [None] * 3), ("q25", "q50", "q75"))]
-        stats = df.agg(F.count(c).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")).select("*", *q)
-        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        top = counts.agg(F.count(F.lit(1)).alias("unique"), F.max(F.struct("n", F.col("v"))).alias("most"))
-        parts.append(stats.crossJoin(F.broadcast(top)).select(F.lit(c).alias("column"), "count", "unique", F.col("most.v").alias("top"), F.col("most.n").alias("freq"), "mean", "std", "min", "q25", "q50", "q75", "max"))  # one row each
-    return reduce(DataFrame.unionByName, parts)
+    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v"), (F.col(c).cast("double") if c in numbers else F.lit(None).cast("double")).alias("x")) for i, c in enumerate(df.columns))))
+    # one row per column and distinct value, from which all else follows
+    counts = df.select(cells.alias("c")).select("c.*").where("v is not null").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"), F.first("x").alias("x"))
+    # sums of squares about the mean, from value counts: no cancellation of large sums
+    mean = counts.groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum(F.when(F.col("x").isNotNull(), F.col("n")))).alias("mean"))
+    per = counts.join(F.broadcast(mean), "i").groupBy("i").agg(  # one row per column
+        F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"), F.max(F.struct("n", "v")).alias("most"), F.first("mean").alias("mean"),
+        F.sqrt(F.try_divide(F.sum(F.col("n") * F.pow(F.col("x") - F.col("mean"), F.lit(2))), F.sum("n") - 1)).alias("std"), F.min("x").alias("min"), F.max("x").alias("max"),
+    )
+    every = df.sparkSession.createDataFrame([(i, c, *map(float_or_none, quartiles.get(c, [None] * 3))) for i, c in enumerate(df.columns)], "i int, `column` string, q25 double, q50 double, q75 double")
+    out = every.join(per, "i", "left").orderBy("i")
+    return out.select("column", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("unique", F.lit(0)).alias("unique"), F.col("most.v").alias("top"), F.col("most.n").alias("freq"), "mean", "std", "min", "q25", "q50", "q75", "max")
+
+
+def float_or_none(x) -> float | None:
+    return None if x is None else float(x)
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -114,15 +134,16 @@ def histogram(df: DataFrame, column: str, bins: int = 10, transform=None) -> Dat
     return counts.select("bin", (F.lit(edge.lo) + F.col("bin") * width).alias("low"), (F.lit(edge.lo) + (F.col("bin") + 1) * width).alias("high"), "n")
 
 
-@PROFILES.register("boxplot")
+@PROFILES.register("boxplot", "boxplots")
 def box_statistics(df: DataFrame, columns: Sequence[str], by: str | None = None) -> DataFrame:
     """Quartiles, whiskers (last values within 1.5 interquartile ranges) and outlier counts per column, and group if given."""
-    group = F.col(by).cast("string") if by else F.lit("all")
-    long = df.select(group.alias("grp"), F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns))).alias("s")).select("grp", "s.feature", "s.x").where("x is not null")
-    q = long.groupBy("grp", "feature").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select("grp", "feature", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q3"))
+    long = _long(df, by, columns).where("x is not null")
+    q = grouped_quantiles(long, "key", "x", [0.25, 0.5, 0.75])
+    q = q.select("key", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q3"))
     inside = F.col("x").between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    return long.join(q, ["grp", "feature"]).groupBy("grp", "feature", "q1", "median", "q3").agg(F.min(F.when(inside, F.col("x"))).alias("low"), F.max(F.when(inside, F.col("x"))).alias("high"), F.count_if(~inside).alias("n_out"))
+    out = long.join(q, "key").groupBy("g", "i", "q1", "median", "q3").agg(F.min(F.when(inside, F.col("x"))).alias("low"), F.max(F.when(inside, F.col("x"))).alias("high"), F.count_if(~inside).alias("n_out"))
+    names = F.element_at(F.array(*map(F.lit, columns)), F.col("i") + 1)
+    return out.select((_group_of(F.col("g")) if by else F.lit("all")).alias("grp"), names.alias("feature"), "q1", "median", "q3", "low", "high", "n_out")
 
 
 @PROFILES.register("class_balance")
@@ -161,21 +182,41 @@ def correlation_ratio(df: DataFrame, category: str, value: str) -> DataFrame:
     return t.select(F.sqrt(F.try_divide(F.greatest(between, F.lit(0.0)), between + F.col("within"))).alias("eta"))
 
 
-@PROFILES.register("dython_correlation", "association")
+@PROFILES.register("dython_correlation", "association", "correlation_matrix", "dython_correlation_matrix")
 def association(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Mixed-type association of every pair: Pearson, Cramer's V or eta; date columns are left out. ``a, b, measure, value``."""
+    """Mixed-type association of every pair: Pearson, Cramer's V or eta; date columns are left out. ``a, b, measure, value``.
+
+    Three scans, whatever the number of columns: one aggregate for all Pearson pairs, one count of all (pair, value, value)
+    for Cramer's V, one of all (pair, category) moments for eta.
+    """
     usable = [f.name for f in df.schema if not isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) and (columns is None or f.name in columns)]
     numbers = set(numeric_columns(df))
+    pairs = column_pairs(usable)
+    number = {p: i for i, p in enumerate(pairs)}
+    both = [p for p in pairs if p[0] in numbers and p[1] in numbers]
+    none = [p for p in pairs if p[0] not in numbers and p[1] not in numbers]
+    mixed = [p for p in pairs if (p[0] in numbers) != (p[1] in numbers)]
     parts = []
-    for a, b in column_pairs(usable):
-        if a in numbers and b in numbers:
-            one = df.agg(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("value")).withColumn("measure", F.lit("pearson"))
-        elif a not in numbers and b not in numbers:
-            one = cramers_v(df, a, b).select(F.col("cramers_v").alias("value"), F.lit("cramers_v").alias("measure"))
-        else:
-            one = correlation_ratio(df, *((b, a) if a in numbers else (a, b))).select(F.col("eta").alias("value"), F.lit("eta").alias("measure"))
-        parts.append(one.select(F.lit(a).alias("a"), F.lit(b).alias("b"), "measure", "value"))
-    return reduce(DataFrame.unionByName, parts)
+    if both:
+        row = df.agg(*(F.corr(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")).alias(str(number[a, b])) for a, b in both))
+        parts.append(row.unpivot([], [str(number[p]) for p in both], "pair", "value").select(F.col("pair").cast("int").alias("pair"), F.lit("pearson").alias("measure"), "value"))
+    if none:
+        cells = F.explode(F.array(*(F.struct(F.lit(number[a, b]).alias("pair"), F.col(f"`{a}`").cast("string").alias("a"), F.col(f"`{b}`").cast("string").alias("b")) for a, b in none)))
+        t = df.select(cells.alias("c")).select("c.*").where("a is not null and b is not null").groupBy("pair", "a", "b").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        na, nb = (t.groupBy("pair", x).agg(F.sum("n").alias(f"n{x}")) for x in "ab")
+        s = t.join(na, ["pair", "a"]).join(nb, ["pair", "b"]).groupBy("pair").agg(F.sum(F.col("n") * F.col("n") / (F.col("na") * F.col("nb"))).alias("s"), F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c"))
+        parts.append(s.select("pair", F.lit("cramers_v").alias("measure"), F.sqrt(F.try_divide(F.greatest(F.col("s") - 1, F.lit(0.0)), (F.least("r", "c") - 1).cast("double"))).alias("value")))
+    if mixed:
+        turned = [(p, (p[1], p[0]) if p[0] in numbers else p) for p in mixed]
+        cells = F.explode(F.array(*(F.struct(F.lit(number[p]).alias("pair"), F.col(f"`{c}`").cast("string").alias("g"), F.col(f"`{v}`").cast("double").alias("x")) for p, (c, v) in turned)))
+        g = df.select(cells.alias("c")).select("c.*").where("g is not null and x is not null").groupBy("pair", "g").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
+        t = g.groupBy("pair").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("ss"), F.sum(F.col("n") * F.col("v")).alias("within"))
+        between = F.col("ss") - F.col("s") * F.col("s") / F.col("n")
+        parts.append(t.select("pair", F.lit("eta").alias("measure"), F.sqrt(F.try_divide(F.greatest(between, F.lit(0.0)), between + F.col("within"))).alias("value")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "a string, b string, measure string, value double")
+    side = lambda k: F.element_at(F.array(*(F.lit(p[k]) for p in pairs)), F.col("pair") + 1)
+    return reduce(DataFrame.unionByName, parts).select(side(0).alias("a"), side(1).alias("b"), "measure", "value")
 
 
 @PROFILES.register("pair_scatter")
@@ -185,12 +226,12 @@ def pair_scatter(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.explode(points).alias("p")).select("p.*").where("x is not null and y is not null")
 
 
-@PROFILES.register("scatter")
+@PROFILES.register("scatter", "scatter_plot")
 def scatter(df: DataFrame, columns: Sequence[str], color_by: str | None = None) -> DataFrame:
     return df.select(*columns, *([F.col(color_by).alias("color")] if color_by else [])).dropna(subset=list(columns))
 
 
-@PROFILES.register("word_cloud", "wordcloud")
+@PROFILES.register("word_cloud", "wordcloud", "wordcloud_global")
 def word_frequencies(df: DataFrame, text: str, by: str | None = None) -> DataFrame:
     """How often each word (letters, digits, underscore; lower case) occurs, per class if given."""
     words = F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))).alias("word")
@@ -198,6 +239,11 @@ def word_frequencies(df: DataFrame, text: str, by: str | None = None) -> DataFra
     return df.select(*([by] if by else []), words).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+@PROFILES.register("wordcloud_by_class")
+def word_frequencies_by_class(df: DataFrame, text: str, by: str) -> DataFrame:
+    return word_frequencies(df, text, by)
+
+
 def cluster_summary(df: DataFrame, label: str, coordinates: Sequence[str], least: int = 100) -> DataFrame:
     """Size and centre of each cluster; noise (-1) and small clusters are not labelled."""
     s = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(c) for c in coordinates))
