@@ -6,9 +6,11 @@ from datetime import date
 
 import duckdb
 import pytest
+from pyspark.ml.classification import NaiveBayesModel
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from weftline.operators.base import CHARTS, EVALUATORS, MODELS, PROFILES
 from weftline.plans import pipeline
 from weftline.sources import connectors, records, sinks
 from weftline.sources.catalog import Catalog, load_embedding
@@ -169,13 +171,15 @@ def test_every_record_kind_has_rows(spark):
         "oireachtas_parties": {"party": {"showAs": "P", "partyCode": "p", "house": {"houseCode": "dail", "houseNo": "33"}}}, "boards": {"discussionID": "5", "name": "t", "body": "b", "closed": True, "dateInserted": "2024-01-01T10:00:00"},
         "boards_comments": {"commentID": 1, "discussionID": 5, "body": "x", "dateInserted": "2024-01-01T10:00:00"}, "steam_store": {"steam_appid": 7, "name": "G"}, "oireachtas_members": {"member": {"pId": "P1", "fullName": "A B", "memberships": []}},
         "oireachtas_debates": {"debateRecord": {"date": "2024-01-01", "debateSections": [{"debateSection": {"debateSectionId": "s", "contributions": []}}]}},
+        "steam_review": {"AppID": 7, "total_reviews": 3, "review_score": 8}, "steam_current_user": {"AppID": 7, "player_count": 5}, "steam_app_list": {"appid": 7, "name": "G", "last_modified": 1},
     }
+    assert set(samples) | {"oireachtas_questions"} == set(connectors.SERVICES)
     for name, sample in samples.items():
         got = records.rows_of(spark.createDataFrame([(json.dumps(sample),)], "value string"), name)
         first, keys = next(iter(got.values()))
         assert first.count() == 1 and all(first.first()[k] is not None for k in keys), name
     with pytest.raises(KeyError):
-        records.rows_of(spark.createDataFrame([("{}",)], "value string"), "steam_app_list")
+        records.rows_of(spark.createDataFrame([("{}",)], "value string"), "nope")
 
 
 def test_experiment(spark):
@@ -185,6 +189,106 @@ def test_experiment(spark):
     assert flow.results["e"]["metrics"].first().accuracy == 1.0 and "cluster" in flow.data.columns
 
 
+def game_replies():
+    """Recorded replies of the three services that a game's row is made from; a closure, as above."""
+
+    def transport(url, params):
+        if "appdetails" in url:
+            return 200, {params["appids"]: {"success": True, "data": {"steam_appid": int(params["appids"]), "name": "G" + params["appids"]}}}
+        if "appreviews" in url:
+            return 200, {"query_summary": {"total_reviews": 30, "total_positive": 20, "total_negative": 10, "review_score": 7, "review_score_desc": "Good"}}
+        return (200, {"response": {"player_count": 5}}) if params["appid"] == "1" else (404, None)
+
+    return transport
+
+
+def test_games_are_stored_with_reviews_and_players(spark, tmp_path):
+    pipeline.run([{"stage": "ingest", "params": {"connector": "steam_store", "transport": game_replies(), "lookups": True, "folder": str(tmp_path), "options": {"ids": "1,2"}}}], spark)
+    got = {r.AppID: r for r in spark.read.parquet(str(tmp_path / "steam_games.parquet")).collect()}
+    assert {(i, r.Name, r.Total_Reviews, r.Review_Score_Desc, r.Current_Players) for i, r in got.items()} == {(1, "G1", 30, "Good", 5), (2, "G2", 30, "Good", None)}
+
+
+def test_answers_are_fetched_once_for_each_address(spark):
+    def transport(url, params):
+        return (404, None) if url.endswith("gone") else (200, f'<a><speech by="#{url[-1]}"><recordedTime time="2024-01-01T10:00:00"/><p>said</p></speech></a>')
+
+    rows = [("q1", "http://x/1"), ("q2", "http://x/1"), ("q3", "http://x/gone"), ("q4", None)]
+    got = {r.QuestionURI: (r.AnswerText, r.AnswerSpeaker, r.AnswerRecordedTime and r.AnswerRecordedTime.hour) for r in records.with_answers(spark.createDataFrame(rows, "QuestionURI string, AnswerXMLURI string"), transport).collect()}
+    assert got == {"q1": ("said", "1", 10), "q2": ("said", "1", 10), "q3": (None,) * 3, "q4": (None,) * 3}
+
+
+def test_the_rate_holds_over_all_partitions():
+    reader = connectors._Reader("steam_store", {"ids": ",".join(map(str, range(10))), "parallel": "3"}, game_replies())
+    parts = reader.partitions()
+    assert [len(p.requests) for p in parts] == [4, 3, 3] and all(p.parts == 3 for p in parts)
+    assert connectors.share_of(200, 300.0, 3) == (66, 300.0) and connectors.share_of(2, 10.0, 4) == (1, 20.0)
+    assert sorted(json.loads(v)["AppID"] for p in parts for (v,) in reader.read(p)) == list(range(10))
+
+
+def test_tables_are_made_and_replaced_whole(spark, tmp_path):
+    assert "steam_games" in Catalog.create_tables(spark, str(tmp_path)) and Catalog.create_tables(spark, str(tmp_path)) == []
+    assert spark.read.parquet(str(tmp_path / "boards_comments.parquet")).count() == 0
+    path, stage = str(tmp_path / "t"), str(tmp_path / "s")
+    spark.createDataFrame([(1, "a")], "k int, v string").write.parquet(path + ".old")
+    # a call that stopped between its two moves left the table aside
+    sinks.upsert_to(spark.createDataFrame([(2, "b")], "k int, v string"), path, stage, ["k"])
+    assert {tuple(r) for r in spark.read.parquet(path).collect()} == {(1, "a"), (2, "b")} and not sinks.exists(spark, path + ".old")
+    row = sinks.json_safe(spark.createDataFrame([(float("nan"), [1, 2], date(2024, 1, 2))], "x double, a array<int>, d date")).first()
+    assert tuple(row) == (None, "[1,2]", "2024-01-02")
+
+
+def test_every_registered_name_works_in_its_stage(spark, tmp_path):
+    rows = [(i, [float(i % 2), 1.0 + i % 3], float(i % 2), "ab"[i % 2] + f" word{i % 4}", float(i)) for i in range(24)]
+    df = spark.createDataFrame(rows, "id bigint, features array<double>, label double, text string, x double").cache()
+    text = {"boxplots": {"columns": ["x"]}, "boxplot": {"columns": ["x"]}, "pair_scatter": {"columns": ["x", "label"]}, "scatter": {"columns": ["x", "label"]}, "scatter_plot": {"columns": ["x", "label"]}, "histogram": {"column": "x"}, "value_counts": {"column": "label"}, "class_balance": {"target": "label"}, "wordcloud_by_class": {"text": "text", "by": "label"}}
+    plain = {"info", "describe_info", "duplicate_check", "association", "dython_correlation", "correlation_matrix", "dython_correlation_matrix"}
+    few = df.select("id", "label", "text", "x")
+    for name in PROFILES.made:
+        params = {} if name in plain else text.get(name, {"text": "text"})
+        flow = pipeline.run([{"stage": "eda", "params": {"steps": [{"name": name, "params": params}]}}], spark, data=few)
+        assert flow.results[name].count() >= 0, name
+    chart = {"confusion_matrix": {"truth": "label", "predicted": "label"}, "bar_chart": {"column": "text"}, "word_cloud": {"text": "text"}, "cluster_plot": {"vector": "features", "label": "label"}, "histogram": {"column": "x"}, "pair_scatter": {"columns": ["x", "label"]}, "boxplot": {"columns": ["x"]}}
+    for name in set(CHARTS.made) - {"metric_lines"}:
+        flow = pipeline.run([{"stage": "charts", "charts": [{"name": name, "params": chart.get(name, {"columns": ["x", "text"]})}]}], spark, data=df)
+        assert flow.results[name].count() > 0, name
+    clusterers = {"kmeans": {"k": 2}, "kmeans_mini": {"k": 2, "steps": 5}, "agglomerative": {}, "hdbscan": {}}
+    for name in MODELS.made:
+        if name in clusterers:
+            flow = pipeline.run([{"stage": "cluster", "model": name, "model_params": clusterers[name], "evaluators": [{"name": "clustering_quality"}]}], spark, data=df)
+            assert flow.data.where("cluster is null").count() == 0 and flow.results["clustering_quality"].count() > 0, name
+        elif name not in ("linear_regression", "gbt"):
+            small = {"linear_svc": {"max_iter": 3}, "svm": {"max_iter": 3, "dimensions": 16}, "xgboost": {"rounds": 1}, "gbt": {"rounds": 1}, "random_forest": {"trees": 3}}
+            flow = pipeline.run([{"stage": "experiment", "model": name, "name": "e", "model_params": small.get(name, {})}], spark, data=df)
+            assert flow.results["e"]["metrics"].first().accuracy > 0.8, name
+    labelled = df.withColumn("cluster", F.col("label").cast("int"))
+    assert set(EVALUATORS.create("clustering", df=labelled, key="id", numeric=["x"], k_max=4, metrics=("silhouette_average", "silhouette_per_point", "elbow", "descriptive_stats"))) == {"quality", "silhouettes", "elbow", "numeric_summary"}
+    runs = sinks.Runs(spark, str(tmp_path / "r"))
+    runs.log("r1", "one", {}, {"f1": 0.5, "other": 1.0})
+    assert [tuple(r) for r in CHARTS.create("metric_lines", runs=runs.last(), metrics=runs.metrics(), names=["f1"], offsets={"f1": 0.1}).collect()] == [("one", "f1", 50.1, 49.9, 50.300000000000004)]
+    pipeline.run([{"stage": "experiment", "model": "naive_bayes", "save_model": str(tmp_path / "m"), "save_path": str(tmp_path / "res")}], spark, data=df)
+    assert NaiveBayesModel.load(str(tmp_path / "m")).numClasses == 2 and (tmp_path / "res" / "naive_bayes.json").exists()
+
+
+def test_preprocessing_order_and_retries(spark):
+    df = spark.createDataFrame([(1, "A <b>x</b>"), (2, None)], "id int, text string")
+    steps = [{"name": "lowercase", "applies_to": "text"}, {"name": "count_features", "applies_to": "data", "params": {"columns": ["text"], "sep": " "}}, {"name": "remove_html_tags", "applies_to": "both"}]
+    got = pipeline.run([{"stage": "preprocessing", "text_field": "text", "preprocessors": steps}], spark, data=df).data.collect()
+    assert [tuple(r) for r in got] == [(1, "a x", 2), (2, "", 0)]
+    tried = []
+
+    def fails(flow, p):
+        tried.append(1)
+        if len(tried) < 3:
+            raise OSError("not yet")
+
+    pipeline.STAGES["fails"] = fails
+    pipeline.run([{"stage": "fails", "max_retries": 2}], spark, data=df)
+    tried.clear()
+    with pytest.raises(OSError):
+        pipeline.run([{"stage": "fails", "max_retries": 1}], spark, data=df)
+    del pipeline.STAGES["fails"]
+
+
 def test_registered_queries_match_sql(spark):
     """A cheap cross-section of the queries against DuckDB; the whole catalogue runs outside the test suite."""
     con = duckdb.connect()

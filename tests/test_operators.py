@@ -275,3 +275,79 @@ def test_nearest_block(spark):
     rows = spark.createDataFrame([(i, [float(i), 0.0], str(i % 2)) for i in range(50)], "id bigint, v array<double>, y string")
     got = ml.nearest(rows.where("id = 10"), rows, "id", "v", 2)
     assert {r.neighbour for r in got.collect()} == {9, 11}
+
+
+@pytest.mark.parametrize("bins, small", [(7, 4), (1024, 200_000)])
+def test_grouped_quantiles_by_brackets(spark, bins, small):
+    rng = np.random.default_rng(bins)
+    rows = [(g, float(x)) for g, n in (("a", 1), ("b", 2), ("c", 97), ("d", 40)) for x in rng.normal(0, 10, n).round(1)] + [("e", 5.0)] * 9 + [("f", None), (None, 1.0), (None, 2.0)] + [("c", float("nan"))]
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r.g: r.q for r in L.grouped_quantiles(spark.createDataFrame(rows, "g string, x double"), "g", "x", shares, bins, small).collect()}
+    for g in "abcde":
+        x = np.array([v for k, v in rows if k == g and v is not None and not np.isnan(v)])
+        assert np.allclose(got[g], np.quantile(x, shares)), g
+    assert "f" not in got
+
+
+@pytest.mark.parametrize("linkage", ["ward", "average", "complete", "single"])
+def test_hierarchy_by_chains_is_that_of_closest_pairs(linkage):
+    rng = np.random.default_rng(7)
+    for n, k in ((1, 1), (9, 3), (30, 4)):
+        x = rng.normal(0, 1, (n, 2))
+        groups = [[i] for i in range(n)]
+
+        def far(a, b):
+            d = np.sqrt(((x[a][:, None] - x[b][None]) ** 2).sum(2))
+            if linkage == "ward":
+                return len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum()
+            return {"average": d.mean(), "complete": d.max(), "single": d.min()}[linkage]
+
+        while len(groups) > k:
+            i, j = min(((i, j) for i in range(len(groups)) for j in range(i)), key=lambda p: far(groups[p[0]], groups[p[1]]))
+            groups[j] += groups.pop(i)
+        got = ml.hierarchy(x, k, linkage)
+        assert {frozenset(np.flatnonzero(got == c)) for c in set(got)} == {frozenset(g) for g in groups}
+
+
+def test_clusterers_of_bounded_tables_take_larger_ones(spark, monkeypatch):
+    monkeypatch.setattr(ml, "MOST_LOCAL_ROWS", 50)
+    df = spark.createDataFrame([(i, [float(i % 2) * 9 + (i % 7) / 10, 0.0]) for i in range(200)], "id bigint, features array<double>")
+    for name, params in (("agglomerative", {}), ("hdbscan", {"min_cluster_size": 2})):
+        got = ml.MODELS.create(name, **params).fit(df).transform(df).select("id", "prediction").collect()
+        assert len({(r.id % 2, r.prediction) for r in got if r.prediction != -1}) >= 2 and all(len({r.id % 2 for r in got if r.prediction == c}) == 1 for c in {r.prediction for r in got} - {-1}), name
+    layout = ml.NeighbourLayout("features", most=40).fit(df).transform(df)
+    assert layout.where("umap is null or size(umap) != 2").count() == 0
+    labels, prob, persist, outlier = ml.density(np.array([[0.0], [0.1], [0.2], [0.3], [0.4], [5.0], [5.1], [5.2], [5.3], [5.4], [50.0]]), 3)
+    assert labels[10] == -1 and outlier[10] == outlier.max() and len(set(labels[:5])) == len(set(labels[5:10])) == 1
+
+
+def test_unknown_categories_and_repeated_lookups(spark):
+    df, other = spark.createDataFrame([(1, "a,b"), (2, "b")], "id int, c string"), spark.createDataFrame([(3, "a,z"), (4, None)], "id int, c string")
+    for cls in (L.OneHotEncoder, L.MultiHotEncoder):
+        fitted = cls("c", "id", handle_unknown="error").fit(df)
+        assert fitted.transform(df).count() == 2
+        with pytest.raises(Exception, match="unknown category"):
+            fitted.transform(other).collect()
+        assert cls("c", "id").fit(df).transform(other).count() == 2
+    right = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (9, "z", 3)], "id int, c string, n int")
+    assert [tuple(r) for r in joins.lookup_overwrite(df, right, "id").orderBy("id").collect()] == [(1, "y", 2), (2, "b", None)]
+    assert [tuple(r) for r in joins.lookup_overwrite(df, right, "id", "n").orderBy("id").collect()] == [(1, "y"), (2, "b")]
+
+
+def test_stemmers(spark):
+    # pairs published with the second stemmer
+    words = {"consolingly": "consol", "consistency": "consist", "knackeries": "knackeri", "generously": "generous", "communication": "communic", "dying": "die", "hoping": "hope", "hopping": "hop", "sensibilities": "sensibl", "succeeded": "succeed", "ties": "tie", "cry": "cri", "say": "say", "it's": "it"}
+    assert {w: X.snowball(w) for w in words} == words
+    row = spark.createDataFrame([("Generously hoping",)], "t string").select(X.stem_text(F.col("t")).alias("s"), X.stem_text(F.col("t"), "porter").alias("p")).first()
+    assert row.s == "generous hope" and row.p == "gener hope"
+    with pytest.raises(ValueError):
+        X.stem_text(F.col("t"), "other")
+
+
+def test_tfidf_parameters(spark):
+    df = spark.createDataFrame([(1, "red red fish"), (2, "the red fish swims"), (3, None)], "id int, t string")
+    fitted = L.TfIdf("id", "t", ngram_range=(1, 2), stop_words="english", min_df=2).fit(df)
+    assert {r.term for r in fitted.state["idf"].collect()} == {"red", "fish", "red fish"}
+    wide = L.TfIdf("id", "t", max_features=2).fit(df)
+    got = {r.id: r.features for r in wide.state["dense"](df).collect()}
+    assert len(got[1]) == 2 and got[3] == [0.0, 0.0] and abs(sum(v * v for v in got[1]) - 1) < 1e-9

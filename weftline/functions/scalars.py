@@ -20,6 +20,11 @@ def count_features(c: Column, sep: str = ",") -> Column:
     return F.size(cell_tokens(c, sep))
 
 
+def json_field(c: Column, path: str, kind: str = "string") -> Column:
+    """A field of a JSON text by its dotted path, as a type; null where it is absent or of another kind."""
+    return F.get_json_object(c, f"$.{path}").try_cast(kind)
+
+
 def join_strings(c: Column, field: str | None = None, sep: str = ",") -> Column:
     """An array (of structs, by one field) as one delimited string."""
     return F.array_join(F.transform(c, lambda x: (x[field] if field else x).cast("string")), sep)
@@ -98,5 +103,23 @@ def ratio(numerator: Column, denominator: Column, transform: str = "log1p", leas
     return F.log1p(F.when(r.isNotNull(), F.greatest(r, F.lit(0.0)))) if post_log else r
 
 
+def percent(c: Column, offset: float = 0.0) -> Column:
+    """A share in per cent, moved by ``offset`` so that equal lines of a chart stay apart."""
+    return c.cast("double") * 100 + F.lit(offset)
+
+
+def age_years(born: Column, at: Column | None = None) -> Column:
+    """Whole years from a day to another, today by default; null where either is missing or the first is later."""
+    at = F.current_date() if at is None else at
+    return F.when(born <= at, F.floor(F.months_between(at, born) / 12).cast("int"))
+
+
+def review_tallies(scores: Column) -> dict[str, Column]:
+    """``Total_Reviews, Positive_Reviews, Negative_Reviews`` of an array of review scores: above 0 is positive, all else negative; null without reviews."""
+    n = F.when(F.size(scores) > 0, F.size(scores))
+    good = F.size(F.filter(scores, lambda s: F.coalesce(s, F.lit(0)) > 0))
+    return {"Total_Reviews": n, "Positive_Reviews": F.when(n.isNotNull(), good), "Negative_Reviews": n - good}
+
+
 def success_index(reviews: Column, score: Column) -> Column:
     return F.log1p(reviews.cast("double")) * score

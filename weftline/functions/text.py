@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: the default patterns of the cleaning steps
 URL = r"https?://\S+|www\.\S+"
 REPEATED = r"(.)\1{2,}"
 PUNCTUATION_RUN = r"([!?.,])\1+"
@@ -15,11 +16,12 @@ PUNCTUATION_RUN = r"([!?.,])\1+"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{2190}-\x{21FF}\x{FE0F}\x{200D}\x{20E3}\x{E0020}-\x{E007F}]"
 # fixed values: default stopwords
-STOPWORDS = (
-    "the and is in it of to a for on with that this as are was at by an be from or not but all if they you he she we his her its "
-    "my your their what which when where who how there so no yes do does did have has had will would can could should i me us "
-    "them our yours theirs"
-).split()
+STOPWORDS = [
+    "the", "and", "is", "in", "it", "of", "to", "a", "for", "on", "with", "that", "this", "as", "are", "was", "at", "by", "an", "be", "from", "or",
+    "not", "but", "all", "if", "they", "you", "he", "she", "we", "his", "her", "its", "my", "your", "their", "what", "which", "when", "where", "who",
+    "how", "there", "so", "no", "yes", "do", "does", "did", "have", "has", "had", "will", "would", "can", "could", "should", "i", "me", "us", "them",
+    "our", "yours", "theirs",
+]
 # fixed values: stopwords of game descriptions
 GAME_STOPWORDS = [
     "game", "play", "playing", "plays", "fun", "awesome", "cool", "best", "epic", "new", "update", "updates", "updated", "soon", "like", "likes", "favorite", "favorites",
@@ -199,7 +201,105 @@ def porter(word: str) -> str:
     return word
 
 
-def stemmer(stem: Callable[[str], str] = porter) -> Callable[[Column], Column]:
+# fixed values: word forms and suffix rules of the published algorithm (Porter's second English stemmer)
+_FORMS = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl", "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes"}
+_KEPT_FORMS = ("inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed")
+_S2 = {"tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al", "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "ogi": "og", "fulli": "ful", "lessli": "less", "li": ""}
+_S3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
+_S4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion")
+_V2 = frozenset("aeiouy")
+
+
+def _ends(word: str, suffixes) -> str | None:
+    """The longest of the suffixes that the word ends with."""
+    return max((x for x in suffixes if word.endswith(x)), key=len, default=None)
+
+
+def _region(word: str, at: int) -> int:
+    """Where the part after the first consonant that follows a vowel begins, seen from ``at``."""
+    for i in range(at + 1, len(word)):
+        if word[i] not in _V2 and word[i - 1] in _V2:
+            return i + 1
+    return len(word)
+
+
+def _short_end(word: str) -> bool:
+    if len(word) == 2:
+        return word[0] in _V2 and word[1] not in _V2
+    return len(word) > 2 and word[-1] not in _V2 and word[-1] not in "wxY" and word[-2] in _V2 and word[-3] not in _V2
+
+
+def snowball(word: str) -> str:
+    """The stem of a lower-case English word by Porter's second stemmer. A consonant y is written Y meanwhile."""
+    if len(word) <= 2:
+        return word
+    word = word.replace("’", "'").removeprefix("'")
+    if word in _FORMS:
+        return _FORMS[word]
+    word = "".join("Y" if ch == "y" and (i == 0 or word[i - 1] in "aeiouy" and word[i - 1] != "Y") else ch for i, ch in enumerate(word))
+    start = next((len(p) for p in ("gener", "commun", "arsen") if word.startswith(p)), None)
+    r1 = start if start is not None else _region(word, 0)
+    r2 = _region(word, r1)
+    # 0: possessives
+    word = word.removesuffix("'s'") if word.endswith("'s'") else word.removesuffix("'s") if word.endswith("'s") else word.removesuffix("'")
+    # 1a: plurals
+    if word.endswith("sses"):
+        word = word[:-2]
+    elif word.endswith(("ied", "ies")):
+        word = word[:-2] if len(word) > 4 else word[:-1]
+    elif word.endswith("s") and not word.endswith(("us", "ss")) and any(ch in _V2 for ch in word[:-2]):
+        word = word[:-1]
+    if word in _KEPT_FORMS:
+        return word
+    # 1b: past and progressive
+    tail = _ends(word, ("eed", "eedly", "ed", "edly", "ing", "ingly"))
+    if tail in ("eed", "eedly"):
+        if len(word) - len(tail) >= r1:
+            word = word[: -len(tail)] + "ee"
+    elif tail and any(ch in _V2 for ch in word[: -len(tail)]):
+        word = word[: -len(tail)]
+        if word.endswith(("at", "bl", "iz")):
+            word += "e"
+        elif len(word) > 1 and word[-1] == word[-2] and word[-1] in "bdfgmnprt":
+            word = word[:-1]
+        elif r1 >= len(word) and _short_end(word):
+            word += "e"
+    # 1c
+    if len(word) > 2 and word[-1] in "yY" and word[-2] not in _V2:
+        word = word[:-1] + "i"
+    # 2 and 3
+    tail = _ends(word, _S2)
+    if tail and len(word) - len(tail) >= r1 and not (tail == "ogi" and word[-4:-3] != "l") and not (tail == "li" and word[-3:-2] not in tuple("cdeghkmnrt")):
+        word = word[: -len(tail)] + _S2[tail]
+    tail = _ends(word, _S3)
+    if tail and len(word) - len(tail) >= (r2 if tail == "ative" else r1):
+        word = word[: -len(tail)] + _S3[tail]
+    # 4
+    tail = _ends(word, _S4)
+    if tail and len(word) - len(tail) >= r2 and not (tail == "ion" and word[-4:-3] not in ("s", "t")):
+        word = word[: -len(tail)]
+    # 5
+    if word.endswith("e"):
+        if len(word) - 1 >= r2 or (len(word) - 1 >= r1 and not _short_end(word[:-1])):
+            word = word[:-1]
+    elif word.endswith("ll") and len(word) - 1 >= r2:
+        word = word[:-1]
+    return word.replace("Y", "y")
+
+
+STEMS: dict[str, Callable[[str], str]] = {"snowball": snowball, "snowballstemmer": snowball, "porter": porter, "porterstemmer": porter}
+
+
+def stem_text(c: Column, algorithm: str = "snowball", language: str = "english") -> Column:
+    """Each token's stem; another language than English, or another algorithm, raises."""
+    if (algorithm or "snowball").strip().lower() not in STEMS:
+        raise ValueError(f"unknown stemmer {algorithm!r}: {', '.join(sorted(STEMS))}")
+    if language != "english":
+        raise ValueError(f"there is no {language} stemmer here: english only")
+    return stemmer(STEMS[(algorithm or "snowball").strip().lower()])(c)
+
+
+def stemmer(stem: Callable[[str], str] = snowball) -> Callable[[Column], Column]:
     """A text operator that stems each token; tokens come out joined by single spaces. One Arrow batch at a time, words memoised."""
 
     @F.pandas_udf("string")
@@ -236,8 +336,8 @@ REGISTRY: dict[str, Callable[..., Column]] = {
     "remove_punctuation_noise": remove_punctuation_noise, "punctuation_noise": remove_punctuation_noise,
     "remove_whitespace": remove_whitespace, "whitespace": remove_whitespace,
     "stopword_remover": remove_stopwords, "stopwords": remove_stopwords,
-    "stemmer": lambda c, **_: stemmer()(c), "stem": lambda c, **_: stemmer()(c),
-    "lemmatizer": lambda c, **_: lemmatize(c), "lemmatize": lambda c, **_: lemmatize(c),
+    "stemmer": stem_text, "stem": stem_text,
+    "lemmatizer": lemmatize, "lemmatize": lemmatize,
     "emoji_remover": remove_emoji, "emoji": remove_emoji,
 }
 

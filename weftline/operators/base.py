@@ -51,3 +51,4 @@ class Registry:
 IMPUTERS, SCALERS, ENCODERS = Registry("imputer"), Registry("scaler"), Registry("encoder")
 VECTORIZERS, REDUCERS, SAMPLERS = Registry("vectorizer"), Registry("reducer"), Registry("sampler")
 MODELS, EVALUATORS, PROFILES = Registry("model"), Registry("evaluator"), Registry("profile")
+CHARTS, EXPERIMENTS = Registry("chart"), Registry("experiment")

@@ -212,37 +212,31 @@ def grouped_quantiles(df: DataFrame, by: str, value: str, shares: Sequence[float
     """
     x = df.select(F.col(by).alias("g"), F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("x")).where("x is not null")
     counts = x.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    ranks = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(shares)))).alias("s")
-    wanted = counts.select("g", "n", "lo", "hi", ranks).select("g", "n", "lo", "hi", "s.i", "s.p", (F.lit(0).cast("long")).alias("below"), F.col("n").alias("inside"))
-    wanted = written(wanted.withColumn("low", F.floor(F.col("p") * (F.col("n") - 1))).withColumn("high", F.ceil(F.col("p") * (F.col("n") - 1))), "quantile-ranks")
-    while True:
-        wide = wanted.where((F.col("inside") > small) & (F.col("lo") < F.col("hi")))
-        if wide.isEmpty():
-            break
-        width = (F.col("hi") - F.col("lo")) / bins
-        part = F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
-        # the brackets are one row per group and share: small beside the table, and joined whichever way suits their size
-        inner = x.join(wide, "g").where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
-        cells = inner.groupBy("g", "i", part.alias("part")).agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("a"), F.max("x").alias("b"), *(F.first(c).alias(c) for c in ("n", "p", "below", "low", "high")))
-        run = F.sum("c").over(Window.partitionBy("g", "i").orderBy("part"))
-        cells = cells.withColumn("before", F.col("below") + run - F.col("c"))
-        # the parts that hold either rank; a rank and the next may lie in different parts
-        hit = cells.where((F.col("before") <= F.col("high")) & (F.col("before") + F.col("c") > F.col("low")))
-        narrowed = hit.groupBy("g", "i").agg(F.first("n").alias("n"), F.min("a").alias("lo"), F.max("b").alias("hi"), F.first("p").alias("p"), F.min("before").alias("below"), F.sum("c").alias("inside"), F.first("low").alias("low"), F.first("high").alias("high"))
-        done = wanted.where(~((F.col("inside") > small) & (F.col("lo") < F.col("hi"))))
-        last, wanted = wanted, written(done.unionByName(narrowed.select(done.columns)), "quantile-ranks")
+    # a share lies between two ranks, each of which has a bracket of its own: so each pass narrows every one
+    at = [F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), (side(F.lit(float(p)) * (F.col("n") - 1))).alias("rank"), F.lit(k).alias("k")) for i, p in enumerate(shares) for k, side in enumerate((F.floor, F.ceil))]
+    wanted = counts.select("g", "n", "lo", "hi", F.explode(F.array(*at)).alias("s")).select("g", "n", "lo", "hi", "s.*", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"))
+    wanted = written(wanted, "quantile-ranks")
+    open_ = (F.col("inside") > small) & ((F.col("hi") - F.col("lo")) / bins > 0)
+    while not wanted.where(open_).isEmpty():
+        part = F.least(F.floor((F.col("x") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1)).cast("int")
+        # the brackets are a few rows per group: small beside the table, and joined whichever way suits their size
+        inner = x.join(wanted.where(open_), "g").where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+        cells = inner.groupBy("g", "i", "k", part.alias("part")).agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("a"), F.max("x").alias("b"), *(F.first(c).alias(c) for c in ("n", "p", "rank", "below")))
+        before = F.col("below") + F.sum("c").over(Window.partitionBy("g", "i", "k").orderBy("part")) - F.col("c")
+        hit = cells.withColumn("before", before).where((F.col("before") <= F.col("rank")) & (F.col("before") + F.col("c") > F.col("rank")))
+        narrowed = hit.select("g", "n", F.col("a").alias("lo"), F.col("b").alias("hi"), "i", "p", "rank", "k", F.col("before").alias("below"), F.col("c").alias("inside"))
+        last, wanted = wanted, written(wanted.where(~open_).unionByName(narrowed), "quantile-ranks")
         discard(last)
     # a bracket of one value needs no look at the table
-    flat = wanted.where("lo = hi").select("g", "i", F.col("lo").alias("q"))
-    rest = wanted.where("lo < hi")
-    inner = x.join(rest, "g").where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
-    per_value = inner.groupBy("g", "i", "x").agg(F.count(F.lit(1)).alias("c"), *(F.first(c).alias(c) for c in ("n", "p", "below", "low", "high")))
-    before = F.col("below") + F.sum("c").over(Window.partitionBy("g", "i").orderBy("x")) - F.col("c")
-    at = per_value.withColumn("before", before)
-    holds = lambda r: F.max(F.when((F.col("before") <= F.col(r)) & (F.col("before") + F.col("c") > F.col(r)), F.col("x")))
-    found = at.groupBy("g", "i").agg(holds("low").alias("a"), holds("high").alias("b"), F.first("n").alias("n"), F.first("p").alias("p"), F.first("low").alias("low"))
-    found = found.select("g", "i", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("p") * (F.col("n") - 1) - F.col("low"))).alias("q"))
-    return flat.unionByName(found).groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda s: s["q"]).alias("q")).select(F.col("g").alias(by), "q")
+    keys = ["g", "i", "p", "n", "k"]
+    flat = wanted.where("lo = hi").select(*keys, F.col("lo").alias("v"))
+    inner = x.join(wanted.where("lo < hi"), "g").where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+    per_value = inner.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c"), F.first("below").alias("below"), F.first("rank").alias("rank"))
+    before = F.col("below") + F.sum("c").over(Window.partitionBy("g", "i", "k").orderBy("x")) - F.col("c")
+    found = per_value.withColumn("before", before).where((F.col("before") <= F.col("rank")) & (F.col("before") + F.col("c") > F.col("rank"))).select(*keys, F.col("x").alias("v"))
+    both = flat.unionByName(found).groupBy("g", "i", "p", "n").agg(F.max(F.when(F.col("k") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("k") == 1, F.col("v"))).alias("b"))
+    q = F.col("a") + (F.col("b") - F.col("a")) * (F.col("p") * (F.col("n") - 1) - F.floor(F.col("p") * (F.col("n") - 1)))
+    return both.select("g", "i", q.alias("q")).groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda s: s["q"]).alias("q")).select(F.col("g").alias(by), "q")
 
 
 @SCALERS.register("robust")
@@ -385,8 +379,11 @@ def text_terms(c: Column, pattern: str = TERM, ngram_range: Sequence[int] = (1,
     low, high = ngram_range
     if (low, high) == (1, 1):
         return words
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.concat(*(words if n == 1 else F.when(F.size(words) >= n, runs(n)).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)))
+    none = F.array().cast("array<string>")
+    runs = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+    every = lambda w: F.concat(*(w if n == 1 else F.when(F.size(w) >= n, runs(w, n)).otherwise(none) for n in range(low, high + 1)))
+    # an expression that is named more than once would be computed as often
+    return F.get(F.transform(F.array(words), every), F.lit(0))
 
 
 def terms(df: DataFrame, key: str, text: str, pattern: str = TERM, ngram_range: Sequence[int] = (1, 1), stop_words: Sequence[str] = ()) -> DataFrame:

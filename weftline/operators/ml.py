@@ -23,8 +23,8 @@ from weftline.session import cut, written
 
 #: Numbers that a broadcast query block may hold: 64 MB of doubles.
 MOST_QUERY_CELLS = 8_000_000
-#: Rows that the driver-side clusterers accept.
-MOST_LOCAL_ROWS = 20_000
+#: Rows that the driver-side clusterers work on; a larger table is represented by so many landmarks.
+MOST_LOCAL_ROWS = 5_000
 
 
 # -- MLlib estimators behind one contract -----------------------------------------------------------------------------
@@ -108,10 +108,59 @@ def _km(self, k: int = 8, max_iter: int = 300, seed: int = 42):
     return K.KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="_x", predictionCol="_y")
 
 
-@_classifier("kmeans_mini")
-def _kmm(self, k: int = 8, max_iter: int = 5, seed: int = 42):
-    """k-means with few passes: an approximation of the full fit."""
-    return K.KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="_x", predictionCol="_y")
+def _by_nearest(centres: np.ndarray, features: str, output: str):
+    """A transform that adds the number of the nearest centre, an Arrow batch at a time."""
+
+    def apply(d: DataFrame) -> DataFrame:
+        shared = d.sparkSession.sparkContext.broadcast(centres)
+
+        @F.pandas_udf("int")
+        def nearest_centre(x: pd.Series) -> pd.Series:
+            c, have = shared.value, x.notna().to_numpy()
+            out = pd.Series([None] * len(x), dtype="Int32")
+            if have.any():
+                v = np.stack(x[have].to_numpy()).astype(float)
+                out[have] = ((c**2).sum(1)[None, :] - 2 * v @ c.T).argmin(1)
+            return out
+
+        return d.withColumn(output, nearest_centre(F.col(features).cast("array<double>")))
+
+    return apply
+
+
+@MODELS.register("kmeans_mini")
+class MiniBatchKMeans(Operator):
+    """k-means by mini-batches: each step moves the centres towards a batch of ``batch_size`` rows, less and less the more rows a
+    centre has seen. The ``steps`` batches are drawn in one scan (a sample of bounded size, a documented parameter); labelling
+    covers all rows."""
+
+    def __init__(self, features: str = "features", k: int = 8, batch_size: int = 1024, steps: int = 100, seed: int = 42, output: str = "prediction", **_) -> None:
+        self.features, self.k, self.batch, self.steps, self.seed, self.output = features, k, batch_size, steps, seed, output
+
+    def fit(self, df: DataFrame) -> Fitted:
+        rows = df.select(F.col(self.features).cast("array<double>").alias("v")).where("v is not null")
+        n, wanted = rows.count(), self.batch * self.steps
+        sample = rows.sample(min(1.0, 1.1 * wanted / n), self.seed).limit(wanted) if n > wanted else rows
+        x = np.array([r.v for r in sample.collect()], float)
+        if not len(x):
+            raise ValueError("there are no vectors to cluster")
+        rng = np.random.default_rng(self.seed)
+        # spread the first centres: each is drawn with a chance that grows with its distance from those before
+        centres = [x[rng.integers(len(x))]]
+        far = ((x - centres[0]) ** 2).sum(1)
+        while len(centres) < min(self.k, len(x)):
+            p = far / far.sum() if far.sum() > 0 else None
+            centres.append(x[rng.choice(len(x), p=p)])
+            far = np.minimum(far, ((x - centres[-1]) ** 2).sum(1))
+        c, seen = np.array(centres), np.zeros(len(centres))
+        for _ in range(self.steps):
+            b = x[rng.integers(len(x), size=min(self.batch, len(x)))]
+            label = ((c**2).sum(1)[None, :] - 2 * b @ c.T).argmin(1)
+            for j in np.unique(label):
+                mine = b[label == j]
+                seen[j] += len(mine)
+                c[j] += (mine.mean(0) - c[j]) * len(mine) / seen[j]
+        return Fitted(_by_nearest(c, self.features, self.output), centres=c)
 
 
 @MODELS.register("svm")
@@ -175,14 +224,41 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int =
     return ranked.withColumnRenamed("c", carry) if carry else ranked
 
 
-@MODELS.register("knn")
-def knn_predict(queries: DataFrame, rows: DataFrame, key: str, vector: str, label: str, k: int = 5) -> DataFrame:
-    """The most frequent label among the ``k`` nearest other rows, ties by label: ``query, prediction``."""
-    votes = nearest(queries, rows, key, vector, k, label).groupBy("query", label).agg(F.count(F.lit(1)).alias("n"))
+def knn_predict(queries: DataFrame, rows: DataFrame, key: str, vector: str, label: str, k: int = 5, exclude_self: bool = True) -> DataFrame:
+    """The most frequent label among the ``k`` nearest (other) rows, ties by label: ``query, prediction``."""
+    votes = nearest(queries, rows, key, vector, k, label, exclude_self).groupBy("query", label).agg(F.count(F.lit(1)).alias("n"))
     pick = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n"), label))
     return votes.withColumn("at", pick).where("at = 1").select("query", F.col(label).alias("prediction"))
 
 
+@MODELS.register("knn")
+class NearestNeighbours(Operator):
+    """Classification by the ``k`` nearest training rows. Rows to be predicted are dealt into blocks that may be broadcast; the
+    training rows are scanned once for each, so neither side is limited."""
+
+    def __init__(self, features: str = "features", label: str = "label", k: int = 5, output: str = "prediction", **_) -> None:
+        self.features, self.label, self.k, self.output = features, label, k, output
+
+    def fit(self, df: DataFrame) -> Fitted:
+        kind = df.schema[self.label].dataType
+        rows = written(df.select(F.monotonically_increasing_id().alias("_row"), F.col(self.features).alias("_v"), F.col(self.label).alias("_label")), "knn-rows")
+
+        def apply(d: DataFrame) -> DataFrame:
+            queries = written(d.withColumn("_row", F.monotonically_increasing_id()), "knn-queries")
+            cells = queries.agg(F.coalesce(F.sum(F.size(self.features)), F.lit(0))).first()[0]
+            blocks = -(-int(cells) // (MOST_QUERY_CELLS // 2)) or 1
+            found = None
+            for b in range(blocks):
+                part = queries.where(F.pmod(F.xxhash64("_row"), F.lit(blocks)) == b).select("_row", F.col(self.features).alias("_v"))
+                got = knn_predict(part, rows, "_row", "_v", "_label", self.k, exclude_self=False)
+                got = written(got, "knn-found") if blocks > 1 else got
+                found = got if found is None else found.unionAll(got)
+            found = found.select(F.col("query").alias("_row"), F.col("prediction").cast(kind).alias(self.output))
+            return queries.join(found, "_row", "left").drop("_row")
+
+        return Fitted(apply, rows=rows)
+
+
 @SAMPLERS.register("smote", "smote_sampler")
 class Smote:
     """Synthetic rows between a row of a small class and one of its k nearest of the class, until classes are equal.
@@ -234,11 +310,14 @@ def nb_predict(train: DataFrame, test: DataFrame, key: str, label: str, terms_tr
     A document's score is the prior plus, for each of its terms that training saw, tf times the term's log share. The classes
     (their number, not the documents, goes to the driver) are columns of one term table that the documents' terms are joined to.
     """
-    n = train.count()
-    priors = {r[0]: r[1] / n for r in train.groupBy(label).agg(F.count(F.lit(1))).collect()}
     counts = written(terms_train.join(train.select(key, label), key).groupBy("term", label).agg(F.sum("tf").alias("c")), "nb-counts")
-    totals = {r[0]: r[1] for r in counts.groupBy(label).agg(F.sum("c")).collect()}
-    size = counts.select("term").distinct().count()
+    rows = {r[0]: r[1] for r in train.groupBy(label).agg(F.count(F.lit(1))).collect()}
+    n = sum(rows.values())
+    priors = {c: r / n for c, r in rows.items()}
+    # totals of the classes and the size of the vocabulary come from one grouped pass over the written counts
+    sums = counts.groupBy("term").agg(*(F.sum(F.when(F.col(label) == F.lit(c), F.col("c"))).alias(f"t{i}") for i, c in enumerate(sorted(rows)))).agg(F.count(F.lit(1)).alias("size"), *(F.sum(f"t{i}").alias(f"t{i}") for i in range(len(rows)))).first()
+    totals = {c: sums[f"t{i}"] for i, c in enumerate(sorted(rows)) if sums[f"t{i}"] is not None}
+    size = sums["size"]
     classes = sorted(totals)
     # one row per term with its gain in every class, so that a document's terms are joined once and summed per class
     gain = [F.coalesce(F.sum(F.when(F.col(label) == F.lit(c), F.log((F.col("c") + smoothing) / F.lit(smoothing)))), F.lit(0.0)).alias(f"g{i}") for i, c in enumerate(classes)]
@@ -326,6 +405,55 @@ def silhouette_of(queries: DataFrame, rows: DataFrame, key: str, label: str, vec
     return t.select(F.col("id").alias(key), F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("silhouette"))
 
 
+def cluster_centres(df: DataFrame, label: str, vector: str) -> DataFrame:
+    return class_moments(df, label, vector).select(F.col("cls").alias(label), "n", F.col("mean").alias("centre"))
+
+
+@EVALUATORS.register("clustering_quality")
+def clustering_quality(df: DataFrame, label: str = "cluster", vector: str = "features", key: str | None = None, metrics: Sequence[str] = ("silhouette_average",)) -> DataFrame:
+    """``metric, value``: silhouette average (squared Euclidean, exact), inertia, clusters, noise share. Noise (-1) is left out of the first three."""
+    rows = df.where(F.col(vector).isNotNull())
+    kept = rows.where(F.col(label) != -1)
+    moments = class_moments(kept, label, vector)
+    size = lambda m: F.aggregate(m, F.lit(0.0), lambda s, x: s + x * x)
+    base = moments.agg(F.count(F.lit(1)).cast("double").alias("n_clusters"), F.sum(F.col("n") * (F.col("length2") - size(F.col("mean")))).alias("inertia"))
+    noise = rows.agg(F.avg((F.col(label) == -1).cast("double")).alias("noise_share"))
+    out = base.select(F.lit(1).alias("k"), "*").join(noise.select(F.lit(1).alias("k"), "*"), "k").drop("k").unpivot([], ["n_clusters", "inertia", "noise_share"], "metric", "value")
+    if any(m.startswith("silhouette") for m in metrics):
+        keyed = kept if key else kept.withColumn("_key", F.lit(0))
+        scores = silhouette_squared(keyed, key or "_key", label, vector)
+        out = out.unionByName(scores.agg(F.avg("silhouette").alias("value")).select(F.lit("silhouette_average").alias("metric"), "value"))
+    return out
+
+
+@EVALUATORS.register("cluster_profile")
+def cluster_profile(df: DataFrame, label: str = "cluster", numeric: Sequence[str] | None = None, indicators: Sequence[str] = (), ranking_by: str | None = None) -> dict[str, DataFrame]:
+    """Number profiles, prevalence of indicators and a ranking of the clusters."""
+    from weftline.operators import profile
+
+    numeric = [c for c in (numeric or profile.numeric_columns(df)) if c != label]
+    out = {"numeric_summary": profile.group_profile(df, label, numeric)} if numeric else {}
+    indicators = list(indicators) or profile.indicator_columns(df)
+    if indicators:
+        out["prevalence"] = profile.prevalence(df, label, indicators)
+    if ranking_by:
+        out["ranking"] = profile.ranking(df, label, ranking_by)
+    return out
+
+
+@EVALUATORS.register("clustering")
+def clustering_evaluation(df: DataFrame, label: str = "cluster", vector: str = "features", key: str | None = None, metrics: Sequence[str] = ("silhouette_average", "elbow", "descriptive_stats"), numeric: Sequence[str] | None = None, k_max: int = 10) -> dict[str, DataFrame]:
+    """Quality, elbow and profile in one."""
+    out = {"quality": clustering_quality(df, label, vector, key, metrics)} if any(m.startswith("silhouette") for m in metrics) else {}
+    if "silhouette_per_point" in metrics and key:
+        out["silhouettes"] = silhouette_squared(df.where(F.col(label) != -1), key, label, vector)
+    if "elbow" in metrics:
+        out["elbow"] = elbow(df.where(F.col(vector).isNotNull()), vector, k_max=k_max)
+    if "descriptive_stats" in metrics:
+        out |= cluster_profile(df, label, numeric)
+    return out
+
+
 @EVALUATORS.register("elbow")
 def elbow(df: DataFrame, vector: str, k_min: int = 2, k_max: int = 10, seed: int = 42) -> DataFrame:
     """Inertia of each k, and the k two places after the start of the sharpest bend: ``k, inertia, best``."""
@@ -340,6 +468,57 @@ def elbow(df: DataFrame, vector: str, k_min: int = 2, k_max: int = 10, seed: int
 # -- clusterers without a distributed counterpart: bounded tables only ------------------------------------------------
 
 
+class _Landmarks(Operator):
+    """A clusterer of bounded tables as an operator on tables of any size.
+
+    Up to MOST_LOCAL_ROWS rows are clustered themselves; of a larger table so many k-means centres are, and each row takes its
+    nearest centre's cluster. Rows that were not fitted take that of the nearest fitted row or centre.
+    """
+
+    def __init__(self, features: str = "features", output: str = "prediction", seed: int = 42, **params) -> None:
+        self.features, self.output, self.seed, self.params = features, output, seed, params
+
+    def local(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        """Columns by name; ``cluster`` is the label."""
+        raise NotImplementedError
+
+    def fit(self, df: DataFrame) -> Fitted:
+        rows = df.select(F.col(self.features).cast("array<double>").alias("v")).where("v is not null")
+        got = rows.limit(MOST_LOCAL_ROWS + 1).collect()
+        if len(got) > MOST_LOCAL_ROWS:
+            x = MiniBatchKMeans("v", MOST_LOCAL_ROWS // 5, seed=self.seed).fit(rows).state["centres"]
+        else:
+            x = np.array([r.v for r in got], float)
+        if not len(x):
+            raise ValueError("there are no vectors to cluster")
+        found = self.local(x)
+        labels = {self.output if c == "cluster" else c: v for c, v in found.items()}
+        at = _by_nearest(x, self.features, "_at")
+
+        def apply(d: DataFrame) -> DataFrame:
+            table = d.sparkSession.createDataFrame(pd.DataFrame({"_at": np.arange(len(x), dtype=np.int32)} | labels))
+            return at(d).join(F.broadcast(table), "_at", "left").drop("_at")  # MOST_LOCAL_ROWS rows at most
+
+        return Fitted(apply, landmarks=x, labels=found)
+
+
+@MODELS.register("agglomerative")
+class Agglomerative(_Landmarks):
+    """Hierarchical clusters: ward, average, complete or single linkage."""
+
+    def local(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        return {"cluster": hierarchy(x, **{"n_clusters": 2} | self.params).astype(np.int32)}
+
+
+@MODELS.register("hdbscan")
+class DensityClusters(_Landmarks):
+    """Density clusters; noise is -1. Also ``probability``, ``persistence`` and ``outlier_score`` of each row."""
+
+    def local(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        labels, prob, persist, outlier = density(x, **self.params)
+        return {"cluster": labels.astype(np.int32), "probability": prob, "persistence": persist, "outlier_score": outlier}
+
+
 def _local(df: DataFrame, key: str, vector: str) -> tuple[np.ndarray, np.ndarray]:
     got = df.select(F.col(key).cast("bigint"), F.col(vector).cast("array<double>")).orderBy(key).limit(MOST_LOCAL_ROWS + 1).collect()
     if len(got) > MOST_LOCAL_ROWS:
@@ -385,18 +564,21 @@ def _merge(edges: Sequence[tuple[float, int, int]], n: int, stop) -> np.ndarray:
 
 @REDUCERS.register("umap")
 class NeighbourLayout(Operator):
-    """A low-dimensional layout of the fuzzy neighbour graph (spectral, no stochastic refinement): ``key, umap`` of a bounded table.
+    """A low-dimensional layout of the fuzzy neighbour graph (spectral, no stochastic refinement).
 
-    Same contract as a manifold reducer, not the same numbers. Rows: at most ``most``; missing values raise.
+    Same contract as a manifold reducer, not the same numbers. The graph is that of at most ``most`` landmarks, all rows of a
+    small table or a random sample of a larger one; every row, fitted or new, is placed among its nearest landmarks. Missing
+    values among the landmarks raise; a row without vector has no place.
     """
 
-    def __init__(self, column: str, key: str, n_components: int = 2, n_neighbors: int = 15, output: str = "umap", most: int = 4_000) -> None:
-        self.column, self.key, self.k, self.near, self.output, self.most = column, key, n_components, n_neighbors, output, most
+    def __init__(self, column: str, key: str | None = None, n_components: int = 2, n_neighbors: int = 15, output: str = "umap", most: int = 2_000, seed: int = 42) -> None:
+        self.column, self.key, self.k, self.near, self.output, self.most, self.seed = column, key, n_components, n_neighbors, output, most, seed
 
     def fit(self, df: DataFrame) -> Fitted:
-        ids, x = _local(df.where(F.col(self.column).isNotNull()), self.key, self.column)
-        if len(x) > self.most:
-            raise ValueError(f"this layout takes at most {self.most} rows")
+        rows = df.select(F.col(self.column).cast("array<double>").alias("v")).where("v is not null")
+        x = np.array([r.v for r in rows.orderBy(F.xxhash64("v", F.lit(self.seed))).limit(self.most).collect()], float)
+        if not len(x):
+            raise ValueError("there are no vectors to lay out")
         if not np.isfinite(x).all():
             raise ValueError("the vectors hold missing values")
         n, k = len(x), min(self.near, max(len(x) - 1, 1))
@@ -412,57 +594,93 @@ class NeighbourLayout(Operator):
         w = w + w.T - w * w.T
         degree = np.maximum(w.sum(1), 1e-12)
         lap = np.eye(n) - w / np.sqrt(degree[:, None] * degree[None, :])
-        _, vectors = np.linalg.eigh(lap) if n else (None, np.zeros((0, 0)))
+        _, vectors = np.linalg.eigh(lap)
         at = vectors[:, 1 : self.k + 1]
         at = np.pad(at, ((0, 0), (0, self.k - at.shape[1])))
-        table = df.sparkSession.createDataFrame(pd.DataFrame({self.key: ids, self.output: at.tolist()}), f"`{self.key}` bigint, `{self.output}` array<double>")
-        return Fitted(lambda d: d.join(table, self.key, "left"), layout=table)
+
+        def apply(d: DataFrame) -> DataFrame:
+            shared = d.sparkSession.sparkContext.broadcast((x, at))
+
+            @F.pandas_udf("array<double>")
+            def place(v: pd.Series) -> pd.Series:
+                marks, where = shared.value
+                have = v.notna().to_numpy()
+                out = pd.Series([None] * len(v), dtype=object)
+                if have.any():
+                    q = np.stack(v[have].to_numpy()).astype(float)
+                    sq = np.maximum((q**2).sum(1)[:, None] - 2 * q @ marks.T + (marks**2).sum(1)[None, :], 0)
+                    few = np.argpartition(sq, min(2, len(marks) - 1), 1)[:, :3]
+                    weight = 1 / (np.take_along_axis(sq, few, 1) + 1e-9)
+                    places = (where[few] * (weight / weight.sum(1, keepdims=True))[:, :, None]).sum(1)
+                    out[have] = pd.Series(list(places), index=out.index[have])
+                return out
+
+            return d.withColumn(self.output, place(F.col(self.column).cast("array<double>")))
+
+        return Fitted(apply, landmarks=x, layout=at)
+
+
+def hierarchy(x: np.ndarray, n_clusters: int = 2, linkage: str = "ward") -> np.ndarray:
+    """Cluster numbers of ``n_clusters`` hierarchical clusters. Merges are found along chains of nearest neighbours, so the time
+    is quadratic in the rows."""
+    n = len(x)
+    if linkage == "single":
+        return _merge(_spanning_tree(lambda i: np.sqrt(((x - x[i]) ** 2).sum(1))), n, lambda w, left: left <= n_clusters)
+    if linkage not in ("ward", "average", "complete"):
+        raise ValueError(f"unknown linkage {linkage!r}")
+    sq = np.maximum((x**2).sum(1)[:, None] - 2 * x @ x.T + (x**2).sum(1)[None, :], 0)
+    d = sq if linkage == "ward" else np.sqrt(sq)
+    np.fill_diagonal(d, np.inf)
+    size, alive, merges, chain = np.ones(n), np.ones(n, bool), [], []
+    while len(merges) < n - 1:
+        if not chain:
+            chain = [int(alive.argmax())]
+        i = chain[-1]
+        j = int(d[i].argmin())
+        if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
+            j = chain[-2]
+        else:
+            chain.append(j)
+            continue
+        chain = chain[:-2]
+        merges.append((float(d[i, j]), i, j))
+        a, b = size[i], size[j]
+        if linkage == "ward":
+            new = ((a + size) * d[i] + (b + size) * d[j] - size * d[i, j]) / (a + b + size)
+        elif linkage == "average":
+            new = (a * d[i] + b * d[j]) / (a + b)
+        else:
+            new = np.maximum(d[i], d[j])
+        new[~alive], new[i], new[j] = np.inf, np.inf, np.inf
+        d[i], d[:, i] = new, new
+        d[j], d[:, j], alive[j], size[i] = np.inf, np.inf, False, a + b
+    return _merge(sorted(merges, key=lambda m: m[0]), n, lambda w, left: left <= n_clusters)
 
 
-@MODELS.register("agglomerative")
 def agglomerative(df: DataFrame, key: str, vector: str, n_clusters: int = 2, linkage: str = "ward") -> DataFrame:
-    """Hierarchical clusters (ward, average, complete, single) of at most MOST_LOCAL_ROWS rows: ``key, cluster``."""
+    """Hierarchical clusters of at most MOST_LOCAL_ROWS rows by key: ``key, cluster``; the registered operator takes any number."""
     ids, x = _local(df, key, vector)
-    n = len(x)
-    if n == 0:
+    if not len(x):
         return df.select(key, F.lit(0).alias("cluster")).limit(0)
-    if linkage == "single":
-        labels = _merge(_spanning_tree(lambda i: np.sqrt(((x - x[i]) ** 2).sum(1))), n, lambda w, left: left <= n_clusters)
-    else:
-        sq = np.maximum((x**2).sum(1)[:, None] - 2 * x @ x.T + (x**2).sum(1)[None, :], 0)
-        d = sq if linkage == "ward" else np.sqrt(sq)
-        np.fill_diagonal(d, np.inf)
-        size, alive, label = np.ones(n), np.ones(n, bool), np.arange(n)
-        for _ in range(n - n_clusters):
-            # closest pair: nearest of each row, then the best of those
-            i = int(d.min(1).argmin())
-            j = int(d[i].argmin())
-            a, b = size[i], size[j]
-            if linkage == "ward":
-                new = ((a + size) * d[i] + (b + size) * d[j] - size * d[i, j]) / (a + b + size)
-            elif linkage == "average":
-                new = (a * d[i] + b * d[j]) / (a + b)
-            else:
-                new = np.maximum(d[i], d[j])
-            new[~alive], new[i] = np.inf, np.inf
-            d[i], d[:, i] = new, new
-            d[j], d[:, j], alive[j], size[i] = np.inf, np.inf, False, a + b
-            label[label == j] = i
-        labels = np.unique(label, return_inverse=True)[1]
-    return df.sparkSession.createDataFrame(pd.DataFrame({key: ids, "cluster": labels.astype(int)}))
+    return df.sparkSession.createDataFrame(pd.DataFrame({key: ids, "cluster": hierarchy(x, n_clusters, linkage).astype(int)}))
 
 
-@MODELS.register("hdbscan")
 def density_clusters(df: DataFrame, key: str, vector: str, min_cluster_size: int = 5, min_samples: int | None = None) -> DataFrame:
-    """Density clusters by mutual reachability and cluster stability on at most MOST_LOCAL_ROWS rows.
-
-    ``key, cluster (-1: noise), probability, persistence``.
-    """
+    """Density clusters of at most MOST_LOCAL_ROWS rows by key: ``key, cluster (-1: noise), probability, persistence, outlier_score``."""
     ids, x = _local(df, key, vector)
+    if not len(x):
+        zero = F.lit(0.0)
+        return df.select(key, F.lit(-1).alias("cluster"), zero.alias("probability"), zero.alias("persistence"), zero.alias("outlier_score")).limit(0)
+    labels, prob, persist, outlier = density(x, min_cluster_size, min_samples)
+    return df.sparkSession.createDataFrame(pd.DataFrame({key: ids, "cluster": labels.astype(int), "probability": prob, "persistence": persist, "outlier_score": outlier}))
+
+
+def density(x: np.ndarray, min_cluster_size: int = 5, min_samples: int | None = None) -> tuple[np.ndarray, ...]:
+    """Labels, probabilities, persistence and outlier scores by mutual reachability and cluster stability."""
     n, k = len(x), min_samples or min_cluster_size
     if n <= min_cluster_size:
-        return df.sparkSession.createDataFrame(pd.DataFrame({key: ids, "cluster": np.full(n, -1), "probability": np.zeros(n), "persistence": np.zeros(n)})) if n else df.select(key, F.lit(-1).alias("cluster"), F.lit(0.0).alias("probability"), F.lit(0.0).alias("persistence")).limit(0)
-    core = np.array([np.sort(np.sqrt(((x - p) ** 2).sum(1)))[min(k, n - 1)] for p in x])
+        return np.full(n, -1), np.zeros(n), np.zeros(n), np.zeros(n)
+    core = np.array([np.partition(np.sqrt(((x - p) ** 2).sum(1)), min(k, n - 1))[min(k, n - 1)] for p in x])
     edges = _spanning_tree(lambda i: np.maximum(np.maximum(np.sqrt(((x - x[i]) ** 2).sum(1)), core), core[i]))
     # single-linkage tree, children before parents
     kids, height, weight, top = {}, {}, {i: 1 for i in range(n)}, list(range(n))
@@ -536,4 +754,10 @@ def density_clusters(df: DataFrame, key: str, vector: str, min_cluster_size: int
             for p, v in inside.items():
                 labels[p], prob[p], persist[p] = number, cap(v) / peak if peak else 0.0, stability[c]
             number += 1
-    return df.sparkSession.createDataFrame(pd.DataFrame({key: ids, "cluster": labels.astype(int), "probability": prob, "persistence": persist}))
+    # how much sooner a point leaves its cluster than the densest point below that cluster does
+    outlier, deepest = np.zeros(n), {}
+    for c in range(fresh - 1, -1, -1):
+        deepest[c] = max([cap(v) for v in members[c].values()] + [deepest[q] for q, _, _ in child_clusters[c]], default=0.0)
+        for p, v in members[c].items():
+            outlier[p] = 1 - cap(v) / deepest[c] if deepest[c] else 0.0
+    return labels, prob, persist, outlier

@@ -64,8 +64,10 @@ def crosstab(df: DataFrame, by: str, column: str, top_n: int = 10) -> DataFrame:
 def ranking(df: DataFrame, by: str, value: str) -> DataFrame:
     """Per group n, median, mean and third quartile; rank 1.. by median, largest first."""
     s = df.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
-    q = grouped_quantiles(df, by, value, [0.5, 0.75]).select(F.col(by).alias("_g"), F.get("q", F.lit(0)).alias("median"), F.get("q", F.lit(1)).alias("q75"))
-    s = s.join(q, F.col(by).eqNullSafe(F.col("_g")), "left").select(by, "n", "median", "mean", "q75")
+    # null is a group too
+    key = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit(""))
+    q = grouped_quantiles(df.select(key.alias("_g"), F.col(value).alias("_x")), "_g", "_x", [0.5, 0.75]).select("_g", F.get("q", F.lit(0)).alias("median"), F.get("q", F.lit(1)).alias("q75"))
+    s = s.withColumn("_g", key).join(q, "_g", "left").select(by, "n", "median", "mean", "q75")
     return s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("median"), by)).cast("long"))
 
 
@@ -147,8 +149,12 @@ def box_statistics(df: DataFrame, columns: Sequence[str], by: str | None = None)
 
 
 @PROFILES.register("class_balance")
-def class_balance(df: DataFrame, target: str) -> DataFrame:
-    return value_counts(df, target)
+def class_balance(df: DataFrame, target: str, most: int = 20, bins: int = 10) -> DataFrame:
+    """``target`` and ``n``: counts of a categorical target's values, or of the bins (named by their edges) of one with many numbers."""
+    if is_categorical(df, target, most):
+        return value_counts(df, target)
+    cells = histogram(df, target, bins)
+    return cells.select(F.format_string("%.6g to %.6g", "low", "high").alias(target), "n")
 
 
 @PROFILES.register("duplicate_check")

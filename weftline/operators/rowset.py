@@ -75,6 +75,11 @@ def top_counts(df: DataFrame, column: str, n: int = 20) -> DataFrame:
     return counts.orderBy(F.desc("n"), F.col(column).asc_nulls_last()).limit(n)
 
 
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Columns under new names, one projection; names that the table lacks are ignored."""
+    return df.select(*(F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns))
+
+
 def union_pages(pages: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), pages)
 

@@ -33,6 +33,36 @@ def catalog_scan(spark, d):
     return Catalog(spark, d).scan("BoardsDiscussion", {"CategoryId": {"from": 100, "to": 110}}).select("Id", "DiscussionId", "Closed")
 
 
+@q("SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_size > 25) AS cluster, CAST(count(*) OVER (PARTITION BY p_size > 25) AS BIGINT) AS n, 'word' || CAST(CAST(p_size > 25 AS INTEGER) AS VARCHAR) AS keyword FROM part")
+def cluster_flow(spark, d):
+    """Texts of two kinds through the whole clustering stage: tf-idf, reduction, clusters, layout, evaluation, keywords."""
+    kind = F.concat(F.lit("word"), (F.col("p_size") > 25).cast("int").cast("string"))
+    df = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", kind, kind, kind, kind, F.lit("common"), F.concat(F.lit("x"), (F.col("p_partkey") % 5).cast("string"))).alias("text"))
+    entry = {
+        "stage": "cluster", "name": "c", "vectorizer": {"name": "tfidf", "params": {"key": "p_partkey", "column": "text", "max_features": 50}}, "reducers": [{"name": "truncated_svd", "params": {"n_components": 3}}],
+        "model": "kmeans", "model_params": {"k": 2}, "layout": 2, "keywords": {"key": "p_partkey", "text": "text", "n": 1}, "evaluators": [{"name": "clustering_quality"}],
+    }
+    flow = pipeline.run([entry], spark, data=df)
+    first = flow.data.groupBy("cluster").agg(F.min("p_partkey").alias("name"), F.count(F.lit(1)).alias("n"))
+    words = flow.results["c_keywords"].select("cluster", F.col("term").alias("keyword"))
+    return flow.data.select("p_partkey", "cluster").join(first, "cluster").join(words, "cluster").select("p_partkey", F.col("name").alias("cluster"), "n", "keyword")
+
+
+@q("SELECT CAST(f AS INTEGER) AS fold, 1.0 AS accuracy, 1.0 AS f1 FROM range(3) t(f) UNION ALL SELECT -1, 1.0, 1.0")
+def experiment_flow(spark, d):
+    """A separable text task through the classification experiment: vectorised inside each fold, sampled, weighed; -1 is the test set."""
+    kind = (F.col("p_size") > 25).cast("int")
+    word = F.concat(F.lit("word"), kind.cast("string"))
+    df = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", word, word, F.lit("common")).alias("text"), kind.cast("double").alias("label"))
+    entries = [
+        {"stage": "split", "params": {"key": "p_partkey", "exact": True}},
+        {"stage": "experiment", "name": "e", "model": "naive_bayes", "vectorizer": {"name": "tfidf", "params": {"key": "p_partkey", "column": "text", "max_features": 20}}, "cv": {"key": "p_partkey", "folds": 3}, "sampler": {"name": "under", "params": {"key": "p_partkey", "label": "label"}}, "class_weights": True},
+    ]
+    got = pipeline.run(entries, spark, data=df).results["e"]
+    whole = got["metrics"].withColumn("fold", F.lit(-1))
+    return got["folds"].select("fold", "accuracy", "f1").unionByName(whole.select("fold", "accuracy", "f1"))
+
+
 @q("SELECT DISTINCT AppID FROM steam_games WHERE AppID IS NOT NULL")
 def stream_incremental_ingest(spark, d):
     """The games table ingested twice as a bounded stream; the second run finds every key stored."""

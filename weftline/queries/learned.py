@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.operators import features as L
-from weftline.operators import ml, profile
-from weftline.operators.base import MODELS
+from weftline.functions.text import STOPWORDS
+from weftline.operators import charts, ml, profile  # noqa: F401  (charts registers)
+from weftline.operators.base import CHARTS, MODELS
 from weftline.queries.register import Queries
 from weftline.session import table
 
@@ -148,6 +149,38 @@ def tfidf_top_terms(spark, d):
     return w.groupBy("term").agg(F.round(F.sum("weight"), 6).alias("weight")).orderBy(F.desc("weight"), "term").limit(50)
 
 
+_GRAMS = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in STOPWORDS) + "))"
+
+
+@q(f"""
+WITH words AS (SELECT doc_id, {_GRAMS} AS w FROM documents WHERE text IS NOT NULL),
+grams AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM words),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL),
+kept AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 3 ORDER BY sum(tf) DESC, term LIMIT 2000),
+w AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1) AS raw FROM tf JOIN kept USING (term)),
+n AS (SELECT *, sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS norm FROM w)
+SELECT term, CAST(count(*) AS BIGINT) AS n_docs, round(sum(raw / norm), 6) AS weight FROM n GROUP BY term""")
+def tfidf_ngrams(spark, d):
+    """Words and word pairs without stop words, in three rows at least, the 2,000 most frequent."""
+    w = L.TfIdf("doc_id", "text", ngram_range=(1, 2), stop_words="english", min_df=3, max_features=2000).fit_transform(table(spark, d, "documents"))
+    return w.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
+@q("SELECT vec_id, round(list_sum(list_transform(list_zip(CAST(embedding AS DOUBLE[]), m), lambda p: (p[1] - p[2]) ** 2)), 4) AS length2 FROM embeddings, (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(x) AS m FROM (SELECT unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY i))")
+def pca_whole(spark, d):
+    """All components: a rotation, so every row keeps its distance from the mean."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    got = L.Principal("embedding", 64).fit_transform(e)
+    return got.select("vec_id", F.round(F.aggregate("pca", F.lit(0.0), lambda s, x: s + x * x), 4).alias("length2"))
+
+
+@q("SELECT vec_id, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)), 4) AS length2 FROM embeddings")
+def truncated_svd_whole(spark, d):
+    """All singular vectors, rows not scaled: every row keeps its length."""
+    got = L.TruncatedSvd("embedding", 64, normalise=False).fit_transform(table(spark, d, "embeddings").select("vec_id", "embedding"))
+    return got.select("vec_id", F.round(F.aggregate("svd", F.lit(0.0), lambda s, x: s + x * x), 4).alias("length2"))
+
+
 @q()
 def word2vec(spark, d):
     return L.WordVectors("text", vector_size=16, epochs=1).fit_transform(table(spark, d, "documents").where("text is not null").select("doc_id", "text")).select("doc_id", "vector")
@@ -166,7 +199,7 @@ def truncated_svd(spark, d):
 @q()
 def neighbour_layout(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    return ml.NeighbourLayout("embedding", "vec_id").fit_transform(e).select("vec_id", "umap")
+    return ml.NeighbourLayout("embedding").fit_transform(e).select("vec_id", "umap")
 
 
 # -- profiles ---------------------------------------------------------------------------------------------------------
@@ -295,9 +328,17 @@ def word_freq_by_class(spark, d):
     return profile.word_frequencies(table(spark, d, "documents"), "text", "source")
 
 
-@q()
+def _eta(c: str, v: str) -> str:
+    return f"SELECT '{c}' AS a, '{v}' AS b, 'eta' AS measure, round(sqrt(sum(n * (m - (SELECT avg({v}) FROM part)) ** 2) / (SELECT sum(({v} - (SELECT avg({v}) FROM part)) ** 2) FROM part)), 5) AS value FROM (SELECT count(*) AS n, avg({v}) AS m FROM part GROUP BY {c})"
+
+
+@q(f"""
+{_eta('p_brand', 'p_size')} UNION ALL {_eta('p_brand', 'p_retailprice')} UNION ALL {_eta('p_type', 'p_size')} UNION ALL {_eta('p_type', 'p_retailprice')}
+UNION ALL SELECT 'p_size', 'p_retailprice', 'pearson', round(corr(p_size, p_retailprice), 5) FROM part
+UNION ALL SELECT 'p_brand', 'p_type', 'cramers_v', round(sqrt(greatest(sum(n * n / (na * nb)) - 1, 0) / (least(count(DISTINCT p_brand), count(DISTINCT p_type)) - 1)), 5)
+FROM (SELECT *, sum(n) OVER (PARTITION BY p_brand) AS na, sum(n) OVER (PARTITION BY p_type) AS nb FROM (SELECT p_brand, p_type, CAST(count(*) AS DOUBLE) AS n FROM part GROUP BY ALL))""")
 def association_matrix(spark, d):
-    return profile.association(table(spark, d, "part"), ["p_brand", "p_type", "p_size", "p_retailprice"])
+    return profile.association(table(spark, d, "part"), ["p_brand", "p_type", "p_size", "p_retailprice"]).withColumn("value", F.round("value", 5))
 
 
 # -- models -----------------------------------------------------------------------------------------------------------
@@ -426,9 +467,76 @@ def elbow(spark, d):
 
 @q()
 def agglomerative_fit(spark, d):
-    return ml.agglomerative(table(spark, d, "embeddings"), "vec_id", "embedding", 10)
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return MODELS.create("agglomerative", features="embedding", n_clusters=10).fit_transform(e).select("vec_id", "prediction")
 
 
 @q()
 def hdbscan_fit(spark, d):
-    return ml.density_clusters(table(spark, d, "embeddings"), "vec_id", "embedding")
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return MODELS.create("hdbscan", features="embedding").fit_transform(e).select("vec_id", "prediction", "probability", "persistence", "outlier_score")
+
+
+# -- models on rows that a rule separates: whatever learns must give the rule back -------------------------------------
+
+
+def _separable(spark, d):
+    side = F.when(F.col("p_size") > 25, 1.0).otherwise(0.0)
+    near = (F.col("p_partkey") % 7) / 100.0
+    return table(spark, d, "part").select("p_partkey", F.array(side * 4 + near, (1 - side) * 4 + near, near).alias("features"), side.alias("label"))
+
+
+def _rule(name: str, registered: str, **params) -> None:
+    def f(spark, d):
+        df = _separable(spark, d)
+        return MODELS.create(registered, **params).fit(df).transform(df).select("p_partkey", F.col("prediction").cast("int").alias("prediction"))
+
+    f.__name__ = f"{name}_rule"
+    q("SELECT p_partkey, CAST(p_size > 25 AS INTEGER) AS prediction FROM part")(f)
+
+
+for _name, _registered, _params in (
+    ("logreg", "logistic_regression", {}), ("linear_svc", "linear_svc", {"max_iter": 10}), ("naive_bayes", "naive_bayes", {}), ("knn", "knn", {}), ("random_forest", "random_forest", {"trees": 10}), ("gbt", "xgboost", {"rounds": 2}), ("svm", "svm", {"gamma": 0.1, "dimensions": 64, "max_iter": 10}),
+):
+    _rule(_name, _registered, **_params)
+
+
+def _groups(name: str, registered: str, **params) -> None:
+    def f(spark, d):
+        df = _separable(spark, d)
+        got = MODELS.create(registered, **params).fit(df).transform(df).select("p_partkey", "prediction")
+        first = got.groupBy("prediction").agg(F.min("p_partkey").alias("cluster"))
+        return got.join(first, "prediction").select("p_partkey", "cluster")
+
+    f.__name__ = f"{name}_rule"
+    q("SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_size > 25) AS cluster FROM part")(f)
+
+
+for _name, _registered, _params in (("kmeans", "kmeans", {"k": 2}), ("kmeans_mini", "kmeans_mini", {"k": 2}), ("agglomerative", "agglomerative", {"n_clusters": 2}), ("agglomerative_single", "agglomerative", {"n_clusters": 2, "linkage": "single"})):
+    _groups(_name, _registered, **_params)
+
+
+@q("SELECT 2 AS best_from, 2 AS n_clusters, true AS inertia_falls, CAST(count(*) AS BIGINT) AS n FROM part")
+def elbow_rule(spark, d):
+    """Two groups: inertia falls at every k and the quality of the two-cluster labelling is near 1."""
+    df = _separable(spark, d)
+    bends = ml.elbow(df, "features", 2, 5).orderBy("k").collect()
+    labelled = MODELS.create("kmeans", k=2, output="cluster").fit(df).transform(df)
+    quality = {r.metric: r.value for r in ml.clustering_quality(labelled, key="p_partkey").collect()}
+    falls = all(a.inertia >= b.inertia for a, b in zip(bends, bends[1:])) and quality["silhouette_average"] > 0.9 and quality["noise_share"] == 0
+    return df.agg(F.lit(bends[0].k).alias("best_from"), F.lit(int(quality["n_clusters"])).alias("n_clusters"), F.lit(falls).alias("inertia_falls"), F.count(F.lit(1)).alias("n"))
+
+
+@q(f"SELECT y_true, y_pred, coalesce(n, 0) AS n, round(coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY y_true), 6) AS value FROM (SELECT a.y AS y_true, b.y AS y_pred FROM (SELECT DISTINCT event_type AS y FROM events) a, (SELECT DISTINCT event_type AS y FROM events) b) LEFT JOIN (SELECT y AS y_true, p AS y_pred, CAST(count(*) AS BIGINT) AS n FROM ({_JUDGED}) GROUP BY ALL) USING (y_true, y_pred)")
+def chart_confusion(spark, d):
+    return CHARTS.create("confusion_matrix", df=_judged(spark, d), truth="event_type", predicted="said", normalise="true").withColumn("value", F.round("value", 6))
+
+
+@q("SELECT p_brand AS label, CAST(count(*) AS DOUBLE) AS value FROM part GROUP BY p_brand ORDER BY value DESC, label LIMIT 5")
+def chart_bars(spark, d):
+    return CHARTS.create("bar_chart", df=table(spark, d, "part"), column="p_brand", top_n=5)
+
+
+@q("SELECT word, n, round(n / CAST(max(n) OVER () AS DOUBLE), 6) AS size FROM (SELECT word, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM documents) GROUP BY word ORDER BY n DESC, word LIMIT 100)")
+def chart_words(spark, d):
+    return CHARTS.create("word_cloud", df=table(spark, d, "documents"), text="text", top_n=100).withColumn("size", F.round("size", 6))

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from weftline.functions.predicates import filter_rows, filter_spec, order_spec, prefilter_rows
 from weftline.operators import joins, rowset
+from weftline.plans import pipeline
 from weftline.queries.register import Queries
 from weftline.session import table
+from weftline.sources.catalog import Catalog, source_of
 from weftline.sources.schemas import key_violations, orphans
 
 q = Queries()
@@ -50,9 +52,24 @@ def scan_page(spark, d):
     return rowset.page(table(spark, d, "orders").select("o_orderkey"), [F.col("o_orderkey")], 200, 50)
 
 
-@q("SELECT * FROM customer WHERE c_custkey = 7")
+@q("SELECT * FROM steam_games WHERE Id = 7")
 def point_lookup(spark, d):
-    return table(spark, d, "customer").where("c_custkey = 7").limit(1)
+    return Catalog(spark, d).fetch_by_id("SteamGame", 7)
+
+
+@q("SELECT * FROM (SELECT 9 AS Id, 77 AS gameID) WHERE gameID = 77")
+def point_lookup_game(spark, d):
+    games = spark.createDataFrame([(9, 77), (10, 78)], "Id int, gameID int")
+    return Catalog(spark, reader=lambda name: games).fetch_by_game_id(77)
+
+
+@q("SELECT Id, Type, Closed FROM boards_discussions WHERE coalesce(TRY_CAST(Closed AS BOOLEAN), false) AND CategoryId < 130")
+def scan_filter_flag(spark, d):
+    """A filter list that names a boolean column."""
+    df = table(spark, d, "boards_discussions").withColumn("is_closed", F.col("Closed").try_cast("boolean"))
+    for c in filter_spec(["is_closed"]):
+        df = df.where(c)
+    return df.where("CategoryId < 130").select("Id", "Type", "Closed")
 
 
 SIZED = "nullif(p_size % 7, 0)"
@@ -117,19 +134,28 @@ def prefilter_negate(spark, d):
     return prefilter_rows(table(spark, d, "events"), "event_type", ["SIGN", "err"], "contains", negate=True).select("event_id")
 
 
+def _staged(spark, d, name, *entries):
+    return pipeline.run(list(entries), spark, Catalog(spark, d), table(spark, d, name)).data
+
+
 @q("SELECT * EXCLUDE (c_acctbal, c_mktsegment) FROM customer")
 def drop_columns(spark, d):
-    return table(spark, d, "customer").drop("c_acctbal", "c_mktsegment", "not_there")
+    return _staged(spark, d, "customer", {"stage": "filter", "filter_features": [{"name": "drop_columns", "params": {"columns_to_drop": ["c_acctbal", "c_mktsegment", "not_there"]}}]})
+
 
+@q("SELECT * EXCLUDE (Id, AppID, Name, Total_Reviews, Total_Positive, Total_Negative) FROM steam_games")
+def drop_leakage(spark, d):
+    return _staged(spark, d, "steam_games", {"stage": "filter", "filter_features": [{"name": "drop_leakage"}]})
 
-@q('SELECT c_custkey AS customer_id, c_name AS "name" FROM customer')
+
+@q("SELECT Id, DiscussionId, Title AS \"name\", CategoryId AS category FROM boards_discussions")
 def rename_project(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("name"))
+    return rowset.renamed(table(spark, d, "boards_discussions").select("Id", "DiscussionId", "Title", "CategoryId"), {"Title": "name", "CategoryId": "category", "not_there": "x"})
 
 
 @q("SELECT DiscussionId FROM boards_discussions WHERE CategoryId < 110 AND countComments > 5")
 def raw_where_ids(spark, d):
-    return table(spark, d, "boards_discussions").where("CategoryId < 110 AND countComments > 5").select("DiscussionId")
+    return source_of({"type": "db", "where": "CategoryId < 110 AND countComments > 5"}, Catalog(spark, d))
 
 
 @q("""
@@ -142,9 +168,47 @@ def lookup_join_overwrite(spark, d):
     return joins.lookup_overwrite(left, right, "k")
 
 
-@q("SELECT DISTINCT discussionID AS DiscussionId FROM boards_comments WHERE discussionID IS NOT NULL AND discussionID NOT IN (SELECT DiscussionId FROM boards_discussions)")
+@q("""
+SELECT l.o_orderkey, l.k, CASE WHEN r.k IS NOT NULL THEN r.status ELSE l.status END AS status, r.price
+FROM (SELECT o_orderkey, o_custkey AS k, 'none' AS status FROM orders) l
+LEFT JOIN (SELECT o_custkey AS k, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_totalprice > 100000
+           QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) r ON l.k = r.k""")
+def lookup_join_last_wins(spark, d):
+    """Most keys occur many times on the right: the last order of each customer counts."""
+    o = table(spark, d, "orders")
+    right = o.where("o_totalprice > 100000").select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.struct("o_orderdate", "o_orderkey").alias("v"))
+    return joins.lookup_overwrite(o.select("o_orderkey", F.col("o_custkey").alias("k"), F.lit("none").alias("status")), right, "k", "v")
+
+
+@q("""
+SELECT l.o_orderkey, l.k, r.price FROM (SELECT o_orderkey, o_custkey AS k FROM orders) l
+LEFT JOIN (SELECT o_custkey AS k, max(o_totalprice) AS price FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) r ON l.k = r.k""")
+def lookup_join_repeated(spark, d):
+    """Repeated keys without a version: one row per left row still."""
+    o = table(spark, d, "orders")
+    return joins.lookup_overwrite(o.select("o_orderkey", F.col("o_custkey").alias("k")), o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("price")), "k")
+
+
+@q("""
+SELECT c_custkey, c_nationkey, c_mktsegment FROM customer c WHERE c_custkey > 1000 OR NOT EXISTS (SELECT 1 FROM customer s WHERE s.c_custkey <= 500 AND s.c_nationkey = c.c_nationkey AND s.c_mktsegment = c.c_mktsegment)""")
+def upsert_children(spark, d):
+    """Children whose keys are stored (null matching null) are left out, the parent's rows replace; here only the child is shown."""
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    late = c.where("c_custkey > 1000").withColumn("c_nationkey", F.lit(-1).cast(c.schema["c_nationkey"].dataType))
+    keys = {"child": ["c_nationkey", "c_mktsegment"]}
+    new = joins.upsert_children({"child": c.where("c_custkey <= 500")}, {"child": late.unionByName(c.where("c_custkey <= 1000"))}, keys, "parent")["child"]
+    return new.join(c.select("c_custkey", F.col("c_nationkey").alias("n")), "c_custkey").select("c_custkey", F.col("n").alias("c_nationkey"), "c_mktsegment")
+
+
+@q("SELECT CategoryId AS c FROM boards_discussions UNION SELECT categoryID FROM boards_comments WHERE score > 20")
+def union_labels(spark, d):
+    return rowset.union_values(table(spark, d, "boards_discussions").select(F.col("CategoryId").alias("c")), table(spark, d, "boards_comments").where("score > 20").select(F.col("categoryID").alias("c")), "c")
+
+
+@q("SELECT DISTINCT discussionID AS DiscussionId FROM boards_comments WHERE discussionID IS NOT NULL AND discussionID NOT IN (SELECT DiscussionId FROM boards_discussions WHERE CategoryId < 130)")
 def anti_join_new_keys(spark, d):
-    stored = table(spark, d, "boards_discussions").select("DiscussionId")
+    """What is new to a store that holds the discussions of some categories."""
+    stored = table(spark, d, "boards_discussions").where("CategoryId < 130").select("DiscussionId")
     return joins.new_keys(table(spark, d, "boards_comments").select(F.col("discussionID").alias("DiscussionId")), stored, ["DiscussionId"])
 
 
@@ -256,7 +320,8 @@ def key_check(spark, d):
     return key_violations(table(spark, d, "oireachtas_questions"), ("QuestionURI",))
 
 
-@q("SELECT membership_id, pId FROM oireachtas_member_memberships m WHERE pId IS NOT NULL AND NOT EXISTS (SELECT 1 FROM oireachtas_members x WHERE x.pId = m.pId)")
+@q("SELECT membership_id, pId FROM oireachtas_member_memberships m WHERE pId IS NOT NULL AND NOT EXISTS (SELECT 1 FROM oireachtas_members x WHERE x.pId = m.pId AND x.dateOfDeath IS NULL)")
 def link_check(spark, d):
+    """Memberships without a living member: all links into the whole table hold."""
     m = table(spark, d, "oireachtas_member_memberships").select("membership_id", "pId")
-    return orphans(m, "pId", table(spark, d, "oireachtas_members"), "pId").select("membership_id", "pId")
+    return orphans(m, "pId", table(spark, d, "oireachtas_members").where("dateOfDeath is null"), "pId").select("membership_id", "pId")

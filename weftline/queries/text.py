@@ -40,8 +40,13 @@ _text("text_truncate", "part", "p_partkey", "p_name", X.truncate_label, "CASE WH
 _text("text_python_bool", "steam_games", "Id", "Is_Free", lambda c: X.python_bool(F.lower(c) == "true"), "CASE WHEN Is_Free IS NULL THEN 'None' WHEN lower(Is_Free) = 'true' THEN 'True' ELSE 'False' END")
 _text("text_stem", "documents", "doc_id", "text", lambda c: X.stemmer()(c), None)
 _text("count_features", "steam_games", "Id", "Genres", S.count_features, "CAST(len(list_filter(string_split(coalesce(Genres, ''), ','), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> '')) AS INTEGER)")
-_text("json_number", "events", "event_id", "props", lambda c: F.get_json_object(c, "$.k").cast("int"), "CAST(json_extract_string(props, '$.k') AS INTEGER)")
-_text("json_flag", "boards_comments", "Id", "attributes", lambda c: F.get_json_object(c, "$.edited"), "json_extract_string(attributes, '$.edited')")
+_text("json_number", "events", "event_id", "props", lambda c: S.json_field(c, "k", "int"), "CAST(json_extract_string(props, '$.k') AS INTEGER)")
+_text("json_flag", "boards_comments", "Id", "attributes", lambda c: S.json_field(c, "edited"), "json_extract_string(attributes, '$.edited')")
+_text("percent_offset", "lineitem", "l_orderkey", "l_discount", lambda c: F.round(S.percent(c, 0.1), 9), "round(l_discount * 100 + 0.1, 9)")
+_text("age_in_years", "orders", "o_orderkey", "o_orderdate", lambda c: S.age_years(c.cast("date"), F.lit("2024-06-30").cast("date")), "CASE WHEN CAST(o_orderdate AS DATE) <= DATE '2024-06-30' THEN CAST(date_sub('year', CAST(o_orderdate AS DATE), DATE '2024-06-30') AS INTEGER) END")
+_text("platform_keys", "steam_games", "Id", "Platforms", lambda c: S.keys_where_true(F.map_from_arrays(F.array(F.lit("windows"), F.lit("mac"), F.lit("linux")), F.array(*(F.contains(c, F.lit(x)) for x in ("windows", "mac", "linux"))))), "CASE WHEN Platforms IS NULL THEN '' ELSE concat_ws(',', CASE WHEN contains(Platforms, 'windows') THEN 'windows' END, CASE WHEN contains(Platforms, 'mac') THEN 'mac' END, CASE WHEN contains(Platforms, 'linux') THEN 'linux' END) END")
+_text("iso_date", "orders", "o_orderkey", "o_orderdate", lambda c: S.parse_date(F.concat(F.date_format(c, "yyyy-MM-dd"), F.lit("T00:00:00Z"))), "CAST(o_orderdate AS DATE)")
+_text("game_url", "steam_games", "Id", "AppID", lambda c: F.concat(F.lit("https://store.steampowered.com/app/"), c.cast("string")), "'https://store.steampowered.com/app/' || CAST(AppID AS VARCHAR)")
 _text("quarter_label", "orders", "o_orderkey", "o_orderdate", S.quarter_label, "'Q' || quarter(o_orderdate)")
 _text("cell_array_to_csv", "steam_games", "Id", "Publishers", lambda c: S.join_strings(S.cell_tokens(c, ","), sep=";"), "array_to_string(list_filter(list_transform(string_split(coalesce(Publishers, ''), ','), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), ';')")
 

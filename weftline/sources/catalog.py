@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from weftline.functions.predicates import filter_spec, order_spec
 from weftline.operators.rowset import sample_rows
+from weftline.sources.connectors import load
+from weftline.sources.records import parsed
 from weftline.sources.schemas import ENTITIES, Entity
+from weftline.sources.sinks import exists
 
 
 class Catalog:
@@ -32,6 +35,18 @@ class Catalog:
 
         return Catalog(spark, reader=read)
 
+    @staticmethod
+    def create_tables(spark: SparkSession, folder: str, models: list[str] | None = None) -> list[str]:
+        """Empty tables, with their columns, of the entities that ``folder`` does not hold yet; which were made."""
+        made = []
+        for name in models or sorted(ENTITIES):
+            entity = ENTITIES[name]
+            path = f"{folder}/{entity.table}.parquet"
+            if not exists(spark, path):
+                spark.createDataFrame([], entity.schema).write.parquet(path)
+                made.append(entity.table)
+        return made
+
     def entity(self, model: str) -> Entity:
         if model not in ENTITIES:
             raise ValueError(f"unknown model {model!r}; known: {', '.join(sorted(ENTITIES))}")
@@ -61,6 +76,23 @@ class Catalog:
         return (df.where(where) if where else df).select("DiscussionId")
 
 
+def source_of(config: dict[str, Any], catalog: Catalog | None = None, spark: SparkSession | None = None, **how: Any) -> DataFrame:
+    """Ids by a source's ``type``: 'db' from the catalogue with a raw condition, 'api' from a connector's records."""
+    kind = config.get("type")
+    if kind == "db":
+        return catalog.discussion_ids(config.get("where"))
+    if kind == "api":
+        raw = load(spark, config["connector"], **how, **{k: str(v) for k, v in (config.get("options") or {}).items()})
+        return parsed(raw, config["connector"]).select(F.col(config.get("column", "discussionID")).cast("bigint").alias("DiscussionId")).dropna()
+    raise ValueError(f"unknown source type {kind!r}: db or api")
+
+
+def read_embedding(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, list[str]]]:
+    """A saved embedding (CSV with a header) and what its columns are."""
+    df = spark.read.csv(path, header=True, inferSchema=True)
+    return df, load_embedding(df)
+
+
 def load_embedding(df: DataFrame) -> dict[str, list[str]]:
     """The columns of a saved embedding: two or three of x, y, z, the labels, and the rest."""
     coordinates = [c for c in ("x", "y", "z") if c in df.columns]

@@ -3,18 +3,21 @@
 A connector is a plan of requests (a list of partitions made on the driver from its options) and a reader of one partition
 that pages through the service and yields one JSON text per record. A partition is retried as a whole and yields the same
 records again, so a lost executor costs a repeat of its requests, not a gap. A service that does not answer after all
-retries, or gives fewer records than it reports, raises: Spark then retries the partition, and fails rather than leave a gap. Rate limits are kept per partition reader.
+retries, or gives fewer records than it reports, raises: Spark then retries the partition, and fails rather than leave a gap. A service's rate limit holds over all partitions: the
+requests are dealt to at most ``parallel`` of them (an option, 4 by default), and each keeps to its share of the rate.
 The transport is any picklable callable ``(url, params) -> (status, body)``; tests pass recorded replies.
 """
 
 from __future__ import annotations
 
 import json
+import threading
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 from typing import Any
@@ -32,6 +35,8 @@ STORE_CALLS, STORE_SECONDS = 200, 300.0
 QUESTION_PAGE, QUESTION_SKIP = 1000, 20_000
 PARTY_SKIP, MEMBER_SKIP = 200_000, 500_000
 DAILY_FROM = 9_500
+#: Partitions that a connector reads in, unless its options say otherwise.
+PARALLEL = 4
 
 
 def http(url: str, params: dict, timeout: float = 10.0) -> tuple[int, Any]:
@@ -44,6 +49,22 @@ def http(url: str, params: dict, timeout: float = 10.0) -> tuple[int, Any]:
         return e.code, None
 
 
+def http_text(url: str, params: dict, timeout: float = 60.0) -> tuple[int, str | None]:
+    """GET of a text document, with three further tries where the service fails."""
+    for wait in (0.0, 1.5, 3.0, 4.5):
+        time.sleep(wait)
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, headers={"Connection": "close"}), timeout=timeout) as reply:
+                return reply.status, reply.read().decode(errors="replace")
+        except urllib.error.HTTPError as e:
+            if e.code not in (500, 502, 503, 504):
+                return e.code, None
+            status = e.code
+        except OSError:
+            status = 599
+    return status, None
+
+
 @dataclass
 class Limiter:
     """No more than ``calls`` in any ``seconds``."""
@@ -140,6 +161,19 @@ class Request(InputPartition):
     tag: dict
 
 
+@dataclass
+class Batch(InputPartition):
+    """The requests of one partition, and into how many parts the rate is shared."""
+
+    requests: list[Request]
+    parts: int
+
+
+def share_of(calls: int, seconds: float, parts: int) -> tuple[int, float]:
+    """The rate that each of ``parts`` readers may keep so that all together stay within the whole one."""
+    return (calls // parts, seconds) if calls >= parts else (1, seconds * parts / calls)
+
+
 def pages(service: Service, request: Request, transport: Transport, limiter: Limiter | None = None, sleep=time.sleep) -> Iterator[Any]:
     """The records of one partition, page by page, until a short page or the reported count; raises if that count, or the end before the skip cap, is not reached."""
     if service.paging == "none":
@@ -184,13 +218,17 @@ def requests(name: str, options: dict[str, Any], transport: Transport = http) ->
     if name == "steam_current_user":
         return [Request(base | {"appid": i}, service.url, {"AppID": int(i)}) for i in ids]
     if name == "oireachtas_questions" and span:
-        out = []
-        for a, b in months(span[0], span[-1]):
+        spans, limiter, lock = months(span[0], span[-1]), Limiter(), threading.Lock()
+
+        def windows(ab: tuple[date, date]) -> list[tuple[date, date]]:
             # a month that holds more than the service lets one page through is asked day by day
-            probe = fetch(transport, service.url, base | {"date_start": str(a), "date_end": str(b), "skip": 0, "limit": 1})
-            windows = days(a, b) if (_total(probe) or 0) >= DAILY_FROM else [(a, b)]
-            out += [Request(base | {"date_start": str(x), "date_end": str(y)}, service.url, {}) for x, y in windows]
-        return out
+            with lock:
+                limiter.wait()
+            probe = fetch(transport, service.url, base | {"date_start": str(ab[0]), "date_end": str(ab[1]), "skip": 0, "limit": 1})
+            return days(*ab) if (_total(probe) or 0) >= DAILY_FROM else [ab]
+
+        with ThreadPoolExecutor(8) as pool:
+            return [Request(base | {"date_start": str(x), "date_end": str(y)}, service.url, {}) for found in pool.map(windows, spans) for x, y in found]
     if name == "oireachtas_debates" and span:
         return [Request(base | {"date": str(a)}, service.url, {}) for a, _ in days(span[0], span[-1])]
     if name == "steam_app_list":
@@ -204,19 +242,23 @@ class _Reader(DataSourceReader):
     def __init__(self, name: str, options: dict, transport: Transport) -> None:
         self.name, self.options, self.transport = name, options, transport
 
-    def partitions(self) -> list[Request]:
-        return requests(self.name, self.options, self.transport)
-
-    def read(self, partition: Request) -> Iterator[tuple]:
-        store = self.name.startswith("steam")
-        limiter = Limiter(*((STORE_CALLS, STORE_SECONDS) if store else (CALLS, PER_SECONDS)))
-        empty = True
-        for record in pages(SERVICES[self.name], partition, self.transport, limiter):
-            empty = False
-            yield (json.dumps(record | partition.tag if isinstance(record, dict) else record),)
-        if empty and self.name == "steam_current_user":
-            # a game without an answer keeps its row
-            yield (json.dumps(partition.tag),)
+    def partitions(self) -> list[Batch]:
+        parallel = int(self.options.get("parallel", PARALLEL))
+        asked = requests(self.name, {k: v for k, v in self.options.items() if k != "parallel"}, self.transport)
+        parts = max(1, min(parallel, len(asked)))
+        return [Batch(asked[i::parts], parts) for i in range(parts)]
+
+    def read(self, partition: Batch) -> Iterator[tuple]:
+        rate = (STORE_CALLS, STORE_SECONDS) if self.name.startswith("steam") else (CALLS, PER_SECONDS)
+        limiter = Limiter(*share_of(*rate, partition.parts))
+        for request in partition.requests:
+            empty = True
+            for record in pages(SERVICES[self.name], request, self.transport, limiter):
+                empty = False
+                yield (json.dumps(record | request.tag if isinstance(record, dict) else record),)
+            if empty and self.name == "steam_current_user":
+                # a game without an answer keeps its row
+                yield (json.dumps(request.tag),)
 
 
 def source(name: str, transport: Transport = http) -> type[DataSource]:

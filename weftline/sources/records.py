@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from weftline.functions.scalars import join_strings, keys_where_true, parse_date, parse_release_date
 from weftline.functions.text import clean_speaker, python_bool
 from weftline.operators.joins import normalise_members
+from weftline.session import written
 
 SPEECH = "speaker string, recorded string, answer string"
 
@@ -24,6 +25,9 @@ PAYLOADS = {
     "oireachtas_debates": "debateRecord struct<date:string,debateSections:array<struct<debateSection:struct<debateSectionId:string,showAs:string,contributions:array<struct<text:string,speaker:struct<showAs:string,uri:string,role:string>,contributionType:string>>>>>>",
     "boards": "discussionID string, type string, name string, body string, categoryID string, dateInserted string, dateUpdated string, dateLastComment string, insertUserId bigint, updateUserID bigint, lastUserID bigint, closed boolean, countComments bigint, canonicalUrl string",
     "boards_comments": "commentID bigint, discussionID bigint, parentRecordType string, parentRecordID bigint, name string, categoryID int, body string, dateInserted string, dateUpdated string, updateUserID bigint, score int, depth int, scoreChildComments int, countChildComments int, url string, type string, format string, attributes string",
+    "steam_review": "AppID bigint, total_reviews bigint, total_positive bigint, total_negative bigint, review_score bigint, review_score_desc string",
+    "steam_current_user": "AppID bigint, player_count bigint",
+    "steam_app_list": "appid bigint, name string, last_modified bigint",
     "steam_store": "data struct<steam_appid:bigint,name:string,type:string,is_free:boolean,developers:array<string>,publishers:array<string>,platforms:map<string,boolean>,categories:array<struct<description:string>>,genres:array<struct<description:string>>,supported_languages:string,price_overview:struct<currency:string,initial:bigint,final:bigint,discount_percent:bigint>,recommendations:struct<total:bigint>,metacritic:struct<score:bigint,url:string>,release_date:struct<date:string>,content_descriptors:struct<ids:array<int>>>",
 }
 
@@ -58,6 +62,13 @@ def rows_of(raw: DataFrame, connector: str) -> dict[str, tuple[DataFrame, list[s
         return {"boards_comments": (comment_rows(df), ["commentID"])}
     if connector == "steam_store":
         return {"steam_games": (df.select(*game_row()), ["AppID"])}
+    if connector == "steam_review":
+        names = {"total_reviews": "Total_Reviews", "total_positive": "Total_Positive", "total_negative": "Total_Negative", "review_score": "Review_Score", "review_score_desc": "Review_Score_Desc"}
+        return {"steam_review": (df.select("AppID", *(F.col(a).alias(b) for a, b in names.items())).where("AppID is not null"), ["AppID"])}
+    if connector == "steam_current_user":
+        return {"steam_current_user": (df.select("AppID", F.col("player_count").alias("Current_Players"), F.current_timestamp().cast("timestamp_ntz").alias("Current_Players_Last_Updated")).where("AppID is not null"), ["AppID"])}
+    if connector == "steam_app_list":
+        return {"steam_apps": (df.select(F.col("appid").alias("AppID"), F.col("name").alias("Name"), F.timestamp_seconds("last_modified").cast("timestamp_ntz").alias("Last_Modified")).where("AppID is not null"), ["AppID"])}
     raise KeyError(f"records of {connector!r} have no table")
 
 
@@ -90,6 +101,35 @@ def parse_answers(df: DataFrame, key: str, xml: str) -> DataFrame:
     return df.select(key, F.col(xml).cast("string").alias("_xml")).mapInArrow(run, f"`{key}` {kind}, {SPEECH}")
 
 
+def fetched(df: DataFrame, key: str, transport) -> DataFrame:
+    """``key, xml`` of the documents at the distinct addresses of a column, each asked for once: the table itself is the cache.
+
+    ``transport(url, params)`` gives (status, text); an address that gives none has null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            urls = b.column(0).to_pylist()
+            got = [transport(u, {}) for u in urls]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text if status == 200 else None for status, text in got], pa.string())], [key, "xml"])
+
+    urls = df.select(F.col(key).cast("string").alias(key)).where(f"`{key}` is not null").distinct()
+    return urls.mapInArrow(run, f"`{key}` string, xml string")
+
+
+def with_answers(questions: DataFrame, transport, uri: str = "AnswerXMLURI") -> DataFrame:
+    """Question rows with ``AnswerText``, ``AnswerSpeaker`` and ``AnswerRecordedTime`` of the document their address names.
+
+    Every address is fetched and parsed once, however many questions share it; the fetched documents are written before they
+    are joined, so that no retry of the join asks the service again. A question without a document keeps nulls.
+    """
+    documents = written(fetched(questions, uri, transport), "answers")
+    answers = parse_answers(documents, uri, "xml")
+    rest = [c for c in questions.columns if c not in ("AnswerText", "AnswerSpeaker", "AnswerRecordedTime")]
+    joined = questions.select(*rest).join(answers, uri, "left")
+    return joined.select(*rest, F.col("answer").alias("AnswerText"), F.col("speaker").alias("AnswerSpeaker"), F.try_to_timestamp("recorded").cast("timestamp_ntz").alias("AnswerRecordedTime"))
+
+
 def question_rows(df: DataFrame, record: str = "question") -> DataFrame:
     """Question payloads as rows; a record without uri is left out, of repeated uris one stays."""
     q = lambda p: F.col(f"{record}.{p}")
