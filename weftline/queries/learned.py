@@ -121,9 +121,16 @@ def class_weights(spark, d):
     return L.class_weights(table(spark, d, "events").select("event_id", "event_type"), "event_type").select("event_id", F.round("weight", 9).alias("weight"))
 
 
-@q()
+@q("SELECT label, CAST(count(*) AS BIGINT) AS n_real, CAST((SELECT max(n) FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)) - count(*) AS BIGINT) AS n_synthetic, true AS between FROM embeddings GROUP BY label")
 def smote(spark, d):
-    return ml.Smote("vec_id", "label", "embedding").resample(table(spark, d, "embeddings"))
+    """Classes after balancing, and whether every synthetic vector lies within the bounds of its class."""
+    e = table(spark, d, "embeddings")
+    made = ml.Smote("vec_id", "label", "embedding").resample(e)
+    cells = lambda t: t.select("label", "synthetic", F.posexplode("embedding").alias("i", "x"))
+    edge = cells(made.where("not synthetic")).groupBy("label", "i").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    inside = cells(made.where("synthetic")).join(edge, ["label", "i"]).groupBy("label").agg(F.bool_and((F.col("x") >= F.col("lo") - 1e-9) & (F.col("x") <= F.col("hi") + 1e-9)).alias("ok"))
+    counts = made.groupBy("label").agg(F.count_if(~F.col("synthetic")).alias("n_real"), F.count_if("synthetic").alias("n_synthetic"))
+    return counts.join(inside, "label", "left").select("label", "n_real", "n_synthetic", F.coalesce("ok", F.lit(True)).alias("between"))
 
 
 _TERMS = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents WHERE text IS NOT NULL"
@@ -186,16 +193,6 @@ def word2vec(spark, d):
     return L.WordVectors("text", vector_size=16, epochs=1).fit_transform(table(spark, d, "documents").where("text is not null").select("doc_id", "text")).select("doc_id", "vector")
 
 
-@q()
-def pca(spark, d):
-    return L.Principal("embedding", 3).fit_transform(table(spark, d, "embeddings").select("vec_id", "embedding")).select("vec_id", "pca")
-
-
-@q()
-def truncated_svd(spark, d):
-    return L.TruncatedSvd("embedding", 3).fit_transform(table(spark, d, "embeddings").select("vec_id", "embedding")).select("vec_id", "svd")
-
-
 @q()
 def neighbour_layout(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
@@ -442,35 +439,6 @@ def linreg_coeffs(spark, d):
     return spark.createDataFrame([(round(float(m.coefficients[0]), 4), round(float(m.intercept), 4))], "slope double, intercept double")
 
 
-def _model(name: str, registered: str, **params) -> None:
-    def f(spark, d):
-        e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("features"), F.col("label").cast("double").alias("label"))
-        return MODELS.create(registered, **params).fit(e).transform(e).select("vec_id", F.col("prediction").cast("int").alias("prediction"))
-
-    f.__name__ = name
-    q()(f)
-
-
-_model("kmeans_fit", "kmeans", k=10, max_iter=20)
-_model("kmeans_mini_fit", "kmeans_mini", k=10)
-_model("logreg_fit", "logistic_regression", max_iter=20)
-_model("linear_svc_fit", "linear_svc", max_iter=10)
-_model("random_forest_fit", "random_forest", trees=10, depth=5)
-_model("gbt_fit", "xgboost", rounds=2, depth=3)
-_model("svm_fit", "svm", dimensions=64, max_iter=5)
-
-
-@q()
-def elbow(spark, d):
-    return ml.elbow(table(spark, d, "embeddings"), "embedding", 2, 6)
-
-
-@q()
-def agglomerative_fit(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    return MODELS.create("agglomerative", features="embedding", n_clusters=10).fit_transform(e).select("vec_id", "prediction")
-
-
 @q()
 def hdbscan_fit(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
