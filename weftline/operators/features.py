@@ -202,7 +202,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[floa
     return out
 
 
-def grouped_quantiles(df: DataFrame, by: str, value: str, shares: Sequence[float], bins: int = 1024, small: int = 200_000) -> DataFrame:
+def grouped_quantiles(df: DataFrame, by: str, value: str, shares: Sequence[float], bins: int = 1024, small: int = 1_000_000) -> DataFrame:
     """Exact interpolated quantiles of each group by narrowing brackets: ``by, q`` (an array, one number for each share).
 
     ``percentile`` keeps all distinct values of a group in one task. Here each pass counts the values of every open group in

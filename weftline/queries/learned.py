@@ -9,7 +9,7 @@ from weftline.functions.text import STOPWORDS
 from weftline.operators import charts, ml, profile  # noqa: F401  (charts registers)
 from weftline.operators.base import CHARTS, MODELS
 from weftline.queries.register import Queries
-from weftline.session import table
+from weftline.session import table, written
 
 q = Queries()
 
@@ -125,7 +125,7 @@ def class_weights(spark, d):
 def smote(spark, d):
     """Classes after balancing, and whether every synthetic vector lies within the bounds of its class."""
     e = table(spark, d, "embeddings")
-    made = ml.Smote("vec_id", "label", "embedding").resample(e)
+    made = written(ml.Smote("vec_id", "label", "embedding").resample(e), "smote-rows")
     cells = lambda t: t.select("label", "synthetic", F.posexplode("embedding").alias("i", "x"))
     edge = cells(made.where("not synthetic")).groupBy("label", "i").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     inside = cells(made.where("synthetic")).join(edge, ["label", "i"]).groupBy("label").agg(F.bool_and((F.col("x") >= F.col("lo") - 1e-9) & (F.col("x") <= F.col("hi") + 1e-9)).alias("ok"))
