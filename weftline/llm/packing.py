@@ -9,8 +9,8 @@ What makes it bulk: sizes and gaps are whole numbers up to the capacity, so a ro
 size, not the items. Those counts (at most ``capacity`` rows, whatever the corpus) are aggregated on the executors; the plan
 made from them is a list of runs "ranks i.. of size s go to containers j..", broadcast behind a check of its length. The
 items themselves are ranked where they are: each partition numbers its items within their size while it counts tokens, and
-one shuffle of per-partition counts turns that into global ranks. No item is sorted, collected or gathered by size, so a
-size that a third of all texts share is as cheap as any other.
+one shuffle of per-partition counts turns that into global ranks. Items meet those counts in a join by (size, partition); none
+is collected or gathered by size alone, so a size that a third of all texts share is as cheap as any other.
 
 A text of more than ``capacity`` tokens is cut into full pieces and a rest; no other text is split.
 
