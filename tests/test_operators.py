@@ -1,9 +1,11 @@
 """Operators on small tables with known results."""
 
 import math
+import resource
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -277,6 +279,51 @@ def test_nearest_block(spark):
     assert {r.neighbour for r in got.collect()} == {9, 11}
 
 
+@pytest.mark.parametrize("exclude_self", [True, False])
+@pytest.mark.parametrize("kind", ["normal", "grid", "equal", "far"])
+def test_nearest_is_that_of_all_pairs(spark, kind, exclude_self):
+    rng = np.random.default_rng(3)
+    x = {"normal": rng.normal(0, 1, (700, 3)), "grid": rng.integers(0, 4, (700, 3)).astype(float), "equal": np.ones((700, 3)), "far": 1e8 + rng.normal(0, 1, (700, 3))}[kind]
+    rows = spark.createDataFrame([(i, v.tolist(), None if i % 9 == 0 else str(i % 4)) for i, v in enumerate(x)] + [(1000, None, "n"), (1001, [1.0, float("nan"), 1.0], "n"), (1002, [1.0, None, 1.0], "n")], "id bigint, v array<double>, y string")
+    got = ml.nearest(rows.where("id < 400 or id > 999"), rows.repartition(3), "id", "v", 4, "y", exclude_self)
+    assert got.columns == ["query", "neighbour", "distance", "y", "rank"]
+    found = {(r.query, r["rank"]): (r.neighbour, round(r.distance, 9), r.y) for r in got.collect()}
+    want = {}
+    for q in range(400):
+        d = np.sqrt(((x[q] - x) ** 2).sum(1))
+        own = sorted((round(float(d[i]), 9), i) for i in range(700) if i != q or not exclude_self)[:4]
+        want |= {(q, j + 1): (i, far, None if i % 9 == 0 else str(i % 4)) for j, (far, i) in enumerate(own)}
+    assert found == want
+
+
+def test_knn_of_many_equal_rows_in_little_memory(spark):
+    n = 20_000
+    df = spark.range(0, n, 1, 1).select("id", F.expr("array(cast(id % 2 * 4 + id % 7 / 100 as double), cast(id % 7 as double))").alias("features"), F.expr("cast(id % 2 as double)").alias("label"))
+    odd = spark.createDataFrame([(-1, None, 1.0), (-2, [float("nan"), 0.0], 1.0)], "id bigint, features array<double>, label double")
+    got = MODELS.create("knn").fit(df).transform(df.unionAll(odd))
+    assert got.columns == ["id", "features", "label", "prediction"] and dict(got.dtypes)["prediction"] == "double"
+    said = got.groupBy(F.expr("id >= 0 and prediction = label").alias("right"), F.expr("id < 0 and prediction is null").alias("none")).count().collect()
+    assert {(r.right, r.none): r["count"] for r in said} == {(True, False): n, (False, True): 2}
+
+    def peak(batches):
+        for _ in batches:
+            pass
+        yield pa.record_batch([pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024])], ["mb"])
+
+    assert spark.range(0, 8, 1, 8).mapInArrow(peak, "mb bigint").agg(F.max("mb")).first()[0] < 1000
+
+
+def test_knn_of_different_vectors_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ml, "MOST_FOUND", 900)
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (500, 2)).tolist()
+    df = spark.createDataFrame([(i, v, int(v[0] > 0)) for i, v in enumerate(x)], "id int, features array<double>, label int")
+    got = {r.id: r.prediction for r in MODELS.create("knn", k=5).fit(df).transform(df).collect()}
+    for i, v in enumerate(np.array(x)):
+        own = np.argsort(((v - np.array(x)) ** 2).sum(1), kind="stable")[:5]
+        assert got[i] == int(sum(x[j][0] > 0 for j in own) > 2)
+
+
 @pytest.mark.parametrize("bins, small", [(7, 4), (1024, 200_000)])
 def test_grouped_quantiles_by_brackets(spark, bins, small):
     rng = np.random.default_rng(bins)

@@ -1,7 +1,8 @@
 """Estimators, clustering, nearest neighbours, and their evaluation.
 
 Search operators take a stated query set against all rows in blocks: the query block is broadcast (its size is checked), the
-rows are scanned once, each task keeps the best k per query, and a second stage merges those. Nothing forms all pairs.
+rows are scanned once, each task keeps the best k per query, and a second stage merges those. Nothing holds all pairs; in few
+dimensions boxes of rows that are too far away are not compared at all.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import classification as C
 from pyspark.ml import clustering as K
 from pyspark.ml import regression as R
@@ -23,6 +26,10 @@ from weftline.session import cut, written
 
 #: Numbers that a broadcast query block may hold: 64 MB of doubles.
 MOST_QUERY_CELLS = 8_000_000
+#: Neighbours that one search of :class:`NearestNeighbours` keeps in each task, over all of its queries.
+MOST_FOUND = 1_000_000
+#: Pairs that are compared, and numbers of rows that are held, at a time; rows of a box.
+CHUNK, BOX_ROWS = 1 << 20, 256
 #: Rows that the driver-side clusterers work on; a larger table is represented by so many landmarks.
 MOST_LOCAL_ROWS = 5_000
 
@@ -187,40 +194,171 @@ class KernelSvm(Operator):
 # -- nearest neighbours -----------------------------------------------------------------------------------------------
 
 
+def _vectors(keys, column) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and vectors of Arrow columns, without the vectors that hold a null, NaN or infinity: those are near to nothing."""
+    keys, column = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (keys, column))
+    widths = pc.unique(pc.list_value_length(column)).to_pylist()
+    if len(widths) > 1 or keys.null_count:
+        raise ValueError("a key is null" if keys.null_count else f"the vectors differ in width: {sorted(widths)[:5]}")
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(keys), *(widths or [0]))
+    return keys.to_numpy(zero_copy_only=False), x
+
+
+def _first_of_equal(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows that may be among the ``k`` nearest of any query: of equal vectors the first ``k`` by id, and those of
+    one id more, since one id may be the query's own."""
+    order = np.lexsort((ids, *x.T[::-1]))
+    i, v, place = ids[order], x[order], np.arange(len(ids))
+    fresh, turn = np.ones(len(i), bool), np.ones(len(i), bool)
+    fresh[1:] = (v[1:] != v[:-1]).any(1)
+    turn[1:] = fresh[1:] | (i[1:] != i[:-1])
+    nth = np.cumsum(turn)
+    first, run = (np.maximum.accumulate(np.where(z, place, 0)) for z in (fresh, turn))
+    return order[(nth - nth[first] <= k) & (place - run < k)]
+
+
+def _boxes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows dealt into boxes of at most ``BOX_ROWS`` by halving along the longest side: their order, and where each box begins."""
+    order, starts, todo = np.arange(len(x)), [], [(0, len(x))]
+    while todo:
+        a, b = todo.pop()
+        if b - a <= BOX_ROWS:
+            starts.append(a)
+            continue
+        m = (b - a) // 2
+        if x.shape[1]:
+            own = x[order[a:b]]
+            order[a:b] = order[a:b][np.argpartition(own[:, np.ptp(own, 0).argmax()], m)]
+        todo += [(a + m, b), (a, a + m)]
+    return order, np.array(starts)
+
+
+def _rounded(distance: np.ndarray) -> np.ndarray:
+    """To nine places, halves away from zero; without effect where a double has no nine places."""
+    t = distance * 1e9
+    whole = np.floor(t)
+    return np.where(t < 4e15, (whole + (t - whole >= 0.5)) / 1e9, distance)
+
+
+class _Best:
+    """The ``k`` nearest of the rows seen so far for each query, by rounded distance and id. Queries and rows lie in boxes; a box of
+    rows is compared with a box of queries only if it may hold a row as near as one of those already found. Comparisons are made
+    over at most ``CHUNK`` pairs at a time, so memory does not depend on how many rows there are or how many tie."""
+
+    def __init__(self, ids: np.ndarray, points: np.ndarray, starts: np.ndarray, k: int, exclude_self: bool) -> None:
+        self.ids, self.points, self.k, self.exclude_self = ids, points, k, exclude_self
+        self.spans = list(zip(starts, [*starts[1:], len(ids)]))
+        none = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0), np.empty(0, object))
+        self.found = [none for _ in self.spans]
+
+    def _reach(self, box: int) -> np.ndarray:
+        """Each query's rounded distance to its k-th nearest row so far; infinite where there are fewer."""
+        a, b = self.spans[box]
+        at, near = self.found[box][:2]
+        n = np.bincount(at, minlength=b - a)
+        out = np.full(b - a, np.inf)
+        out[n == self.k] = near[np.cumsum(n)[n == self.k] - 1]
+        return out
+
+    def add(self, ids: np.ndarray, x: np.ndarray, carried: np.ndarray) -> None:
+        if x.shape[1] != self.points.shape[1]:
+            raise ValueError(f"the queries are {self.points.shape[1]} wide and the rows {x.shape[1]}")
+        order, starts = _boxes(x)
+        ids, x, carried = ids[order], x[order], carried[order]
+        low, high, ends = np.minimum.reduceat(x, starts), np.maximum.reduceat(x, starts), np.append(starts[1:], len(x))
+        for box, (a, b) in enumerate(self.spans):
+            q = self.points[a:b]
+            gap = (np.maximum(0, np.maximum(low - q.max(0), q.min(0) - high)) ** 2).sum(1)
+            by = np.argsort(gap, kind="stable")
+            gap, total, at = gap[by], np.cumsum((ends - starts)[by]), 0
+            while at < len(by):
+                reach = self._reach(box)
+                within = np.searchsorted(gap, (reach.max() + 2e-9) ** 2 * (1 + 1e-9), "right")
+                if within <= at:
+                    break
+                rows = (total[at - 1] if at else 0) + (max(1, CHUNK // (b - a)) if np.isfinite(reach).all() else 2 * BOX_ROWS)
+                upto = min(within, max(at + 1, np.searchsorted(total, rows, "right")))
+                pick = np.concatenate([np.arange(starts[c], ends[c]) for c in by[at:upto]])
+                self._compare(box, ids[pick], x[pick], carried[pick], reach)
+                at = upto
+
+    def _compare(self, box: int, ids: np.ndarray, x: np.ndarray, carried: np.ndarray, reach: np.ndarray) -> None:
+        a, b = self.spans[box]
+        q, k, width = self.points[a:b], self.k, x.shape[1]
+        # squared distances by a product of matrices, less what rounding may have added; close ones are computed again exactly
+        slack = 8 * (width + 4) * np.finfo(float).eps
+        u, v = q - q.mean(0), x - q.mean(0)
+        uu, vv = (u**2).sum(1), (v**2).sum(1)
+        least = (1 - slack) * uu[:, None] + (1 - slack) * vv[None, :] - 2 * (u @ v.T)
+        if self.exclude_self:
+            least[self.ids[a:b, None] == ids[None, :]] = np.inf
+        most = ((reach + 2e-9) * (1 + slack)) ** 2
+        close = least <= most[:, None]
+        if len(ids) >= k and np.count_nonzero(close) > 4 * k * len(q):
+            top = np.argpartition(least, k - 1, 1)[:, :k]
+            kth = (np.take_along_axis(least, top, 1) + 2 * slack * (uu[:, None] + vv[top])).max(1)
+            close = least <= np.fmin(most, ((np.sqrt(np.maximum(kth, 0)) + 2e-9) * (1 + slack)) ** 2)[:, None]
+        at, of = np.nonzero(close & (least < np.inf))
+        if not len(at):
+            return
+        exact, step = np.empty(len(at)), max(1, CHUNK // max(1, width))
+        for i in range(0, len(at), step):
+            exact[i : i + step] = np.sqrt(((q[at[i : i + step]] - x[of[i : i + step]]) ** 2).sum(1))
+        at, near, ids, exact, carried = (np.concatenate(z) for z in zip(self.found[box], (at, _rounded(exact), ids[of], exact, carried[of])))
+        order = np.lexsort((ids, near, at))
+        order = order[np.arange(len(at)) - np.searchsorted(at[order], at[order]) < k]
+        self.found[box] = tuple(z[order] for z in (at, near, ids, exact, carried))
+
+    def batches(self, names: list[str]) -> Iterator[pa.RecordBatch]:
+        for (a, _), (at, near, ids, exact, carried) in zip(self.spans, self.found):
+            if len(at):
+                columns = [pa.array(z) for z in (self.ids[a + at], ids, exact, near)] + [pa.array(carried, pa.string())]
+                yield pa.record_batch(columns[: len(names)], names)
+
+
 def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 5, carry: str | None = None, exclude_self: bool = True) -> DataFrame:
     """The ``k`` nearest rows of each query by Euclidean distance, ties by key: ``query, neighbour, distance, rank[, carry]``."""
     block = queries.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
     size = block.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0]
     if size > MOST_QUERY_CELLS:
         raise ValueError(f"the query block holds {size} numbers, at most {MOST_QUERY_CELLS} are broadcast: search it in parts")
-    got = block.collect()
-    ids, points = np.array([r.id for r in got], np.int64), np.array([r.v for r in got], float)
-    shared = rows.sparkSession.sparkContext.broadcast((ids, points, (points**2).sum(1) if len(got) else None))
+    got = block.toArrow()
+    ids, points = _vectors(got["id"], got["v"])
+    ids, points = (z[np.isfinite(points).all(1)] for z in (ids, points))
+    order, starts = _boxes(points)
+    shared = rows.sparkSession.sparkContext.broadcast((ids[order], points[order], starts))
     columns = [F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), *([F.col(carry).cast("string").alias("c")] if carry else [])]
+    schema = "query bigint, neighbour bigint, distance double, near double" + (", c string" if carry else "")
+    names = [x.split()[0] for x in schema.split(", ")]
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qid, q, qq = shared.value
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search, held, cells = _Best(*shared.value, k, exclude_self), [], 0
         for b in batches:
-            if not len(b) or not len(qid):
+            if not b.num_rows or not len(search.ids):
                 continue
-            x = np.stack(b["v"].to_numpy())
-            d = np.maximum(qq[:, None] - 2 * q @ x.T + (x**2).sum(1)[None, :], 0)
-            if exclude_self:
-                d[qid[:, None] == b["id"].to_numpy()[None, :]] = np.inf
-            take = min(k, d.shape[1])
-            top = np.argpartition(d, take - 1, 1)[:, :take]
-            # rows at the same distance as the last one kept may not be cut by chance
-            edge = np.take_along_axis(d, top, 1).max(1, keepdims=True)
-            at_q, at_x = np.nonzero((d <= edge + 1e-12) & np.isfinite(d))
-            exact = np.sqrt(((q[at_q] - x[at_x]) ** 2).sum(1))
-            out = pd.DataFrame({"query": qid[at_q], "neighbour": b["id"].to_numpy()[at_x], "distance": exact})
+            ids, x = _vectors(b.column("id"), b.column("v"))
+            c = np.full(len(ids), None, object)
             if carry:
-                out["c"] = b["c"].to_numpy()[at_x]
-            yield out
-
-    schema = "query bigint, neighbour bigint, distance double" + (", c string" if carry else "")
-    found = rows.select(*columns).where("v is not null").mapInPandas(best, schema)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.round("distance", 9), "neighbour"))).where(F.col("rank") <= k)
+                coded = b.column("c").dictionary_encode()  # equal labels of a batch are one object
+                c = np.array([*coded.dictionary.to_pylist(), None], object)[pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)]
+            sound = np.isfinite(x).all(1)
+            held.append((ids[sound], x[sound], c[sound]))
+            cells += sound.sum() * (x.shape[1] + 1)
+            if cells > CHUNK:
+                ids, x, c = (np.concatenate(z) for z in zip(*held))
+                few = _first_of_equal(ids, x, k)
+                held, cells = [(ids[few], x[few], c[few])], len(few) * (x.shape[1] + 1)
+                if cells > CHUNK // 2:
+                    search.add(*held.pop())
+                    cells = 0
+        if cells:
+            ids, x, c = (np.concatenate(z) for z in zip(*held))
+            few = _first_of_equal(ids, x, k)
+            search.add(ids[few], x[few], c[few])
+        yield from search.batches(names)
+
+    found = rows.select(*columns).where("v is not null").mapInArrow(best, schema)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("near", "neighbour"))).where(F.col("rank") <= k).drop("near")
     return ranked.withColumnRenamed("c", carry) if carry else ranked
 
 
@@ -233,8 +371,8 @@ def knn_predict(queries: DataFrame, rows: DataFrame, key: str, vector: str, labe
 
 @MODELS.register("knn")
 class NearestNeighbours(Operator):
-    """Classification by the ``k`` nearest training rows. Rows to be predicted are dealt into blocks that may be broadcast; the
-    training rows are scanned once for each, so neither side is limited."""
+    """Classification by the ``k`` nearest training rows. Equal vectors have the same answer and are searched once. The different
+    vectors are dealt into blocks that may be broadcast; the training rows are scanned once for each, so neither side is limited."""
 
     def __init__(self, features: str = "features", label: str = "label", k: int = 5, output: str = "prediction", **_) -> None:
         self.features, self.label, self.k, self.output = features, label, k, output
@@ -244,17 +382,20 @@ class NearestNeighbours(Operator):
         rows = written(df.select(F.monotonically_increasing_id().alias("_row"), F.col(self.features).alias("_v"), F.col(self.label).alias("_label")), "knn-rows")
 
         def apply(d: DataFrame) -> DataFrame:
-            queries = written(d.withColumn("_row", F.monotonically_increasing_id()), "knn-queries")
-            cells = queries.agg(F.coalesce(F.sum(F.size(self.features)), F.lit(0))).first()[0]
-            blocks = -(-int(cells) // (MOST_QUERY_CELLS // 2)) or 1
+            queries = written(d.withColumn("_v", F.col(self.features).cast("array<double>")), "knn-queries")
+            vectors = written(queries.select("_v").where("_v is not null").distinct().withColumn("_row", F.monotonically_increasing_id()), "knn-vectors")
+            cells, n = vectors.agg(F.coalesce(F.sum(F.size("_v")), F.lit(0)), F.count(F.lit(1))).first()
+            blocks = max(1, -(-int(cells) // (MOST_QUERY_CELLS // 2)), -(-n * self.k // MOST_FOUND))
+            # with many vectors the search outweighs a shuffle that gives every core its share of the rows
+            scanned = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "_row") if n > BOX_ROWS else rows
             found = None
             for b in range(blocks):
-                part = queries.where(F.pmod(F.xxhash64("_row"), F.lit(blocks)) == b).select("_row", F.col(self.features).alias("_v"))
-                got = knn_predict(part, rows, "_row", "_v", "_label", self.k, exclude_self=False)
+                part = vectors.where(F.pmod(F.xxhash64("_row"), F.lit(blocks)) == b)
+                got = knn_predict(part, scanned, "_row", "_v", "_label", self.k, exclude_self=False)
                 got = written(got, "knn-found") if blocks > 1 else got
                 found = got if found is None else found.unionAll(got)
             found = found.select(F.col("query").alias("_row"), F.col("prediction").cast(kind).alias(self.output))
-            return queries.join(found, "_row", "left").drop("_row")
+            return queries.join(vectors.join(found, "_row").drop("_row"), "_v", "left").drop("_v")
 
         return Fitted(apply, rows=rows)
 
